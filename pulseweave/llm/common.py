@@ -31,14 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, and a lost executor costs nothing behind it.
 
     The files lie in ``<spark.checkpoint.dir>/pulseweave/<application>`` and may be deleted once the results that read them are stored.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/pulseweave/{spark.conf.get('spark.app.id', 'app')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
