@@ -109,7 +109,7 @@ def class_sums(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray
     return {r["label"]: (r[1], np.array(r[2 : 2 + d]), np.array(r[2 + d :]).reshape(d, d)) for r in found}
 
 
-def train(labelled: DataFrame, to_pooled: float = 0.3, to_diagonal: float = 0.1, temper: float = 1.0) -> Model:
+def train(labelled: DataFrame, to_pooled: float = 0.5, to_diagonal: float = 0.2, temper: float = 0.25) -> Model:
     """Fit on rows of x and label (0 or 1)."""
     sums = class_sums(labelled)
     n = np.array([sums.get(c, (0.0,))[0] for c in (0, 1)])
