@@ -44,12 +44,12 @@ class WaveletMatrix:
         n, blocks = len(ids), len(ids) // BLOCK + 1
         planes, ranks, zeros = np.zeros((bits, blocks * BLOCK // 8), np.uint8), np.zeros((bits, blocks), np.uint32), np.zeros(bits, np.int64)
         for k in range(bits):
-            ones = (ids >> (bits - 1 - k) & 1).astype(bool)
+            ones = (ids & ids.dtype.type(1 << (bits - 1 - k))) != 0
             packed = np.packbits(ones, bitorder="little")
             planes[k, : len(packed)] = packed
             ranks[k, 1:] = np.cumsum(np.bitwise_count(planes[k].reshape(blocks, -1)).sum(1, dtype=np.uint32))[:-1]
             zeros[k] = n - int(ones.sum())
-            ids = np.concatenate([ids[~ones], ids[ones]])
+            ids = np.concatenate([np.compress(~ones, ids), np.compress(ones, ids)])
         return cls(n, bits, zeros, planes, ranks)
 
     @classmethod
@@ -111,8 +111,8 @@ class WaveletMatrix:
         for k in reversed(range(self.bits)):
             ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
             out = np.empty_like(ids)
-            out[~ones] = ids[: int(self.zeros[k])]
-            out[ones] = ids[int(self.zeros[k]) :] | np.uint32(1 << (self.bits - 1 - k))
+            out[np.flatnonzero(~ones)] = ids[: int(self.zeros[k])]
+            out[np.flatnonzero(ones)] = ids[int(self.zeros[k]) :] | np.uint32(1 << (self.bits - 1 - k))
             ids = out
         return ids
 
