@@ -263,7 +263,7 @@ def ids():
 
 def test_cached_ids_are_the_tokenizers(ids):
     e = Encoder(default_path())
-    odd = ["It's I'LL we'Ve 'tis ''s o'd 'S", "ÀÉ éÉ ĳ İi ΣΑΣ Σ", "a\x1cb\x85c\xa0d e​f", "é ́x ﬁ ½ ²3", "日本語 한국어 😀😀!", "<|startoftext|>a<|endoftext|>", "0123 4.5e-6 a1b2", "...!!! --- ''\"\"", "x" * 100, "\x00\x07 a", "ß ẞ ǅ ŉ ſ"]
+    odd = ["It's I'LL we'Ve 'tis ''s o'd 'S", "ÀÉ éÉ ĳ İi ΣΑΣ Σ", "a\x1cb\x85c\xa0d e​f", "é ́x ﬁ ½ ²3", "日本語 한국어 😀😀!", "<|startoftext|>a<|endoftext|>", "😀<|STARTOFTEXT|>x", "a%%% b.. c'. d-", "0123 4.5e-6 a1b2", "...!!! --- ''\"\"", "x" * 100, "\x00\x07 a", "ß ẞ ǅ ŉ ſ"]
     for text in [r[1] or "" for r in ROWS] + odd:
         for _ in range(2):
             assert np.frombuffer(e.ids(text), "<u4").tolist() == ids(text), text[:50]
