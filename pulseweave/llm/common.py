@@ -69,4 +69,4 @@ def join_small(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     others = [c for c in rows.columns if c not in keys] or keys
     salted = rows.withColumn("_slice", F.pmod(F.xxhash64(*others), F.lit(slices)))
     copies = small.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
-    return salted.join(copies, [*keys, "_slice"], how).drop("_slice")
+    return salted.join(copies.hint("merge"), [*keys, "_slice"], how).drop("_slice")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialise, text_of
+from .common import materialise, text_of
 from .tokens import default_path, encoder
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, rank long"
@@ -145,7 +145,8 @@ def place(cut: DataFrame, capacity: int = 2048) -> DataFrame:
             found = [pa.array(rows[:, 2] + step // rows[:, 3]), pa.array(rows[:, 4] + step % rows[:, 3] * length)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, "sequence_id", "offset"])
 
-    ranked = join_small(cut, bases, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base")
+    # no key is hot: it holds rows of one part and length only; Spark broadcasts by measured size or shuffles
+    ranked = cut.join(bases, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema)
     return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
