@@ -1 +1 @@
-"""Placeholder."""
+"""Column functions shared by the operators."""

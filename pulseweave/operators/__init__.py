@@ -1 +1 @@
-"""Placeholder."""
+"""DataFrame operators: events, shuffles, metrics, cohorts, templates, distances, waveforms and signal quality."""

@@ -1 +1 @@
-"""Placeholder."""
+"""Readers and writers: metadata, waveform records, manifests, result tables."""

@@ -1 +1 @@
-"""Placeholder."""
+"""No operator streams: every input here is a finished table or file."""
