@@ -90,12 +90,12 @@ def rr_summary(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def repair(peaks: Column, low: float = 0.20, high: float = 0.40, amp: float = 0.45, slope: float = 0.50) -> Column:
-    """Of an ordered array of structs (at in s, amp, slope) the ones kept: one is dropped if it follows the last *kept* one within [low, high] s and is weaker in both respects."""
+def repair(peaks: Column, low: float = 0.20, high: float = 0.40, amp: float = 0.45, slope: float = 0.50, rate: float = 500.0) -> Column:
+    """Of an ordered array of structs (at in samples, amp, slope) the ones kept: one is dropped if it follows the last *kept* one within [low, high] s and is weaker in both respects."""
 
     def step(kept, p):
         last = F.element_at(kept, -1)
-        lag = p["at"] - last["at"]
+        lag = (p["at"] - last["at"]) / F.lit(rate)
         drop = (F.size(kept) > 0) & lag.between(low, high) & (p["amp"] < amp * last["amp"]) & (p["slope"] < slope * last["slope"])
         return F.when(F.coalesce(drop, F.lit(False)), kept).otherwise(F.concat(kept, F.array(p)))
 

@@ -111,21 +111,22 @@ def quality_status(records: DataFrame, read_ok: str = "read_ok", code: str = "fa
 
 
 def limb_residuals(records: DataFrame, keys: Sequence[str], lead: dict[str, str]) -> DataFrame:
-    """Mean, RMSE and RMSE by median range of the four relations that limb leads obey; ``lead`` names the array column of each lead."""
+    """Mean, RMSE and RMSE by median 1-99 % range of the four relations that limb leads obey; ``lead`` names the array column of each lead."""
     c = {name: F.col(column).cast("array<double>") for name, column in lead.items()}
     two = lambda a, b, f: F.zip_with(a, b, f)
     i, ii = c["I"], c["II"]
     rest = {
-        "einthoven": two(two(i, ii, lambda a, b: a - b), c["III"], lambda d, e: d + e),
+        "einthoven": two(two(ii, i, lambda a, b: a - b), c["III"], lambda d, e: d - e),
         "aVR": two(c["aVR"], two(i, ii, lambda a, b: (a + b) / 2), lambda x, y: x + y),
         "aVL": two(c["aVL"], two(i, ii, lambda a, b: a - b / 2), lambda x, y: x - y),
         "aVF": two(c["aVF"], two(i, ii, lambda a, b: b - a / 2), lambda x, y: x - y),
     }
-    scale = array_quantile(F.array_sort(F.array(*[F.array_max(x) - F.array_min(x) for x in c.values()])), 0.5)
+    reach = lambda x: let(F.array_sort(x), lambda s: array_quantile(s, 0.99) - array_quantile(s, 0.01))
+    scale = F.greatest(let(F.array_sort(F.array(*[reach(x) for x in c.values()])), lambda s: array_quantile(s, 0.5)), F.lit(1e-6))
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
     rows = records.select(*keys, scale.alias("_scale"), F.explode(F.array(*[F.struct(F.lit(n).alias("relation"), r.alias("r")) for n, r in rest.items()])).alias("_p")).select(*keys, "_scale", "_p.*")
     rmse = F.sqrt(total(F.transform("r", lambda v: v * v)) / F.size("r"))
-    return rows.select(*keys, "relation", (total(F.col("r")) / F.size("r")).alias("residual_mean"), rmse.alias("rmse"), F.when(F.col("_scale") > 0, rmse / F.col("_scale")).alias("relative_rmse"))
+    return rows.select(*keys, "relation", (total(F.col("r")) / F.size("r")).alias("residual_mean"), rmse.alias("rmse"), (rmse / F.col("_scale")).alias("relative_rmse"))
 
 
 def correlation(a: str, b: str) -> Column:

@@ -173,7 +173,7 @@ def peak_repair(spark, sf_dir):
     """Events of a user as candidate peaks: weak ones shortly after the last kept one go. A fold over what was kept, which SQL cannot express."""
     rows = timed(spark, sf_dir).withColumn("slope", F.abs(F.col("value") - F.lag("value").over(E.by(KEYS, "source_index"))))
     peaks_of = F.array_sort(F.collect_list(F.struct((F.col("pos") / F.lit(1e3)).alias("at"), F.col("value").alias("amp"), F.coalesce("slope", "value").alias("slope"), "event_id")))
-    kept = rows.groupBy("user_id").agg(peaks_of.alias("peaks")).select("user_id", F.explode(E.repair(F.col("peaks"), 600.0, 86400.0)).alias("p"))
+    kept = rows.groupBy("user_id").agg(peaks_of.alias("peaks")).select("user_id", F.explode(E.repair(F.col("peaks"), 600.0, 86400.0, rate=1.0)).alias("p"))
     return kept.select("user_id", F.col("p.event_id").alias("event_id"))
 
 

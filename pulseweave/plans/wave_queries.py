@@ -199,8 +199,8 @@ _WIDE = "w AS (SELECT vec_id // 6 AS record, pos, " + ", ".join(f'max(v) FILTER
 
 
 @query(
-    f"""WITH {_WIDE}, rg AS (SELECT record, list_median([{', '.join(f'max("{n}") - min("{n}")' for n in LIMBS)}]) AS scale FROM w GROUP BY record),
-x AS (SELECT record, relation, r FROM (SELECT record, 'einthoven' AS relation, "I" - "II" + "III" AS r FROM w UNION ALL SELECT record, 'aVR', "aVR" + ("I" + "II") / 2 FROM w UNION ALL SELECT record, 'aVL', "aVL" - ("I" - "II" / 2) FROM w UNION ALL SELECT record, 'aVF', "aVF" - ("II" - "I" / 2) FROM w))
+    f"""WITH {_WIDE}, rg AS (SELECT record, list_median([{', '.join(f'quantile_cont("{n}", 0.99) - quantile_cont("{n}", 0.01)' for n in LIMBS)}]) AS scale FROM w GROUP BY record),
+x AS (SELECT record, relation, r FROM (SELECT record, 'einthoven' AS relation, "II" - "I" - "III" AS r FROM w UNION ALL SELECT record, 'aVR', "aVR" + ("I" + "II") / 2 FROM w UNION ALL SELECT record, 'aVL', "aVL" - ("I" - "II" / 2) FROM w UNION ALL SELECT record, 'aVF', "aVF" - ("II" - "I" / 2) FROM w))
 SELECT record, relation, round(avg(r), 6) AS residual_mean, round(sqrt(avg(r * r)), 6) AS rmse, round(sqrt(avg(r * r)) / any_value(scale), 6) AS relative_rmse FROM x JOIN rg USING (record) GROUP BY record, relation""".replace("list_median(", "list_aggregate(").replace("]) AS scale", "], 'median') AS scale")
 )
 def limb_residuals(spark, sf_dir):
@@ -269,7 +269,7 @@ def waveform_beats(spark, sf_dir):
     """Cut beats of the detected peaks, after repair and validity, as their mean per user."""
     records = signals(spark, sf_dir)
     found = waveforms.detect(records, ["user_id"])
-    fold = F.array_sort(F.collect_list(F.struct((F.col("r_peak_sample") / F.lit(500.0)).alias("at"), "amp", "slope", "r_peak_sample")))
+    fold = F.array_sort(F.collect_list(F.struct(F.col("r_peak_sample").alias("at"), "amp", "slope", "r_peak_sample")))
     kept = found.groupBy("user_id").agg(events.repair(fold).alias("p")).select("user_id", F.explode("p").alias("p")).select("user_id", F.col("p.r_peak_sample").alias("r_peak_sample"))
     timed = events.intervals(kept, ["user_id"], ["r_peak_sample"], "r_peak_sample", 0.5)
     cut = waveforms.beat_waves(timed, records, ["user_id"])
