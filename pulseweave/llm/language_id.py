@@ -47,41 +47,60 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies per language (columns in order of ``langs``) of words and of n-grams by length."""
+    """Log frequencies per language (columns in order of ``langs``): rows of ``scores`` for known words and for n-grams by length."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    by_length: list[dict[str, np.ndarray]]  # longest first
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def word(self, word: str) -> np.ndarray | None:
-        """Evidence of one word, or None."""
-        if (known := self.words.get(word)) is not None:
-            return known
-        if (known := self.cache.get(word)) is not None:
-            return known
-        known = np.zeros(len(self.langs))
+    words: dict[str, int]
+    by_length: list[dict[str, int]]  # longest first
+    scores: np.ndarray
+    seen: dict[str, int] = field(default_factory=dict)  # of unseen words, the row of ``memo``
+    memo: np.ndarray | None = None
+
+    def known_grams(self, word: str) -> list[int]:
+        """Rows of a word's known n-grams of the longest length that has any."""
         longest = len(self.by_length)
         for at, table in enumerate(self.by_length):
-            found = [table[g] for g in grams(word, longest - at) if g in table]
-            if found:
-                known = np.mean(found, axis=0)
-                break
-        if len(self.cache) >= CACHED:
-            self.cache.clear()
-        self.cache[word] = known
-        return known
+            if found := [r for g in grams(word, longest - at) if (r := table.get(g)) is not None]:
+                return found
+        return []
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Evidence of words that are not known, a row each: the mean of their grams."""
+        rows = [self.known_grams(w) for w in words]
+        sizes = np.array([len(r) for r in rows])
+        out = np.zeros((len(words), len(self.langs)))
+        if (some := sizes > 0).any():
+            starts = np.cumsum(sizes[some]) - sizes[some]
+            out[some] = np.add.reduceat(self.scores[np.concatenate([r for r in rows if r])], starts, axis=0) / sizes[some, None]
+        return out
+
+    def remembered(self, words: list[str]) -> np.ndarray:
+        """``unseen`` with a bounded memory of what this worker met."""
+        if len(words) > CACHED:
+            return self.unseen(words)
+        if self.memo is None:
+            self.memo = np.zeros((CACHED, len(self.langs)))
+        new = [w for w in words if w not in self.seen]
+        if len(self.seen) + len(new) > CACHED:
+            self.seen.clear()
+            new = words
+        if new:
+            first = len(self.seen)
+            self.memo[first : first + len(new)] = self.unseen(new)
+            self.seen.update(zip(new, range(first, first + len(new)), strict=True))
+        return self.memo[[self.seen[w] for w in words]]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = Counter(LETTERS.findall(text.lower())) if text else None
         if not words or not self.langs:
             return "und", 0.0
-        total = np.zeros(len(self.langs))
-        n = 0
-        for word, count in words.items():
-            total += count * self.word(word)
-            n += count
-        odds = np.exp(SHARPNESS * (total - total.max()) / n)
+        rows = [self.words.get(w, -1) for w in words]
+        counts, at = np.fromiter(words.values(), np.float64, len(words)), np.array(rows)
+        known = at >= 0
+        total = counts[known] @ self.scores[at[known]]
+        if not known.all():
+            total = total + counts[~known] @ self.remembered([w for w, r in zip(words, rows, strict=True) if r < 0])
+        odds = np.exp(SHARPNESS * (total - total.max()) / counts.sum())
         best = int(total.argmax())
         return self.langs[best], float(odds[best] / odds.sum())
 
@@ -131,7 +150,13 @@ def _model(rows: list[tuple[str, int, str, int]], longest: int) -> Model:
                 logs = np.log((n + 0.5) / (sums + 0.5 * len(table)))
                 # against the mean over languages, so that rare and frequent words weigh alike
                 table[key] = logs - logs.mean()
-    return Model(langs, tables[0], tables[:0:-1])
+    every = [n for table in tables for n in table.values()]
+    scores = np.array(every).reshape(len(every), len(langs))
+    first, places = 0, []
+    for table in tables:
+        places.append({key: first + i for i, key in enumerate(table)})
+        first += len(table)
+    return Model(langs, places[0], places[:0:-1], scores)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
