@@ -37,4 +37,20 @@ FROM p3 JOIN st USING (n, s)
 """
 
 
-ORACLES = {"op7_mixing": _mixing(), "op10_exact_dedup": EXACT}
+RULES = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w FROM documents),
+u AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT r, i, CASE WHEN lead(i, 4) OVER (PARTITION BY r ORDER BY i) IS NOT NULL THEN concat_ws(' ', word, lead(word) OVER x, lead(word, 2) OVER x, lead(word, 3) OVER x, lead(word, 4) OVER x) END AS gram FROM u WINDOW x AS (PARTITION BY r ORDER BY i)),
+c AS (SELECT r, i, gram IS NOT NULL AND count(*) OVER (PARTITION BY r, gram) >= 2 AS twice FROM g),
+k AS (SELECT r, sum(covered::int)::bigint AS n FROM (SELECT r, bool_or(twice) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS covered FROM c) GROUP BY r),
+m AS (SELECT doc_id, coalesce(source, '') AS host, source IS NULL AS hn, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::bigint AS word_chars, len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORDS}))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORDS})))) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN k USING (r)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+h AS (SELECT hn, host, count(*) AS docs, sum((base_failed OR 10 * n_symbols > word_chars OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_dup_lines > 3 * n_words)::int) AS failed FROM f GROUP BY hn, host),
+p AS (SELECT sum(failed) / sum(docs) AS mean, sum(failed * failed / docs) / sum(docs) - (sum(failed) / sum(docs)) ** 2 AS spread FROM h),
+s AS (SELECT mean, CASE WHEN spread > 0 THEN least(greatest(mean * (1 - mean) / spread - 1, 1), 1e6) ELSE 1e6 END AS strength FROM p),
+v AS (SELECT hn, host, (failed + mean * strength) / (docs + strength) > 0.5 AS bad FROM h CROSS JOIN s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept FROM f JOIN v USING (hn, host)
+"""
+
+ORACLES = {"op6_quality_rules": RULES, "op7_mixing": _mixing(), "op10_exact_dedup": EXACT}
