@@ -56,3 +56,13 @@ def fold_of(key: str | Column, folds: int = 8) -> Column:
 def let(value: Column, f) -> Column:
     """``f(value)`` with the value computed once per row, also where ``f`` uses it inside of a lambda over an array."""
     return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def joined(c: str | Column, by: str = ";") -> Column:
+    """An array's values as one text."""
+    return F.array_join(col(c).cast("array<string>"), by)
+
+
+def as_json(c: str | Column) -> Column:
+    """An array, map or struct as JSON text."""
+    return F.to_json(col(c))

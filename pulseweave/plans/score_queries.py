@@ -123,9 +123,11 @@ def _balanced(score: str) -> str:
     return f"(sum(w) FILTER (label = 1 AND {score} >= 0.5) / sum(w) FILTER (label = 1) + sum(w) FILTER (label = 0 AND {score} < 0.5) / sum(w) FILTER (label = 0)) / 2"
 
 
-BOOTSTRAP = f"""
+def bootstrap_sql(first: str, second: str) -> str:
+    """Of two sets of rows of ``pr``; draws by hash, ranks by running sums of weights."""
+    return f"""
 ix AS (SELECT doc_id, label, "A" AS f, "B" AS s, row_number() OVER (PARTITION BY label ORDER BY cast('0x' || substr(md5(doc_id::varchar), 1, 8) AS bigint) % 256, doc_id) - 1 AS k FROM
-  (SELECT doc_id, label, max(score) FILTER (model = 'A') AS "A", max(score) FILTER (model = 'B') AS "B" FROM pr WHERE stage = 'stage1' AND seed = 0 GROUP BY doc_id, label)),
+  (SELECT doc_id, label, max(score) FILTER ({first}) AS "A", max(score) FILTER ({second}) AS "B" FROM pr WHERE stage = 'stage1' GROUP BY doc_id, label)),
 sz AS (SELECT label, count(*) AS size FROM ix GROUP BY label),
 dw AS (SELECT rep, ix.label, cast('0x' || substr(md5('5001|' || rep || '|' || ix.label || '|' || k), 1, 8) AS bigint) % size AS k, count(*) AS w FROM ix JOIN sz USING (label) CROSS JOIN (SELECT unnest(range(0, {REPLICATES})) AS rep) GROUP BY ALL),
 dr AS (SELECT rep, dw.label, f, s, w FROM dw JOIN ix USING (label, k) UNION ALL SELECT -1, label, f, s, 1 FROM ix),
@@ -137,13 +139,28 @@ SELECT round(max(auroc) FILTER (rep = -1), 6) AS delta_auroc, round(quantile_con
 """
 
 
-@query(CTES + BOOTSTRAP)
-def paired_bootstrap(spark, sf_dir):
-    rows = predictions(spark, sf_dir).filter((F.col("stage") == "stage1") & (F.col("seed") == 0))
-    found = metrics.paired_bootstrap(metrics.wide(rows, ["doc_id", "label"]), "A", "B", "doc_id", replicates=REPLICATES)
+A_B = ("seed = 0 AND model = 'A'", "seed = 0 AND model = 'B'")
+C_SHUFFLED = ("seed = 1 AND model = 'C'", "seed = 0 AND model = 'C'")
+
+
+def bootstrapped(spark: SparkSession, sf_dir: str, first: str, second: str) -> DataFrame:
+    rows = predictions(spark, sf_dir).filter("stage = 'stage1'")
+    pairs = rows.filter(first).select("doc_id", "label", F.col("score").alias("first")).join(rows.filter(second).select("doc_id", F.col("score").alias("second")), "doc_id")
+    found = metrics.paired_bootstrap(pairs, "first", "second", "doc_id", replicates=REPLICATES)
     return found.select(*[r(c, digits=6) for c in ("delta_auroc", "auroc_low", "auroc_high", "delta_ba", "ba_low", "ba_high")], "replicates")
 
 
+@query(CTES + bootstrap_sql(*A_B))
+def paired_bootstrap(spark, sf_dir):
+    return bootstrapped(spark, sf_dir, *A_B)
+
+
+@query(CTES + bootstrap_sql(*C_SHUFFLED))
+def paired_bootstrap_shuffled(spark, sf_dir):
+    """Model C in its own order against C in a shuffled one."""
+    return bootstrapped(spark, sf_dir, *C_SHUFFLED)
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three features of labelled documents, one of them with missing values."""
     rows = labelled(spark, sf_dir).withColumn("size", F.log1p(F.col("n_chars").cast("double")))

@@ -81,6 +81,24 @@ def test_fold_logistic_uses_training_rows_only(spark):
             assert found[i] == pytest.approx(1 / (1 + np.exp(-(w[0] + z[i] @ w[1:]))), abs=1e-8)
 
 
+def test_labels_of_a_fold_do_not_reach_its_scores(spark):
+    r = np.random.default_rng(8)
+    data = [(i, i % 3 + 1, int(r.random() < 0.5), float(r.normal())) for i in range(60)]
+    schema, flipped = "id int, fold int, label int, x double", [(i, f, 1 - y if f == 2 else y, x) for i, f, y, x in data]
+    one, two = ({x.id: x.score for x in logistic.fold_scores(spark.createDataFrame(d, schema), [], "fold", "label", ["x"], [1, 2, 3]).filter("fold = 2").collect()} for d in (data, flipped))
+    assert one == pytest.approx(two, abs=1e-12)
+
+
+def test_several_configurations_at_once(spark):
+    r = np.random.default_rng(9)
+    data = [(c, i, i % 2 + 1, int(r.random() < 0.5), float(r.normal())) for c in "ab" for i in range(30)]
+    schema = "cfg string, id int, fold int, label int, x double"
+    both = {(x.cfg, x.id): x.score for x in logistic.fold_scores(spark.createDataFrame(data, schema), ["cfg"], "fold", "label", ["x"], [1, 2]).collect()}
+    for c in "ab":
+        alone = logistic.fold_scores(spark.createDataFrame([d for d in data if d[0] == c], schema), [], "fold", "label", ["x"], [1, 2]).collect()
+        assert {x.id: x.score for x in alone} == pytest.approx({i: s for (k, i), s in both.items() if k == c}, abs=1e-9)
+
+
 def test_unusable_folds_have_no_score(spark):
     scored = spark.createDataFrame([(1, 0.4), (2, 0.6)], "fold int, score double")
     status = spark.createDataFrame([(1, "ok"), (2, "insufficient")], "fold int, status string")
