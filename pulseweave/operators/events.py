@@ -36,14 +36,19 @@ def intervals(rows: DataFrame, keys: Sequence[str], order: Sequence[str], at: st
 def record_gate(rows: DataFrame, keys: Sequence[str], low: float, high: float, least_peaks: int = 5, least_share: float = 0.75) -> DataFrame:
     """A row per record: peaks, share of intervals within [low, high] ms, and the code of what the record fails, empty if nothing."""
     inside = F.col("rr_next_ms").between(low, high).cast("double")
-    gate = F.when(F.col("peaks") < least_peaks, "insufficient_peaks").when(F.coalesce("rr_share", F.lit(0.0)) < least_share, "rr_out_of_range").otherwise("")
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("peaks"), F.avg(inside).alias("rr_share")).withColumn("gate", gate)
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("peaks"), F.avg(inside).alias("rr_share"))
+    return found.withColumn("gate", gate_of(F.col("peaks"), F.col("rr_share"), least_peaks, least_share))
 
 
-def validity(rows: DataFrame, gates: DataFrame, keys: Sequence[str], low: float, high: float, too_large: Column, least_valid: int = 3) -> DataFrame:
-    """``rows`` with valid, failure_reason (the first that holds) and beat_index, dense over the valid ones and -1 elsewhere.
+def gate_of(peaks: Column, share: Column, least_peaks: int = 5, least_share: float = 0.75) -> Column:
+    return F.when(peaks < least_peaks, "insufficient_peaks").when(F.coalesce(share, F.lit(0.0)) < least_share, "rr_out_of_range").otherwise("")
+
+
+def validity(rows: DataFrame, keys: Sequence[str], low: float, high: float, too_large: Column, least_valid: int = 3) -> DataFrame:
+    """``rows`` (with intervals) with valid, failure_reason (the first that holds) and beat_index, dense over the valid ones and -1 elsewhere.
 
     A record with fewer than ``least_valid`` valid events fails as a whole: these carry the record's reason.
+    The gate of ``record_gate`` is taken over a window, so that intervals, gate and index share one exchange.
     """
     out = ~F.col("rr_prev_ms").between(low, high) | ~F.col("rr_next_ms").between(low, high)
     own = (
@@ -53,7 +58,9 @@ def validity(rows: DataFrame, gates: DataFrame, keys: Sequence[str], low: float,
         .when(too_large, ARTIFACT)
         .otherwise("")
     )
-    rows = rows.join(gates.select(*keys, "gate"), list(keys)).withColumn("failure_reason", own).drop("gate")
+    record = Window.partitionBy(*keys)
+    gate = gate_of(F.count(F.lit(1)).over(record), F.avg(F.col("rr_next_ms").between(low, high).cast("double")).over(record))
+    rows = rows.withColumn("gate", gate).withColumn("failure_reason", own).drop("gate")
     few = F.sum((F.col("failure_reason") == "").cast("int")).over(Window.partitionBy(*keys)) < least_valid
     rows = rows.withColumn("failure_reason", F.when((F.col("failure_reason") == "") & few, FEW).otherwise(F.col("failure_reason")))
     rows = rows.withColumn("valid", F.col("failure_reason") == "")

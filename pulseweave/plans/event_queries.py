@@ -43,7 +43,7 @@ def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = timed(spark, sf_dir)
     large = (F.col("value") > LARGEST) | (F.col("event_type") == "error")
-    return E.validity(rows, E.record_gate(rows, KEYS, LOW, HIGH), KEYS, LOW, HIGH, large)
+    return E.validity(rows, KEYS, LOW, HIGH, large)
 
 
 def valid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

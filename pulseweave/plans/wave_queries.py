@@ -274,7 +274,7 @@ def waveform_beats(spark, sf_dir):
     timed = events.intervals(kept, ["user_id"], ["r_peak_sample"], "r_peak_sample", 0.5)
     cut = waveforms.beat_waves(timed, records, ["user_id"])
     rows = timed.join(cut.select("user_id", "source_index", "max_abs"), ["user_id", "source_index"], "left")
-    valid = events.validity(rows, events.record_gate(timed, ["user_id"], 300, 2000), ["user_id"], 300, 2000, F.col("max_abs") > 20).filter("valid")
+    valid = events.validity(rows, ["user_id"], 300, 2000, F.col("max_abs") > 20).filter("valid")
     own = valid.join(cut.select("user_id", "source_index", F.col("beat")[6].alias("V1")), ["user_id", "source_index"])
     return templates.mean_wave(own, ["user_id"], "V1").select("user_id", "n", r(F.element_at("V1", 251), "at_peak", 6), r(F.element_at("V1", 1), "at_start", 6))
 

@@ -52,10 +52,10 @@ def test_validity_reasons(spark):
     timed = events.intervals(rows, KEYS, ["pos"], "pos", 0.5)
     gates = events.record_gate(timed, KEYS, 300, 2000)
     assert {x.rec: x.gate for x in gates.collect()} == {"r": "", "s": "insufficient_peaks"}
-    found = {(x.rec, x.pos): (x.failure_reason, x.beat_index) for x in events.validity(timed, gates, KEYS, 300, 2000, F.col("v") > 20, 2).collect()}
+    found = {(x.rec, x.pos): (x.failure_reason, x.beat_index) for x in events.validity(timed, KEYS, 300, 2000, F.col("v") > 20, 2).collect()}
     assert [found["r", p] for p in at] == [(events.EDGE, -1), ("", 0), ("", 1), (events.NEIGHBOUR, -1), (events.NEIGHBOUR, -1), ("", 2), (events.ARTIFACT, -1), (events.EDGE, -1)]
     assert found["s", 400] == (events.EDGE, -1)
-    few = events.validity(timed, gates, KEYS, 300, 2000, F.col("v") > 20, 9).filter("valid")
+    few = events.validity(timed, KEYS, 300, 2000, F.col("v") > 20, 9).filter("valid")
     assert few.count() == 0
 
 
