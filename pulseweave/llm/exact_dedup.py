@@ -71,7 +71,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = find_copies(docs, id_col, text_col, keep)
     kept = found.filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
     keyed = docs.withColumn("_row_digest", F.unhex(F.sha2(text_of(text_col), 256)))
-    out = keyed.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_row_digest") == F.col("_keep_digest")), "left_semi")
+    out = keyed.join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_row_digest") == F.col("_keep_digest")), "left_semi")
     if not found.filter(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).isEmpty():  # rows that repeat identifier and text
         out = out.dropDuplicates([id_col, "_row_digest"])
     return out.drop("_row_digest")

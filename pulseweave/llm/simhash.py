@@ -193,7 +193,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = near_groups(docs, id_col, text_col, width, distance, crowd)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).withColumnRenamed("doc_id", "_keep_id")
     kept = materialise(kept, "kept_documents")
-    out = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")), "inner" if kept.filter("_rows > 1").isEmpty() else "left_semi").select(*docs.columns)
+    # one plan at every size: texts meet the kept identifiers by a merge join, also where these would fit a broadcast
+    out = docs.join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")), "inner" if kept.filter("_rows > 1").isEmpty() else "left_semi").select(*docs.columns)
     if not kept.filter("_rows > 1").isEmpty():
         out = out.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), text_of(text_col)).alias("_row")).select("_row.*")
     return out
