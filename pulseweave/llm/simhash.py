@@ -33,7 +33,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_by_size, materialise, text_of
@@ -152,8 +152,12 @@ def links(uniq: DataFrame, distance: int = 2, crowd: int = 64) -> DataFrame:
     _, chosen = allocate(search_costs(n, both, groups, distance, [agree.get(i, 0.0) for i in range(parts)]), distance - parts + 1)
 
     def keyed(most: list[int]) -> DataFrame:
-        found = [F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(groups[i]))).bitwiseXOR(F.lit(flip)).alias("key")) for i, t in enumerate(most) if t >= 0 for flip in _flips(groups[i], t)]
-        return uniq.select("fp", F.explode(F.array(*found)).alias("e")).select("fp", "e.part", "e.key")
+        def probes(i: int, t: int) -> Column:
+            own, flips = F.col("fp").bitwiseAND(F.lit(_mask(groups[i]))), F.array(*[F.lit(flip) for flip in _flips(groups[i], t)])
+            return F.transform(flips, lambda flip: F.struct(F.lit(i).alias("part"), own.bitwiseXOR(flip).alias("key")))
+
+        found = F.concat(*[probes(i, t) for i, t in enumerate(most) if t >= 0])
+        return uniq.select("fp", F.explode(found).alias("e")).select("fp", "e.part", "e.key")
 
     used, probed = keyed([min(t, 0) for t in chosen]), keyed(chosen)
     if max(chosen) > 0:

@@ -195,6 +195,24 @@ def test_links_find_every_component(spark):
         assert reach(sorted(fps), lambda a, b, linked=linked: frozenset((a, b)) in linked) == expected
 
 
+def test_links_by_wider_thresholds(spark, monkeypatch):
+    """Where verifying is dear, fewer parts with thresholds above 0 are chosen; the links stay the same."""
+    r = random.Random(6)
+    fps = [r.getrandbits(64) for _ in range(20)]
+    fps += [f ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for f in fps] + [f ^ (7 << r.randrange(60)) for f in fps]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    uniq = spark.createDataFrame([(signed(f),) for f in set(fps)], "fp long")
+    expected = {(min(a, b), max(a, b)) for a in fps for b in fps if 0 < (a ^ b).bit_count() <= 2}
+    for cost in (1.0, 1e7):
+        monkeypatch.setattr(simhash, "VERIFY_COST", cost)
+        n, both = simhash.bit_counts(uniq)
+        plans = {m: simhash.allocate(simhash.search_costs(n, both, simhash.group_bits(n, both, m), 2), 3 - m) for m in (1, 2, 3)}
+        chosen = min(plans.values(), key=lambda p: p[0])[1]
+        assert (max(chosen) > 0) == (cost > 1)
+        found = {tuple(sorted((a % (1 << 64), b % (1 << 64)))) for a, b in simhash.links(uniq, 2, 64).collect()}
+        assert found == expected
+
+
 def test_thresholds_by_dynamic_programming():
     costs = np.array([[0, 5.0, 100, 900], [0, 50.0, 60, 70], [0, 9.0, 20, 30]])
     best = min(sum(costs[i, t + 1] for i, t in enumerate(ts)) for ts in np.ndindex(4, 4, 4) for ts in [tuple(t - 1 for t in ts)] if sum(ts) == 0)
