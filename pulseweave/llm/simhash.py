@@ -194,7 +194,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2, crowd: int = 64) -> DataFrame:
     """``docs`` with the document of the smallest identifier of each group only; rows that repeat an identifier are one document, of which the smallest text stays."""
-    found = near_groups(docs, id_col, text_col, width, distance, crowd)
+    return keep_first(docs, near_groups(docs, id_col, text_col, width, distance, crowd), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the documents only whose identifier is that of their component in ``found``."""
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).withColumnRenamed("doc_id", "_keep_id")
     kept = materialise(kept, "kept_documents")
     # one plan at every size: texts meet the kept identifiers by a merge join, also where these would fit a broadcast
