@@ -245,51 +245,55 @@ def flat_threshold_table(spark, sf_dir):
     return found.select("threshold_mv", *[r(c, digits=6) for c in ("flag_rate", "max_median", "max_q25", "max_q75")])
 
 
-#: Signals made from events: a user's events, in order, are pulses on twelve leads.
+#: Signals made from events: a user's events, in order, are records of twelve, and a record's events are pulses on twelve leads.
+RECORD, PULSES = ["user_id", "record"], 12
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """12 leads x 5000 samples per user: pulses every 300 to 500 samples, their height from the events' values."""
-    peaks = event_queries.peaks(spark, sf_dir).groupBy("user_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "event_id", "value"))), lambda e: e["value"]), 1, 12).alias("values"))
+    """12 leads x 5000 samples per twelve events of a user, the last ones fewer: pulses every 300 to 500 samples, their height from the events' values."""
+    rows = event_queries.timed(spark, sf_dir).withColumn("record", F.floor(F.col("source_index") / PULSES))
+    peaks = rows.groupBy(*RECORD).agg(F.transform(F.array_sort(F.collect_list(F.struct("source_index", "value"))), lambda e: e["value"]).alias("values"))
     at = lambda k: k * 400 + F.floor(F.element_at(F.col("values"), k + 1)).cast("int") % 100
     pulse = lambda k, t: (1 + F.element_at(F.col("values"), k + 1) % 1) * F.exp(-((t - at(k) - 150) * (t - at(k) - 150)) / 50.0)
     base = F.transform(F.sequence(F.lit(0), F.lit(4999)), lambda t: F.aggregate(F.sequence(F.lit(0), F.size("values") - 1), F.lit(0.0), lambda a, k: a + F.when(F.abs(t - at(k) - 150) < 60, pulse(k, t)).otherwise(0.0)) + 0.05 * F.sin(t / 400.0))
     gains = {name: 0.4 + 0.1 * k if name != "aVR" else -0.5 for k, name in enumerate(waveforms.LEADS)}
     scaled = lambda g: F.transform("base", lambda x: x * g)
     made = F.array(*[scaled(g) for g in gains.values()])
-    return peaks.filter(F.size("values") >= 6).withColumn("base", base).select("user_id", made.alias("signal"), F.lit(True).alias("ok"))
+    return peaks.withColumn("base", base).select(*RECORD, made.alias("signal"), F.lit(True).alias("ok"))
 
 
 @query()
 def waveform_peaks(spark, sf_dir):
     """Detected peaks of signals made from events; NumPy inside Spark tasks, held to known pulses in the tests."""
-    return waveforms.detect(signals(spark, sf_dir), ["user_id"]).select("user_id", "r_peak_sample", r("amp", digits=6), r("slope", digits=6))
+    return waveforms.detect(signals(spark, sf_dir), RECORD).select(*RECORD, "r_peak_sample", r("amp", digits=6), r("slope", digits=6))
 
 
 @query()
 def waveform_beats(spark, sf_dir):
-    """Cut beats of the detected peaks, after repair and validity, as their mean per user."""
+    """Cut beats of the detected peaks, after repair and validity, as their mean per record."""
     records = signals(spark, sf_dir)
-    found = waveforms.detect(records, ["user_id"])
+    found = waveforms.detect(records, RECORD)
     fold = F.array_sort(F.collect_list(F.struct(F.col("r_peak_sample").alias("at"), "amp", "slope", "r_peak_sample")))
-    kept = found.groupBy("user_id").agg(events.repair(fold).alias("p")).select("user_id", F.explode("p").alias("p")).select("user_id", F.col("p.r_peak_sample").alias("r_peak_sample"))
-    timed = events.intervals(kept, ["user_id"], ["r_peak_sample"], "r_peak_sample", 0.5)
-    cut = waveforms.beat_waves(timed, records, ["user_id"])
-    rows = timed.join(cut.select("user_id", "source_index", "max_abs"), ["user_id", "source_index"], "left")
-    valid = events.validity(rows, ["user_id"], 300, 2000, F.col("max_abs") > 20).filter("valid")
-    own = valid.join(cut.select("user_id", "source_index", F.col("beat")[6].alias("V1")), ["user_id", "source_index"])
-    return templates.mean_wave(own, ["user_id"], "V1").select("user_id", "n", r(F.element_at("V1", 251), "at_peak", 6), r(F.element_at("V1", 1), "at_start", 6))
+    kept = found.groupBy(*RECORD).agg(events.repair(fold).alias("p")).select(*RECORD, F.explode("p").alias("p")).select(*RECORD, F.col("p.r_peak_sample").alias("r_peak_sample"))
+    timed = events.intervals(kept, RECORD, ["r_peak_sample"], "r_peak_sample", 0.5)
+    cut = waveforms.beat_waves(timed, records, RECORD)
+    rows = timed.join(cut.select(*RECORD, "source_index", "max_abs"), [*RECORD, "source_index"], "left")
+    valid = events.validity(rows, RECORD, 300, 2000, F.col("max_abs") > 20).filter("valid")
+    own = valid.join(cut.select(*RECORD, "source_index", F.col("beat")[6].alias("V1")), [*RECORD, "source_index"])
+    return templates.mean_wave(own, RECORD, "V1").select(*RECORD, "n", r(F.element_at("V1", 251), "at_peak", 6), r(F.element_at("V1", 1), "at_start", 6))
 
 
 @query()
 def detector_grid(spark, sf_dir):
     """Candidates for nine detector settings, summed up over signals made from events."""
-    found = waveforms.detector_grid(signals(spark, sf_dir), ["user_id"])
+    found = waveforms.detector_grid(signals(spark, sf_dir), RECORD)
     return found.groupBy("min_peak_distance_ms", "mad_multiplier").agg(F.avg(F.col("beat_gate_pass").cast("double")).alias("pass_rate"), F.percentile("peak_count", F.lit(0.5)).alias("peak_median"), r(F.percentile("rr_in_range_fraction", F.lit(0.5)), "rr_median", 6))
 
 
 @query()
 def lead_spectra(spark, sf_dir):
     """Power and band shares per lead of signals made from events."""
-    return waveforms.spectra(signals(spark, sf_dir), ["user_id"]).select("user_id", "lead", *[r(c, digits=6) for c in ("total_power", "baseline_ratio", "power_49_51_ratio", "power_40_100_ratio")], "zero_power")
+    return waveforms.spectra(signals(spark, sf_dir), RECORD).select(*RECORD, "lead", *[r(c, digits=6) for c in ("total_power", "baseline_ratio", "power_49_51_ratio", "power_40_100_ratio")], "zero_power")
 
 
 @query("SELECT doc_id AS path, octet_length(encode(coalesce(text, '')))::bigint AS size, sha256(coalesce(text, '')) AS sha256 FROM documents")
