@@ -103,7 +103,7 @@ def vh_threshold_counts(spark, sf_dir):
     return templates.threshold_counts(found, "wave_sd", "label", (0.11, 0.12, 0.125, 0.13))
 
 
-#: Distances: waves stretched to 500 samples; the pair table is each wave against the next three of its label.
+#: Distances: waves stretched to 500 samples; a record of the pair table is twelve vectors in order of their number.
 def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = waves(spark, sf_dir)
     index = F.row_number().over(events.by(["label"], "vec_id")) - 1
@@ -112,9 +112,10 @@ def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pairwise_distance(spark, sf_dir):
-    """Elastic distance of neighbouring waves of a label; held to a plain version in the tests."""
-    found = distances.with_distance(distances.inner_pairs(beats(spark, sf_dir), ["label"], "index", "wave", most_gap=3))
-    return found.select("label", "i", "j", r("distance", digits=6))
+    """Elastic distance of all pairs of a record's waves; held to a plain version in the tests."""
+    rows = waves(spark, sf_dir).select(F.floor(F.col("vec_id") / 12).alias("record"), "vec_id", distances.stretched("embedding").alias("wave"))
+    found = distances.with_distance(distances.inner_pairs(rows, ["record"], "vec_id", "wave"))
+    return found.select("record", "i", "j", r("distance", digits=6))
 
 
 @query()

@@ -1,10 +1,15 @@
 """Wave queries use all events, pairs and probes."""
 
+from math import comb
+
 import numpy as np
 import pytest
 
+from pulseweave.operators import distances
 from pulseweave.plans import wave_queries
 
+from .test_waves import plain_distance
+
 
 @pytest.fixture(scope="module")
 def sf_dir(spark, tmp_path_factory):
@@ -27,3 +32,10 @@ def test_signals_use_all_events(spark, sf_dir):
     assert wave_queries.lead_spectra(spark, sf_dir).count() == 12 * len(records)
     assert wave_queries.detector_grid(spark, sf_dir).count() == 9
     assert {(1, 0), (1, 1)} <= {(x.user_id, x.record) for x in wave_queries.waveform_beats(spark, sf_dir).collect()}
+
+
+def test_all_pairs_of_a_record(spark, sf_dir):
+    found = {(x.i, x.j): x.distance for x in wave_queries.pairwise_distance(spark, sf_dir).collect()}
+    assert set(found) == {(i, j) for j in range(61) for i in range(j) if i // 12 == j // 12} and len(found) == 5 * comb(12, 2)
+    wave = {x.vec_id: np.array(x.w) for x in wave_queries.waves(spark, sf_dir).select("vec_id", distances.stretched("embedding").alias("w")).collect()}
+    assert found[0, 11] == pytest.approx(plain_distance(wave[0], wave[11]), abs=1e-5)
