@@ -120,9 +120,9 @@ def pairwise_distance(spark, sf_dir):
 
 @query()
 def template_distance(spark, sf_dir):
-    """Elastic distance of every wave to its fold's templates of two classes."""
+    """Elastic distance of every wave to its fold's templates of all classes."""
     rows = beats(spark, sf_dir)
-    made = templates.fold_templates(rows, [], "fold", "label", "wave", FOLDS, [0, 1], 1).select("fold", F.col("label").alias("template_label"), "wave")
+    made = templates.fold_templates(rows, [], "fold", "label", "wave", FOLDS, LABELS, 1).select("fold", F.col("label").alias("template_label"), "wave")
     return distances.to_templates(rows.select("vec_id", "fold", "wave"), made, ["fold"], "wave").select("vec_id", "template_label", r("distance", digits=6))
 
 
@@ -135,10 +135,11 @@ def self_reference_distance(spark, sf_dir):
 
 @query()
 def probe_grid(spark, sf_dir):
-    """A cell per probe, lead and class; leads are the vector's number modulo 3, so two of three cells have no beat."""
-    rows = beats(spark, sf_dir).filter("fold = 1").select("vec_id", (F.col("vec_id") % 3).alias("lead"), "label", "wave")
-    made = templates.mean_wave(beats(spark, sf_dir).select((F.col("vec_id") % 3).alias("lead"), "label", "wave"), ["lead", "label"], "wave").withColumn("status", F.when(F.col("n") >= 14, "ok").otherwise("insufficient_prototypes"))
-    return distances.probe_grid(rows, made, "vec_id", "lead", "label", "wave", [0, 1, 2], [0, 1]).select("vec_id", "lead", "label", r("distance", digits=6), "status")
+    """A cell per probe, lead and class; a vector is a lead of the probe vec_id // 3, and prototypes are of the other folds' probes."""
+    rows = waves(spark, sf_dir).select(F.floor(F.col("vec_id") / 3).alias("probe"), (F.col("vec_id") % 3).alias("lead"), "label", distances.stretched("embedding").alias("wave"))
+    rows = rows.withColumn("fold", fold_of("probe"))
+    made = templates.fold_templates(rows, ["lead"], "fold", "label", "wave", FOLDS, LABELS, 1).withColumn("status", F.when((F.col("n") >= 14) & F.col("wave").isNotNull(), "ok").otherwise("insufficient_prototypes"))
+    return distances.probe_grid(rows, made, "probe", "lead", "label", "wave", [0, 1, 2], LABELS, "fold").select("probe", "lead", "label", r("distance", digits=6), "status")
 
 
 @query(

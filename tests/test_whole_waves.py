@@ -39,3 +39,15 @@ def test_all_pairs_of_a_record(spark, sf_dir):
     assert set(found) == {(i, j) for j in range(61) for i in range(j) if i // 12 == j // 12} and len(found) == 5 * comb(12, 2)
     wave = {x.vec_id: np.array(x.w) for x in wave_queries.waves(spark, sf_dir).select("vec_id", distances.stretched("embedding").alias("w")).collect()}
     assert found[0, 11] == pytest.approx(plain_distance(wave[0], wave[11]), abs=1e-5)
+
+
+def test_all_probes_and_classes(spark, sf_dir):
+    grid = {(x.probe, x.lead, x.label): x for x in wave_queries.probe_grid(spark, sf_dir).collect()}
+    assert set(grid) == {(p, k, c) for p in range(21) for k in range(3) for c in range(10)}
+    vectors = {x.vec_id: x for x in wave_queries.waves(spark, sf_dir).select("vec_id", "label", distances.stretched("embedding").alias("w")).collect()}
+    fold = {x.vec_id: x.fold for x in wave_queries.waves(spark, sf_dir).select("vec_id", "fold").collect()}  # a probe's number is hashed as a vector's
+    for p, k, c in ((4, 0, 3), (7, 2, 5), (19, 1, 8)):
+        pool = [np.array(v.w) for i, v in vectors.items() if i % 3 == k and v.label == c and fold[i // 3] != fold[p]]
+        if pool and grid[p, k, c].distance is not None:
+            assert grid[p, k, c].distance == pytest.approx(plain_distance(np.array(vectors[3 * p + k].w), np.mean(pool, 0)), abs=1e-5)
+    assert {(x.vec_id, x.template_label) for x in wave_queries.template_distance(spark, sf_dir).collect()} == {(i, c) for i in range(61) for c in range(10)}
