@@ -10,7 +10,8 @@ above zero for words and below for tags.
 
 The run is widened to whole blocks, and to the marked article it lies in; what
 HTML or class names declare to be menus, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts or styles is left out of it. Character
+adverts, forms, comments, scripts or styles is left out of it, unless that holds
+the marked article or most of the words in paragraphs. Character
 references are decoded, white space inside a block (a line break is such) becomes
 one space, and blocks are joined by two newlines.
 
@@ -52,6 +53,9 @@ OUTSIDE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|respond|replies|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])",
     re.I,
 )
+#: Elements that no class word puts outside, and first parts of class names that tell of a layout, not of what the element is.
+WHOLE = frozenset("html body main article".split())
+LAYOUT_WORDS = re.compile(r"(?<!\S)(?:has|with|without|no)[_-]\S*", re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 MARKED = ("article", "main")
 WORD_KINDS = ("p", "a", "li", "heading", "cell", "other")
@@ -72,42 +76,83 @@ def _word_kind(stack: list[tuple[str, bool]]) -> str:
     return "other"
 
 
+def _named_outside(attrs: str) -> bool:
+    return any(OUTSIDE_WORDS.search(LAYOUT_WORDS.sub("", " ".join(x))) for x in NAMED.findall(attrs))
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, bool, int]]:
-    """(kind, text, outside, marked) of each token: kind is ``/name``, ``name`` or ``word:kind``; marked numbers the article around it, -1 for none."""
-    stack: list[tuple[str, bool]] = []
+    """(kind, text, outside, marked) of each token: kind is ``/name``, ``name`` or ``word:kind``; marked numbers the article around it, -1 for none.
+
+    Forms and named containers are outside only if they do not hold the page: its one marked article or, where
+    there is none or several, most of its words in paragraphs.
+    """
+    found: list[tuple[str, str, bool, tuple[int, ...], int]] = []
+    stack: list[tuple[str, int]] = []  # name and: 0 inside, -1 outside, or the number of a container to be judged at the end
+    judged: tuple[int, ...] = ()
+    holds: set[int] = set()  # containers around an article
+    containers = 0
     outside = marked = 0
     article = -1
+
+    def close() -> str:
+        nonlocal outside, marked, judged
+        name, out = stack.pop()
+        if out < 0:
+            outside -= 1
+        elif out:
+            judged = judged[:-1]
+        marked -= name in MARKED
+        return name
+
     for m in TOKEN.finditer(page):
         kind = m.lastgroup
         if kind == "text":
             text = html.unescape(m["text"]) if "&" in m["text"] else m["text"]
-            yield f"word:{_word_kind(stack)}", text, outside > 0, article if marked else -1
+            found.append((f"word:{_word_kind(stack)}", text, outside > 0, judged, article if marked else -1))
             continue
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
             continue
         ends = bool(m["end"] or m["end2"])
         known = name if name in BLOCKS or name in INLINE or name in VOID else "unknown"
-        yield f"/{known}" if ends else known, "", outside > 0, article if marked else -1
+        found.append((f"/{known}" if ends else known, "", outside > 0, judged, article if marked else -1))
         if name in VOID or (name in INLINE and name not in ("a", "button")):
             continue
         if ends:
             if any(n == name for n, _ in stack):
-                while True:
-                    n, out = stack.pop()
-                    outside -= out
-                    marked -= n in MARKED
-                    if n == name:
-                        break
+                while close() != name:
+                    pass
             continue
         while stack and ((stack[-1][0] == "p" and name in BLOCKS) or (stack[-1][0] == name and name in ("li", "td", "th", "tr", "dt", "dd")) or (name in BLOCKS and stack[-1][0] == "a")):
-            outside -= stack.pop()[1]
-        out = name in OUTSIDE or any(OUTSIDE_WORDS.search(" ".join(x)) for x in NAMED.findall(m["attrs"] or m["attrs2"] or ""))
+            close()
+        out = 0
+        if name in OUTSIDE and name != "form":
+            out = -1
+            outside += 1
+        elif name == "form" or (name not in WHOLE and _named_outside(m["attrs"] or m["attrs2"] or "")):
+            out = containers = containers + 1
+            judged = (*judged, out)
         stack.append((name, out))
-        outside += out
         if name in MARKED:
-            article += not marked
+            if not marked:
+                article += 1
+                holds.update(judged)
             marked += 1
+    inside: set[int] = set()
+    if containers:
+        if article == 0:
+            inside = holds
+        else:
+            words = [0] * (containers + 1)
+            for kind, text, _, around, _ in found:
+                if kind == "word:p":
+                    n = len(text.split())
+                    words[0] += n
+                    for k in around:
+                        words[k] += n
+            inside = {k for k, n in enumerate(words) if 2 * n > words[0]}
+    for kind, text, out, around, own in found:
+        yield kind, text, out or any(k not in inside for k in around), own
 
 
 def count_kinds(page: str) -> Counter:
