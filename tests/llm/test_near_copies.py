@@ -6,6 +6,8 @@ import corpus_pipeline
 from pulseweave.llm import near_copies
 from pulseweave.llm.words import shingle_hashes
 
+from . import test_pipeline as former
+
 
 def plain_kept(rows):
     sets = [frozenset(shingle_hashes(t or "", 5).tolist()) for _, t in rows]
@@ -43,3 +45,14 @@ def test_near_copies_of_the_pipeline(spark, tmp_path):
     found = sorted(x.doc_id for x in corpus_pipeline.near_copies(spark, docs, "").collect())
     assert found == plain_kept(rows)
     assert near_copies.near_groups(docs.limit(0)).count() == 0
+
+
+def test_pipeline_by_similarity(spark, tmp_path, monkeypatch):
+    """The whole pipeline against its plain version, with the rule of this stage instead of the former one."""
+
+    def groups(rows, *_):
+        kept = set(plain_kept(rows))
+        return [(i, None, i if i in kept else None) for i, _ in rows]
+
+    monkeypatch.setattr(former, "brute_groups", groups)
+    former.test_pipeline(spark, tmp_path)
