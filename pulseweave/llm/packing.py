@@ -106,15 +106,17 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
     """Whole texts as ids with ``end_id`` at the end, cut at ``capacity``; written to the shared folder."""
-    path, end = tokenizer or default_path(), end_id.to_bytes(4, "little")
+    path, mark = tokenizer or default_path(), end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, ranks, ids_of = TaskContext.get().partitionId(), Counter(), encoder(path).ids
+        part, ranks, encode = TaskContext.get().partitionId(), Counter(), encoder(path).batch
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
+            doc_ids = batch.column(0).to_pylist()
+            for low, high, found, ends in encode(batch.column(1)):
                 out: list[list] = [[] for _ in range(6)]
-                for doc_id, text in zip(*(batch.column(k).slice(at, 512).to_pylist() for k in (0, 1)), strict=True):
-                    ids = ids_of(text) + end
+                begin = 0
+                for doc_id, end in zip(doc_ids[low:high], ends.tolist(), strict=True):
+                    ids, begin = found[begin:end].tobytes() + mark, end
                     for k, start in enumerate(range(0, len(ids) // 4, capacity)):
                         cut = ids[4 * start : 4 * (start + capacity)]
                         length = len(cut) // 4

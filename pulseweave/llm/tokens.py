@@ -8,22 +8,32 @@ by the vocabulary's own pattern and its pieces go to the library's BPE model;
 any other chunk, and any text with a special token's string, goes through the
 library whole. ``ids`` equals ``Tokenizer.encode(text,
 add_special_tokens=False).ids`` for every text.
+
+``batch`` does the same for an Arrow array of texts at once: Arrow lower-cases,
+splits and numbers the chunks, every distinct chunk is encoded once, and NumPy
+lays the ids out in order of the texts.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: What the fast way covers: printable ASCII and Latin letters, of which none composes with another.
 PLAIN = re.compile(r"[\x21-\x7eÀ-įĲ-ž]*")
-#: ASCII letters with marks behind, the apostrophe not among them: two pieces by any reading of the pattern.
-WORD_AND_MARKS = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
-MOST_CACHED = 400_000
+#: ASCII marks without the apostrophe: letters with such marks behind are two pieces by any reading of the pattern.
+MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+MOST_CACHED = 1_000_000
 LONGEST_CACHED = 48
+#: Bytes of text that are laid out at a time (a longer text is a step of its own): bounds the arrays of ``batch``.
+STEP_BYTES = 16 << 20
 
 
 def default_path() -> str:
@@ -46,12 +56,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"].lower().encode() for t in spec["added_tokens"]]
         self.chunks: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         split = [s for s in spec["pre_tokenizer"].get("pretokenizers", []) if s["type"] == "Split"] if spec.get("pre_tokenizer") else []
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         #: the cache is right only for the kind of vocabulary described above
@@ -59,34 +68,31 @@ class Encoder:
         if self.cached:
             self.find = regex.compile(split[0]["pattern"]["Regex"]).findall
             self.letters = byte_letters()
+            self.as_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def whole(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            mapped = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-            found = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(mapped)])
-            if len(self.pieces) >= MOST_CACHED:
-                self.pieces.clear()
-            if len(piece) <= LONGEST_CACHED:
-                self.pieces[piece] = found
-        return found
+        """Ids of what the vocabulary's pattern cuts out as one piece."""
+        mapped = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        return b"".join([self.as_bytes[t.id] for t in self.model.tokenize(mapped)])
 
     def chunk(self, chunk: bytes) -> bytes:
-        found = self.older.get(chunk)
-        if found is None:
-            if chunk.isalpha():
-                found = self.piece(chunk.decode())
-            elif m := WORD_AND_MARKS.fullmatch(chunk):
-                found = self.piece(m[1].decode()) + self.piece(m[2].decode())
-            else:
-                text = chunk.decode()
-                found = b"".join(map(self.piece, self.find(text.lower()))) if PLAIN.fullmatch(text) else self.whole(text)
+        """Ids of a chunk that is not remembered."""
+        text = chunk.decode()
+        if not PLAIN.fullmatch(text):
+            found = self.whole(text)
+        elif (text := text.lower()).isalpha():
+            found = self.piece(text)
+        elif (word := text.rstrip(MARKS)).isalpha():
+            own, marks = word.encode(), text[len(word) :].encode()
+            found = (self.chunks.get(own) or self.chunk(own)) + (self.chunks.get(marks) or self.chunk(marks))
+        else:
+            found = b"".join(map(self.piece, self.find(text)))
         if len(chunk) <= LONGEST_CACHED:
-            if len(self.chunks) >= MOST_CACHED:  # two generations: what is in use survives
-                self.older, self.chunks = self.chunks, {}
+            if len(self.chunks) >= MOST_CACHED:
+                self.chunks.clear()
             self.chunks[chunk] = found
         return found
 
@@ -98,6 +104,41 @@ class Encoder:
         get, miss = self.chunks.get, self.chunk
         return b"".join([get(c) or miss(c) for c in raw.split()])
 
+    def batch(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first, behind, ids, ends) of runs of texts without nulls: all ids of the texts from ``first`` on, and where each text's end."""
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < len(texts):
+            done = sizes[first - 1] if first else 0
+            behind = max(first + 1, int(np.searchsorted(sizes, done + STEP_BYTES, side="right")))
+            yield first, behind, *self._laid_out(texts.slice(first, behind - first))
+            first = behind
+
+    def _laid_out(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lowered = pc.ascii_lower(texts.cast(pa.string()))
+        apart = np.full(len(texts), not self.cached)
+        for s in self.special:
+            apart |= pc.match_substring(lowered, s.decode()).to_numpy(zero_copy_only=False)
+        if apart.any():
+            lowered = pc.if_else(pa.array(apart), "", lowered)
+        lists = pc.ascii_split_whitespace(lowered)
+        chunks = lists.flatten().dictionary_encode()
+        _, places, data = chunks.dictionary.buffers()
+        data, places = data.to_pybytes() if data else b"", np.frombuffer(places, np.int32)[: len(chunks.dictionary) + 1].tolist()
+        get, miss = self.chunks.get, self.chunk
+        found = [get(c) or miss(c) for c in (data[a:b] for a, b in zip(places, places[1:], strict=False))]
+        table, lengths = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int32, len(found)) // 4
+        code = chunks.indices.to_numpy(zero_copy_only=False)
+        each = lengths[code]
+        ends = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        # the k-th id of a chunk's occurrence is the k-th behind the chunk's first one in the table
+        ids = table[np.repeat((np.cumsum(lengths) - lengths)[code] - ends[:-1], each) + np.arange(ends[-1])]
+        bounds = ends[lists.offsets.to_numpy(zero_copy_only=False)]
+        if not apart.any():
+            return ids, bounds[1:]
+        parts = [np.frombuffer(self.whole(texts[k].as_py()), "<u4") if own else ids[bounds[k] : bounds[k + 1]] for k, own in enumerate(apart)]
+        return np.concatenate(parts), np.cumsum([len(x) for x in parts])
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:

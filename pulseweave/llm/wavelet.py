@@ -10,7 +10,8 @@ that any store Spark can write will do.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat an
 identifier follow each other in order of text; null identifiers come first; an
-empty table gives no shard; other columns are ignored. A shard ends with the
+empty table gives no shard; other columns are ignored; an id that does not fit
+into ``bits`` bits stops the job. A shard ends with the
 document that fills it, so it holds ``shard_ids`` ids and one text more at
 most.
 """
@@ -117,11 +118,17 @@ class WaveletMatrix:
         return ids
 
 
-def _shard(part: int, shard: int, first: int, ids: list[bytes], docs: list[int | None], bits: int) -> dict:
-    matrix = WaveletMatrix.build(np.frombuffer(b"".join(ids), "<u4").astype(np.uint16 if bits <= 16 else np.uint32), bits)
+def _shard(part: int, shard: int, first: int, ids: list[np.ndarray], docs: list[int | None], bits: int, end_id: int) -> dict:
+    """The shard of documents whose ids, without the end id behind each, are ``ids``."""
+    ends = np.cumsum([len(x) + 1 for x in ids])
+    whole = np.full(ends[-1], end_id, np.uint16 if bits <= 16 else np.uint32)
+    own = np.ones(len(whole), bool)
+    own[ends - 1] = False
+    whole[own] = np.concatenate(ids)
+    matrix = WaveletMatrix.build(whole, bits)
     return {
         "part": part, "shard": shard, "first": first, "n_ids": matrix.n, "bits": bits, "zeros": matrix.zeros.tolist(), "planes": matrix.planes.tobytes(), "ranks": matrix.ranks.astype("<u4").tobytes(),
-        "doc_ids": [d or 0 for d in docs], "doc_ids_null": [d is None for d in docs], "doc_ends": np.cumsum([len(x) // 4 for x in ids]).tolist(),
+        "doc_ids": [d or 0 for d in docs], "doc_ids_null": [d is None for d in docs], "doc_ends": ends.tolist(),
     }
 
 
@@ -132,26 +139,34 @@ SHARD_TYPES = pa.schema([
 
 
 def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, bits: int = 16, shard_ids: int = 1 << 21, tokenizer: str | None = None) -> DataFrame:
-    """The shards of all documents in ascending order of identifier, each encoded whole with ``end_id`` behind it."""
-    path, end = tokenizer or default_path(), end_id.to_bytes(4, "little")
+    """The shards of all documents in ascending order of identifier, each encoded whole with ``end_id`` behind it; ids of more than ``bits`` bits are an error."""
+    path = tokenizer or default_path()
+    if end_id >> bits:
+        raise ValueError(f"id {end_id} needs more than {bits} bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard, first, ids_of = TaskContext.get().partitionId(), 0, 0, encoder(path).ids
+        part, shard, first, encode = TaskContext.get().partitionId(), 0, 0, encoder(path).batch
         held, docs_held, n = [], [], 0
-        emit = lambda: pa.RecordBatch.from_pylist([_shard(part, shard, first, held, docs_held, bits)], schema=SHARD_TYPES)
+        emit = lambda: pa.RecordBatch.from_pylist([_shard(part, shard, first, held, docs_held, bits, end_id)], schema=SHARD_TYPES)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                held.append(ids_of(text.as_py()) + end)
-                docs_held.append(doc_id.as_py())
-                n += len(held[-1]) // 4
-                if n >= shard_ids:
-                    yield emit()
-                    shard, first, held, docs_held, n = shard + 1, first + n, [], [], 0
+            doc_ids = batch.column(0).to_pylist()
+            for low, high, ids, ends in encode(batch.column(1)):
+                if len(ids) and (top := int(ids.max())) >> bits:
+                    raise ValueError(f"id {top} needs more than {bits} bits")
+                ids, begin = ids.astype(np.uint16 if bits <= 16 else np.uint32), 0
+                for doc_id, end in zip(doc_ids[low:high], ends.tolist(), strict=True):
+                    held.append(ids[begin:end])
+                    docs_held.append(doc_id)
+                    n, begin = n + end - begin + 1, end
+                    if n >= shard_ids:
+                        yield emit()
+                        shard, first, held, docs_held, n = shard + 1, first + n, [], [], 0
         if held:
             yield emit()
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARDS)
+    # by the text's beginning as well: rows that repeat an identifier need not fit one task
+    return texts.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARDS)
 
 
 def write(docs: DataFrame, path: str, **options) -> None:
