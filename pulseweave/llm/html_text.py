@@ -4,14 +4,17 @@ A page is a row of words and tags. Words score positive and tags negative, and
 a linear scan finds the run with the highest sum: the content. Weights come
 from labelled pages, which need no hand: where a page marks its article (one
 ``article`` or ``main`` element), its tokens are inside or outside of the content.
-Spark counts both for each kind of token (a fixed set of tag names, and words by
-the element around them) over all pages, and a weight is the log odds, kept
-above zero for words and below for tags.
-
-The run is widened to whole blocks, and to the marked article it lies in; what
-HTML or class names declare to be menus, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts or styles is left out of it, unless that holds
-the marked article or most of the words in paragraphs. Character
+Spark counts both for each kind of token over all pages, and a weight is the log
+odds, kept above zero for words and below for tags. The kinds are a fixed set:
+tag names, and words by the element around them, each once for all pages, once
+for tokens in a marked article and once for tokens outside of it on a page that
+has one; the odds are those of a token of that kind to be inside. So markup is evidence like any other, and the sum decides.
+
+What HTML or class names declare to be menus, headers, footers, sidebars,
+notices, adverts, forms, comments, scripts or styles is taken out before the
+scan, unless that holds the marked article or most of the words in paragraphs
+(an element of such a name that its own end tag closes is taken out in any case);
+the header of an article is its own. The run is widened to whole blocks. Character
 references are decoded, white space inside a block (a line break is such) becomes
 one space, and blocks are joined by two newlines.
 
@@ -25,7 +28,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from math import log
 
 import pyarrow as pa
@@ -50,7 +53,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that are never content, and words that say so in class, id or role.
 OUTSIDE = frozenset("nav header footer aside form head menu button dialog search".split())
 OUTSIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|respond|replies|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads\w*|adv|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|reviews|discussion|disqus|respond|replies|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])",
     re.I,
 )
 #: Elements that no class word puts outside, and first parts of class names that tell of a layout, not of what the element is.
@@ -59,8 +62,10 @@ LAYOUT_WORDS = re.compile(r"(?<!\S)(?:has|with|without|no)[_-]\S*", re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 MARKED = ("article", "main")
 WORD_KINDS = ("p", "a", "li", "heading", "cell", "other")
-#: Weights before any page is counted.
-DEFAULT = {"word": 1.0, "tag": -3.0}
+#: Least weight of a word.
+LEAST = 0.01
+#: Weights of kinds that no labelled page has, and of those inside of a marked article.
+DEFAULT = {"word": 1.0, "tag": -3.0, "in|word": 3.0, "in|tag": -0.1, "in|a": -1.0, "in|/a": -1.0, "in|word:a": 0.3}
 
 
 def _word_kind(stack: list[tuple[str, bool]]) -> str:
@@ -80,26 +85,23 @@ def _named_outside(attrs: str) -> bool:
     return any(OUTSIDE_WORDS.search(LAYOUT_WORDS.sub("", " ".join(x))) for x in NAMED.findall(attrs))
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, int]]:
-    """(kind, text, outside, marked) of each token: kind is ``/name``, ``name`` or ``word:kind``; marked numbers the article around it, -1 for none.
+def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(kind, text, outside, place) of each token: kind is ``/name``, ``name`` or ``word:kind``; place is ``in`` or ``out`` of the marked articles of a page, and empty where it has none.
 
-    Forms and named containers are outside only if they do not hold the page: its one marked article or, where
+    What is outside by name is so only if it does not hold the page: its one marked article or, where
     there is none or several, most of its words in paragraphs.
     """
-    found: list[tuple[str, str, bool, tuple[int, ...], int]] = []
-    stack: list[tuple[str, int]] = []  # name and: 0 inside, -1 outside, or the number of a container to be judged at the end
+    found: list[tuple[str, str, tuple[int, ...], bool]] = []
+    stack: list[tuple[str, int]] = []  # name and: 0, or the number of a container to be judged at the end
     judged: tuple[int, ...] = ()
     holds: set[int] = set()  # containers around an article
-    containers = 0
-    outside = marked = 0
-    article = -1
+    shut: set[int] = set()  # elements that are never content, closed by their own end tag
+    containers = marked = articles = 0
 
     def close() -> str:
-        nonlocal outside, marked, judged
+        nonlocal marked, judged
         name, out = stack.pop()
-        if out < 0:
-            outside -= 1
-        elif out:
+        if out:
             judged = judged[:-1]
         marked -= name in MARKED
         return name
@@ -108,61 +110,70 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, int]]:
         kind = m.lastgroup
         if kind == "text":
             text = html.unescape(m["text"]) if "&" in m["text"] else m["text"]
-            found.append((f"word:{_word_kind(stack)}", text, outside > 0, judged, article if marked else -1))
+            found.append((f"word:{_word_kind(stack)}", text, judged, marked > 0))
             continue
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
             continue
         ends = bool(m["end"] or m["end2"])
         known = name if name in BLOCKS or name in INLINE or name in VOID else "unknown"
-        found.append((f"/{known}" if ends else known, "", outside > 0, judged, article if marked else -1))
-        if name in VOID or (name in INLINE and name not in ("a", "button")):
+        plain = name in VOID or (name in INLINE and name not in ("a", "button"))
+        if plain or ends:
+            found.append((f"/{known}" if ends else known, "", judged, marked > 0))
+        if plain:
             continue
         if ends:
             if any(n == name for n, _ in stack):
-                while close() != name:
-                    pass
+                while stack[-1][0] != name:
+                    close()
+                if name in OUTSIDE and name != "form":
+                    shut.add(stack[-1][1])
+                close()
             continue
         while stack and ((stack[-1][0] == "p" and name in BLOCKS) or (stack[-1][0] == name and name in ("li", "td", "th", "tr", "dt", "dd")) or (name in BLOCKS and stack[-1][0] == "a")):
             close()
         out = 0
-        if name in OUTSIDE and name != "form":
-            out = -1
-            outside += 1
-        elif name == "form" or (name not in WHOLE and _named_outside(m["attrs"] or m["attrs2"] or "")):
+        if name in OUTSIDE and not (name == "header" and any(n == "article" for n, _ in stack)) or (name not in WHOLE and _named_outside(m["attrs"] or m["attrs2"] or "")):
             out = containers = containers + 1
             judged = (*judged, out)
+        found.append((known, "", judged, marked > 0))
         stack.append((name, out))
         if name in MARKED:
             if not marked:
-                article += 1
+                articles += 1
                 holds.update(judged)
             marked += 1
     inside: set[int] = set()
     if containers:
-        if article == 0:
+        if articles == 1:
             inside = holds
         else:
             words = [0] * (containers + 1)
-            for kind, text, _, around, _ in found:
+            for kind, text, around, _ in found:
                 if kind == "word:p":
                     n = len(text.split())
                     words[0] += n
                     for k in around:
                         words[k] += n
             inside = {k for k, n in enumerate(words) if 2 * n > words[0]}
-    for kind, text, out, around, own in found:
-        yield kind, text, out or any(k not in inside for k in around), own
+        inside -= shut
+    for kind, text, around, own in found:
+        yield kind, text, any(k not in inside for k in around), ("in" if own else "out") if articles else ""
 
 
 def count_kinds(page: str) -> Counter:
-    """(kind, inside) counts of a page with one marked article, else none."""
+    """(kind, inside) counts of a page with one marked article, else none; kinds alone and behind ``in|`` or ``out|``."""
     found: Counter = Counter()
-    last = -1
-    for kind, text, outside, article in tokens(page):
-        last = max(last, article)
-        found[kind, article >= 0 and not outside] += len(text.split()) if text else 1
-    return found if last == 0 else Counter()
+    articles, before = 0, False
+    for kind, text, outside, place in tokens(page):
+        own = place == "in"
+        articles += own and not before
+        before = own
+        n = len(text.split()) if text else 1
+        found[kind, own and not outside] += n
+        if not outside:
+            found[f"{place}|{kind}", own] += n
+    return found if articles == 1 else Counter()
 
 
 def fit(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
@@ -178,45 +189,50 @@ def fit(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(insides, pa.bool_()), pa.array(n, pa.int64())], ["kind", "inside", "n"])
 
     counts = pages.select(F.col(html_col).cast("string").alias("html")).mapInArrow(run, "kind string, inside boolean, n long").groupBy("kind").agg(F.sum(F.when(F.col("inside"), F.col("n"))).alias("inside"), F.sum(F.when(~F.col("inside"), F.col("n"))).alias("outside")).collect()
-    total_in, total_out = (sum(r[c] or 0 for r in counts) for c in ("inside", "outside"))
     weights = {}
     for r in counts:
-        odds = log(((r["inside"] or 0) + 1) / (total_in + 1)) - log(((r["outside"] or 0) + 1) / (total_out + 1))
-        weights[r["kind"]] = min(max(odds, 0.05), 3.0) if r["kind"].startswith("word:") else max(min(odds, -0.1), -6.0)
+        odds = log(((r["inside"] or 0) + 1) / ((r["outside"] or 0) + 1))
+        weights[r["kind"]] = min(max(odds, LEAST), 3.0) if "word:" in r["kind"] else max(min(odds, -0.1), -6.0)
     return weights
 
 
+def best_run(scores: Sequence[float]) -> tuple[int, int]:
+    """First and behind the last of the run with the highest sum, the first such; empty if no sum is above zero."""
+    best, low, high, run, start = 0.0, 0, 0, 0.0, 0
+    for i, score in enumerate(scores):
+        if run <= 0:
+            run, start = 0.0, i
+        run += score
+        if run > best:
+            best, low, high = run, start, i + 1
+    return low, high
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     blocks: list[list[str]] = [[]]
-    spans: list[tuple[int, int, float, int]] = []  # block, article, score of its part, and whether it is text
-    for kind, text, outside, article in tokens(page):
-        if not kind.startswith("word:"):
-            spans.append((len(blocks) - 1, article, weights.get(kind, DEFAULT["tag"]), 0))
+    scores: list[float] = []
+    places: list[int] = []  # the block of each score, -1 for tags
+    for kind, text, outside, place in tokens(page):
+        word = kind.startswith("word:")
+        if not word:
             if kind.lstrip("/") in BLOCKS:
                 if blocks[-1]:
                     blocks.append([])
             elif kind == "br" and not outside:
                 blocks[-1].append(" ")
+        if outside:
             continue
-        n = len(text.split())
-        if outside:  # its words are none of the content's
-            spans.append((-1, article, -n * abs(weights.get(kind, DEFAULT["word"])), 0))
-            continue
-        blocks[-1].append(text)
-        spans.append((len(blocks) - 1, article, n * weights.get(kind, DEFAULT["word"]), n))
-    best, low, high, run, start = 0.0, 0, 0, 0.0, 0
-    for i, (_, _, score, _) in enumerate(spans):
-        if run <= 0:
-            run, start = 0.0, i
-        run += score
-        if run > best:
-            best, low, high = run, start, i + 1
-    inside = {b for b, _, _, n in spans[low:high] if n}
-    if articles := {a for _, a, _, n in spans[low:high] if n and a >= 0}:
-        inside = {b for b, a, _, n in spans if n and a in articles}
-    texts = (" ".join("".join(blocks[b]).split()) for b in sorted(inside))
+        weight = weights.get(f"{place}|{kind}")
+        if weight is None:
+            weight = DEFAULT.get(f"in|{kind}", DEFAULT["in|word" if word else "in|tag"]) if place == "in" else weights.get(kind, DEFAULT["word" if word else "tag"])
+        if word:
+            blocks[-1].append(text)
+        scores.append(weight * len(text.split()) if word else weight)
+        places.append(len(blocks) - 1 if word and text.strip() else -1)
+    low, high = best_run(scores)
+    texts = (" ".join("".join(blocks[b]).split()) for b in sorted({b for b in places[low:high] if b >= 0}))
     return "\n\n".join(t for t in texts if t)
 
 

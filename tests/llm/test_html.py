@@ -40,7 +40,7 @@ def test_extract(spark):
             assert by_page[i] == text
     assert by_page[None] == "" and html_text.extract(pages.limit(0)).count() == 0
     weights = html_text.fit(pages)
-    assert all((w > 0) == k.startswith("word:") for k, w in weights.items())
+    assert all((w > 0) == ("word:" in k) for k, w in weights.items())
 
 
 def test_long_page_is_linear():
