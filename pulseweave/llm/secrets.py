@@ -1,8 +1,8 @@
 """Secret scan with linking of credentials in several parts. DataFrame operations only.
 
 Spark gives the matches of a pattern and the text between them, but no places;
-these are running sums of both lengths, in blocks, so that their cost stays
-near linear in the number of matches.
+these are running sums of both lengths, by a window over a row per match, so a
+text with very many matches costs as much as as many texts with one.
 
 Strong spans (``assign``, ``access``, ``hex``) are reported wherever they are.
 Weak candidates are parts of a credential that mean nothing alone: identifiers
@@ -12,11 +12,11 @@ strong ones included, lies in the same scope: within ``scope`` characters of
 it. Identifiers need a secret, secrets an identifier or an endpoint, endpoints a
 secret. The interval join runs over one row per part: windows over a document's parts,
 in order of place, carry the nearest part of each role before and behind, so no pairs
-are made. Only documents that have weak candidates reach it.
+are made. Only documents that have matches are shuffled, and only lengths of them.
 
 Defined cases: a null text is the empty text, which has no spans; repeated rows
 and identifiers are scanned one by one; overlapping spans of different kinds
-are all kept; an empty table gives an empty result; other columns are ignored.
+are all kept; texts of any length and number of matches are scanned whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,32 +41,28 @@ KINDS = [*BASE, *WEAK]
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "endpoint": "endpoint"}
 NEEDS = {"weak_id": ("secret",), "weak_secret": ("id", "endpoint"), "endpoint": ("secret",)}
 SPAN = "struct<start:int,kind:int,end:int>"
-BLOCK = 128
 
 
-def _ends(lengths: Column) -> Column:
-    """Running sums of an array of int."""
-    add = lambda a, b: a + b
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
-    totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), add))
-    inside = lambda x: F.transform(x, lambda _, i: F.aggregate(F.slice(x, 1, i + 1), F.lit(0), add))
-    sums = F.transform(blocks, lambda x, b: F.transform(inside(x), lambda s: s + F.aggregate(F.slice(totals, 1, b), F.lit(0), add)))
-    return F.when(F.size(lengths) > 0, F.flatten(sums)).otherwise(F.array().cast("array<int>"))
-
-
-def spans_of(text: Column, kind: str) -> Column:
-    """Array of (start, kind, end) of the leftmost non-overlapping matches that are long enough; end exclusive, in characters."""
-    pattern, group, least = (BASE | WEAK)[kind]
+def matches_of(text: Column, kind: str) -> Column:
+    """Array of (kind, k, gap, length, tested) of the leftmost non-overlapping matches: their number, characters between the match before and this one, own length and that of the tested group."""
+    pattern, group, _ = (BASE | WEAK)[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     tested = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps = F.split(text, pattern, -1)
-    lengths = F.transform(found, lambda m, i: F.length(F.element_at(gaps, i + 1)) + F.length(m))
-    spans = F.transform(
-        F.arrays_zip(_ends(lengths).alias("end"), found.alias("match"), tested.alias("tested")),
-        lambda m: F.struct((m["end"] - F.length(m["match"])).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end"), F.length(m["tested"]).alias("n")),
+    between = F.split(text, pattern, -1)  # one more than matches
+    rows = F.transform(
+        F.arrays_zip(found.alias("match"), tested.alias("tested"), between.alias("gap")),
+        lambda m, k: F.struct(F.lit(KINDS.index(kind)).alias("kind"), k.alias("k"), F.length(m["gap"]).alias("gap"), F.length(m["match"]).alias("length"), F.length(m["tested"]).alias("tested")),
     )
-    kept = F.transform(F.filter(spans, lambda s: s["n"] >= least), lambda s: F.struct(s["start"], s["kind"], s["end"]))
-    return F.when(F.regexp_like(text, F.lit(pattern)), kept).otherwise(F.array().cast(f"array<{SPAN}>"))
+    none = F.array().cast("array<struct<kind:int,k:int,gap:int,length:int,tested:int>>")
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.filter(rows, lambda m: m["length"].isNotNull())).otherwise(none)
+
+
+def placed(matches: DataFrame) -> DataFrame:
+    """Rows (row, kind, k, gap, length, tested, ..) with start, end and whether they are long enough; ends are running sums over the matches of a text and kind."""
+    order = Window.partitionBy("row", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    least = F.element_at(F.array(*[F.lit((BASE | WEAK)[k][2]) for k in KINDS]), F.col("kind") + 1)
+    rows = matches.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(order).cast("int"))
+    return rows.withColumns({"start": F.col("end") - F.col("length"), "whole": F.col("tested") >= least})
 
 
 def written(spans: Column) -> Column:
@@ -76,34 +72,41 @@ def written(spans: Column) -> Column:
 
 
 def linked(parts: DataFrame, scope: int = 300) -> DataFrame:
-    """Of rows (row, start, kind, end) the weak ones that have a complementary part within ``scope`` characters."""
-    order = Window.partitionBy("row").orderBy("start", "kind", "end")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    """Rows (row, start, kind, end, whole, ..) with reported: strong ones that are long enough, and weak ones with a complementary part within ``scope`` characters.
+
+    A weak part that begins inside of a strong one is none of its own. Running
+    maxima of ends come from a text's parts in order of place, running minima of
+    starts from the same parts in reverse order: a text of n parts costs n log n.
+    """
+    n = len(BASE)
+    order = [F.col(c) for c in ("start", "kind", "end")]
+    upto = Window.partitionBy("row").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    covered = F.max(F.when(F.col("whole") & (F.col("kind") < n), F.col("end"))).over(upto) > F.col("start")
+    parts = parts.withColumn("part", F.col("whole") & ((F.col("kind") < n) | ~F.coalesce(covered, F.lit(False))))
+    before = Window.partitionBy("row").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("row").orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     role = F.element_at(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("kind") + 1)
-    parts, near = parts.withColumn("role", role), {}
-    for r in ("id", "secret", "endpoint"):
-        is_r = F.col("role") == r
-        # the furthest end of those before, the first start of those behind
-        near[r] = F.coalesce(F.max(F.when(is_r, F.col("end"))).over(before) >= F.col("start") - scope, F.lit(False)) | F.coalesce(F.min(F.when(is_r, F.col("start"))).over(after) <= F.col("end") + scope, F.lit(False))
-    found = parts.withColumns({f"near_{r}": c for r, c in near.items()})
-    keep = F.lit(False)
+    is_r = {r: F.col("part") & (role == r) for r in ("id", "secret", "endpoint")}
+    parts = parts.withColumns({f"end_{r}": F.max(F.when(c, F.col("end"))).over(before) for r, c in is_r.items()})
+    parts = parts.withColumns({f"start_{r}": F.min(F.when(c, F.col("start"))).over(behind) for r, c in is_r.items()})
+    near = {r: F.coalesce(F.col(f"end_{r}") >= F.col("start") - scope, F.lit(False)) | F.coalesce(F.col(f"start_{r}") <= F.col("end") + scope, F.lit(False)) for r in is_r}
+    keep = F.col("kind") < n
     for kind, needs in NEEDS.items():
         for r in needs:
-            keep = keep | ((F.col("kind") == KINDS.index(kind)) & F.col(f"near_{r}"))
-    return found.filter(keep).select("row", "start", "kind", "end")
+            keep = keep | ((F.col("kind") == KINDS.index(kind)) & near[r])
+    return parts.withColumn("reported", F.col("part") & keep)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 300) -> DataFrame:
     """One row per document: doc_id, base and spans (arrays of start, kind, end; kind is the place in KINDS), base within spans."""
     text = text_of(text_col)
-    base = F.concat(*[spans_of(text, k) for k in BASE])
-    weak = F.concat(*[spans_of(text, k) for k in WEAK])
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), base.alias("base"), weak.alias("weak"))
-    rows = materialise(rows, "secret_parts")
-    # a weak secret that is an assignment already is none of its own
-    parts = rows.filter(F.size("weak") > 0).select("row", F.explode(F.concat("base", F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] <= w["start"]) & (w["start"] < b["end"]))))).alias("s")).select("row", "s.*")
-    more = linked(parts, scope).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
-    return rows.join(more, "row", "left").select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))).alias("spans"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.concat(*[matches_of(text, k) for k in KINDS]).alias("matches"))
+    rows = materialise(rows, "secret_matches")
+    found = linked(placed(rows.filter(F.size("matches") > 0).select("doc_id", "row", F.explode("matches").alias("m")).select("doc_id", "row", "m.*")), scope)
+    span, own = F.struct("start", "kind", "end"), F.col("reported") & (F.col("kind") < len(BASE))
+    some = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.when(own, span))).alias("base"), F.array_sort(F.collect_list(F.when(F.col("reported"), span))).alias("spans"))
+    none = F.array().cast(f"array<{SPAN}>")
+    return some.drop("row").unionByName(rows.filter(F.size("matches") == 0).select("doc_id", none.alias("base"), none.alias("spans")))
 
 
 def digest(found: DataFrame) -> DataFrame:
