@@ -3,15 +3,18 @@
 Training counts words and their character n-grams (1 to ``longest``, with word
 ends marked) per language over labelled documents. It may use a sample: at most
 about ``most_docs`` documents, taken by a hash of the identifier at the same
-odds everywhere; counting is a Spark aggregation, and the ``most_words`` and
-``most_grams`` most frequent per language (bounded parameters) make the model.
+odds everywhere; counting is a Spark aggregation. Every word and n-gram that the
+training texts have ``least`` times or more is known; the sample bounds their
+number, and with it the model that the driver takes and sends to the tasks.
 
 A whole text is scored by its distinct words: a known word gives its smoothed
 log frequency in each language; an unseen word is cut into known n-grams of the
 longest length that has any, and if none is left it says nothing. The score is
 the share of the best language after normalising the mean log score per word.
 
-Defined cases: ``und`` with score 0 for null texts and texts without a letter;
+A word is a run of letters with the combining marks behind them. Defined cases:
+``und`` with score 0 for null texts and texts without a letter (digits and other
+number characters are none); long texts are scored whole, by their distinct words;
 without any labelled document every text is ``und``; ties go to the first
 language by name; repeated rows get the same answer; an empty table gives an
 empty result; other columns are ignored.
@@ -26,10 +29,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LETTERS = re.compile(r"[^\W\d_]+")
+from .common import materialise
+
+LETTERS, ASCII_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*"), re.compile(r"[a-z]+")
 #: Weight of a word's evidence against a flat share.
 SHARPNESS = 4.0
 CACHED = 200_000
@@ -40,6 +46,11 @@ def held_out(id_col: str = "doc_id", of: int = 4, which: int = 2):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(of)) == which
 
 
+def words_of(text: str) -> Counter:
+    text = text.lower()
+    return Counter((ASCII_LETTERS if text.isascii() else LETTERS).findall(text))
+
+
 def grams(word: str, n: int) -> list[str]:
     marked = f"<{word}>"
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
@@ -91,7 +102,7 @@ class Model:
         return self.memo[[self.seen[w] for w in words]]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(LETTERS.findall(text.lower())) if text else None
+        words = words_of(text) if text else None
         if not words or not self.langs:
             return "und", 0.0
         rows = [self.words.get(w, -1) for w in words]
@@ -105,7 +116,7 @@ class Model:
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most_docs: int = 20_000, most_words: int = 20_000, most_grams: int = 20_000, longest: int = 5) -> Model:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most_docs: int = 8_000, least: int = 2, longest: int = 5) -> Model:
     """Fit on labelled rows of ``docs``."""
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     n = labelled.count()
@@ -117,7 +128,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
             found: Counter = Counter()
             for text, lang in zip(batch.column(0), batch.column(1), strict=True):
                 lang = lang.as_py()
-                for word, count in Counter(LETTERS.findall(text.as_py().lower())).items():
+                for word, count in words_of(text.as_py()).items():
                     found[lang, 0, word] += count
             for (lang, _, word), count in list(found.items()):
                 for k in range(1, longest + 1):
@@ -126,37 +137,27 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
             langs, ks, keys = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ks, pa.int32()), pa.array(keys, pa.string()), pa.array(found.values(), pa.int64())], ["lang", "k", "key", "n"])
 
-    counts = labelled.select("text", "lang").mapInArrow(run, "lang string, k int, key string, n long").groupBy("lang", "k", "key").agg(F.sum("n").alias("n"))
-    # the most frequent keys of each (lang, k): found among the most frequent of each of 32 slices, so no task ranks a whole language
-    most = F.when(F.col("k") == 0, most_words).otherwise(most_grams)
-    from pyspark.sql import Window
-
-    counts = counts.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(32)))
-    first = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang", "k", "slice").orderBy(F.desc("n"), "key"))).filter(F.col("r") <= most)
-    top = first.withColumn("r", F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "key"))).filter(F.col("r") <= most)
-    return _model([(r["lang"], r["k"], r["key"], r["n"]) for r in top.select("lang", "k", "key", "n").toLocalIterator()], longest)
-
-
-def _model(rows: list[tuple[str, int, str, int]], longest: int) -> Model:
-    langs = sorted({r[0] for r in rows})
-    place = {lang: i for i, lang in enumerate(langs)}
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(longest + 1)]
-    for lang, k, key, n in rows:
-        tables[k].setdefault(key, np.zeros(len(langs)))[place[lang]] = n
-    for table in tables:
-        if table:
-            sums = sum(table.values())
-            for key, n in table.items():
-                logs = np.log((n + 0.5) / (sums + 0.5 * len(table)))
-                # against the mean over languages, so that rare and frequent words weigh alike
-                table[key] = logs - logs.mean()
-    every = [n for table in tables for n in table.values()]
-    scores = np.array(every).reshape(len(every), len(langs))
-    first, places = 0, []
-    for table in tables:
-        places.append({key: first + i for i, key in enumerate(table)})
-        first += len(table)
-    return Model(langs, places[0], places[:0:-1], scores)
+    counts = materialise(labelled.select("text", "lang").mapInArrow(run, "lang string, k int, key string, n long").groupBy("lang", "k", "key").agg(F.sum("n").alias("n")), "language_counts")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # of the sample
+    by_lang = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)) for lang in langs]) if langs else F.array().cast("array<long>")
+    known = counts.groupBy("k", "key").agg(F.sum("n").alias("all"), by_lang.alias("n")).filter(F.col("all") >= least).orderBy("k", "key")
+    return _model(known.select("k", "key", "n").toArrow(), langs, longest)
+
+
+def _model(known: pa.Table, langs: list[str], longest: int) -> Model:
+    ks = known["k"].to_numpy()
+    keys = known["key"].to_pylist()
+    counts = known["n"].combine_chunks().flatten().to_numpy().reshape(len(keys), len(langs)).astype(float)
+    scores = np.zeros_like(counts)
+    tables: list[dict[str, int]] = []
+    for k in range(longest + 1):
+        at = np.flatnonzero(ks == k)
+        tables.append({keys[i]: i for i in at.tolist()})
+        if len(at):
+            logs = np.log((counts[at] + 0.5) / (counts[at].sum(0) + 0.5 * len(at)))
+            # against the mean over languages, so that rare and frequent words weigh alike
+            scores[at] = logs - logs.mean(1, keepdims=True)
+    return Model(langs, tables[0], tables[:0:-1], scores)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
