@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: No more than about twice this many keys can hold over a 1/HOT_SHARE part of all rows each.
@@ -42,6 +42,17 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """A column name for each of ``names`` that no column of ``docs`` has."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text, null as the empty one."""
     column = F.col(column) if isinstance(column, str) else column
@@ -61,12 +72,23 @@ def join_by_size(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size:
     return rows.join(hot, keys).unionByName(rest.join(groups.filter(F.col(size) <= limit), keys))
 
 
+def ranked(df: DataFrame, order: Sequence[str], name: str = "place") -> DataFrame:
+    """``df``, written, with the place (from 0) of each row by ``order``: ranges of it are ranked in tasks of their own, and only their sizes are summed up."""
+    (part,) = fresh(df, "_part")
+    rows = materialise(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("rows"))
+    bases = sizes.select(part, F.coalesce(F.sum("rows").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(name))
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    return rows.withColumn("_inside", inside).join(F.broadcast(bases), part).withColumn(name, F.col(name) + F.col("_inside")).drop(part, "_inside")
+
+
 def join_small(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", slices: int = 64) -> DataFrame:
     """Join with a table of one row per key that is usually small: it is counted, broadcast up to BROADCAST_ROWS, and beyond that joined on salted keys, so that a hot key is dealt over ``slices`` tasks."""
     keys = list(keys)
     if small.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(small), keys, how)
     others = [c for c in rows.columns if c not in keys] or keys
-    salted = rows.withColumn("_slice", F.pmod(F.xxhash64(*others), F.lit(slices)))
-    copies = small.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
-    return salted.join(copies.hint("merge"), [*keys, "_slice"], how).drop("_slice")
+    (slice_,) = fresh(rows, "_slice")
+    salted = rows.withColumn(slice_, F.pmod(F.xxhash64(*others), F.lit(slices)))
+    copies = small.withColumn(slice_, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    return salted.join(copies.hint("merge"), [*keys, slice_], how).drop(slice_)

@@ -18,14 +18,19 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_size, materialise, text_of
+from .common import fresh, join_by_size, materialise, text_of
 
 KEY = ["digest", "check", "n_bytes"]
 
 
+def digest_of(text_col: str = "text") -> Column:
+    """SHA-256 of the text."""
+    return F.unhex(F.sha2(text_of(text_col), 256))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64) -> DataFrame:
     """One row per document: identifier, row number, run and key."""
     text = text_of(text_col)
@@ -33,7 +38,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run
         F.col(id_col).cast("long").alias("doc_id"),
         F.monotonically_increasing_id().alias("row"),
         F.pmod(F.spark_partition_id(), F.lit(runs)).alias("run"),
-        F.unhex(F.sha2(text, 256)).alias("digest"),
+        digest_of(text_col).alias("digest"),
         F.xxhash64(text).alias("check"),
         F.octet_length(text).alias("n_bytes"),
     )
@@ -69,9 +74,14 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """``docs`` without all but one row of each text, columns unchanged."""
     found = find_copies(docs, id_col, text_col, keep)
-    kept = found.filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
-    keyed = docs.withColumn("_row_digest", F.unhex(F.sha2(text_of(text_col), 256)))
-    out = keyed.join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_row_digest") == F.col("_keep_digest")), "left_semi")
-    if not found.filter(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).isEmpty():  # rows that repeat identifier and text
-        out = out.dropDuplicates([id_col, "_row_digest"])
-    return out.drop("_row_digest")
+    return keep_rows(docs, found.filter("kept").select("doc_id", "digest"), found.filter(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).isEmpty(), id_col, text_col)
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, unique: bool, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``docs`` whose identifier and SHA-256 of the text are in ``kept`` (doc_id, digest); one of each, where they are not ``unique``."""
+    own, keep_id, keep_digest = fresh(docs, "_row_digest", "_keep_id", "_keep_digest")
+    kept = kept.select(F.col("doc_id").alias(keep_id), F.col("digest").alias(keep_digest))
+    keyed = docs.withColumn(own, digest_of(text_col))
+    # one plan at every size: texts meet what is kept by a merge join, also where that would fit a broadcast
+    out = keyed.join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col(keep_id)) & (F.col(own) == F.col(keep_digest)), "left_semi")
+    return (out if unique else out.dropDuplicates([id_col, own])).drop(own)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialise, text_of
+from .common import fresh, join_small, materialise, ranked, text_of
 
 #: Bits of a histogram level and of the hash: five levels split it wholly.
 BITS, HASH_BITS = 12, 60
@@ -49,21 +49,24 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: floa
     Sources in order of name take ``weights`` in turn and divide ``share`` of all
     words by weight; a target stops at ``ceiling`` times the source and the
     excess goes to the others by weight. That is a common level per unit of
-    weight, min(ceiling * words, level * weight), found by walking the sources
-    in the order in which the level reaches their ceilings.
+    weight, min(ceiling * words, level * weight): each step sums up the sources
+    that the level has led over their ceilings and raises it for the others,
+    until none is added. No task sees all sources.
     """
-    sources = rows.groupBy(*KEYS).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
-    everything, by_name = Window.partitionBy(), Window.orderBy(*KEYS)
-    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sources.withColumn("weight", pick).withColumns({"cap": F.col("source_size") * F.lit(float(ceiling)), "total": F.sum("source_size").over(everything) * F.lit(float(share))})
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), *KEYS)
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumns({"capped": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "open_weight": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))})
-    s = s.withColumn("level", (F.col("total") - F.col("capped")) / F.col("open_weight"))
-    s = s.withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
-    level = F.min(F.when(F.col("fits"), F.struct(F.row_number().over(by_cap).alias("k"), F.col("level")))).over(everything)
-    s = s.withColumn("level", level["level"])
-    return s.withColumn("target", F.round(F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))), 6)).select(*KEYS, "source_size", "weight", "target")
+    sources = rows.groupBy(*KEYS).agg(F.sum("size").alias("source_size"))
+    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int"))
+    s = ranked(sources, KEYS).withColumn("weight", pick).withColumn("cap", F.col("source_size") * F.lit(float(ceiling)))
+    s = materialise(s, "mix_sources")
+    total = (s.agg(F.sum("source_size")).first()[0] or 0) * float(share)
+    level, over = 0.0, -1
+    while True:  # sources only ever join those at their ceiling
+        full = F.col("cap") < F.lit(level) * F.col("weight")
+        n, capped, weight = s.agg(F.sum(full.cast("long")), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if not weight or n == over:
+            break
+        over, level = n, (total - (capped or 0.0)) / weight
+    target = F.col("cap") if not weight else F.least(F.col("cap"), F.lit(level) * F.col("weight"))
+    return s.withColumn("target", F.round(target, 6)).select(*KEYS, "source_size", "weight", "target")
 
 
 def _search(rows: DataFrame, state: DataFrame) -> DataFrame:
@@ -123,8 +126,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` as the mix takes them, each as often as it is taken, columns unchanged. No text is shuffled: a document's own columns and its source's row decide."""
     rows = materialise(sized(docs, id_col, text_col, source_col), "mix_sizes")
     found = materialise(thresholds(rows, targets(rows, weights, share, ceiling)), "mix_found")
-    found = found.select(F.col("src_null").alias("_src_null"), F.col("src").alias("_src"), F.struct("copies", "passes").alias("_found"))
-    keyed = docs.withColumns({"_src_null": F.col(source_col).isNull(), "_src": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_h": hash_of(id_col)})
-    times = taken_again(F.col("_found.copies"), F.col("_h"), word_count(text_of(text_col)), F.col("_found.passes"))
-    out = join_small(keyed, found, ["_src_null", "_src"]).withColumn("_times", times).filter("_times > 0")
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    null, src, found_, h, times, n = fresh(docs, "_src_null", "_src", "_found", "_h", "_times", "_n")
+    found = found.select(F.col("src_null").alias(null), F.col("src").alias(src), F.struct("copies", "passes").alias(found_))
+    keyed = docs.withColumns({null: F.col(source_col).isNull(), src: F.coalesce(F.col(source_col).cast("string"), F.lit("")), h: hash_of(id_col)})
+    again = taken_again(F.col(f"{found_}.copies"), F.col(h), word_count(text_of(text_col)), F.col(f"{found_}.passes"))
+    out = join_small(keyed, found, [null, src]).withColumn(times, again).filter(F.col(times) > 0)
+    return out.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, materialise, text_of
+from .common import fresh, join_small, materialise, text_of
 from .words import SPACES, repeated_window_words
 
 SYMBOLS = "#*$%&|<>"
@@ -96,7 +96,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_words: int = 10, most_repeated: int = 20, most_failed: float = 0.5) -> DataFrame:
     """``docs`` that are kept, columns unchanged. Texts are not shuffled: each is measured again where it lies, and rejected hosts are joined to it."""
     measured = materialise(measures(docs, id_col, text_col, host_col), "measures")
-    rejected = materialise(host_rates(measured, least_words, most_repeated).filter(F.col("rate") > most_failed).select(F.col("host_null").alias("_host_null"), F.col("host").alias("_host")), "rejected_hosts")
+    null, host = fresh(docs, "_host_null", "_host")
+    rejected = materialise(host_rates(measured, least_words, most_repeated).filter(F.col("rate") > most_failed).select(F.col("host_null").alias(null), F.col("host").alias(host)), "rejected_hosts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,5 +107,5 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
                 keep.append(n >= least_words and 100 * repeated <= most_repeated * n)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    good = docs.mapInArrow(run, docs.schema).withColumns({"_host_null": F.col(host_col).isNull(), "_host": F.coalesce(F.col(host_col).cast("string"), F.lit(""))})
-    return join_small(good, rejected, ["_host_null", "_host"], "left_anti").select(*docs.columns)
+    good = docs.mapInArrow(run, docs.schema).withColumns({null: F.col(host_col).isNull(), host: F.coalesce(F.col(host_col).cast("string"), F.lit(""))})
+    return join_small(good, rejected, [null, host], "left_anti").select(*docs.columns)
