@@ -3,11 +3,9 @@
 import random
 
 import corpus_pipeline
-from pulseweave.llm import near_copies
+from pulseweave.llm import near_copies, simhash
 from pulseweave.llm.words import shingle_hashes
 
-from . import test_pipeline as former
-
 
 def plain_kept(rows):
     sets = [frozenset(shingle_hashes(t or "", 5).tolist()) for _, t in rows]
@@ -24,7 +22,7 @@ def plain_kept(rows):
     return sorted(least.values())
 
 
-def test_near_copies_of_the_pipeline(spark, tmp_path):
+def test_near_copies_of_the_pipeline(spark):
     r = random.Random(3)
     vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(500)]
     words = lambda n: [r.choice(vocab) for _ in range(n)]
@@ -47,12 +45,14 @@ def test_near_copies_of_the_pipeline(spark, tmp_path):
     assert near_copies.near_groups(docs.limit(0)).count() == 0
 
 
-def test_pipeline_by_similarity(spark, tmp_path, monkeypatch):
-    """The whole pipeline against its plain version, with the rule of this stage instead of the former one."""
-
-    def groups(rows, *_):
-        kept = set(plain_kept(rows))
-        return [(i, None, i if i in kept else None) for i, _ in rows]
-
-    monkeypatch.setattr(former, "brute_groups", groups)
-    former.test_pipeline(spark, tmp_path)
+def test_rows_that_are_no_copies_stay(spark):
+    """Null and repeated identifiers, and columns named like those the operators use."""
+    r = random.Random(5)
+    a, b, c = (" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(3))
+    rows = [(None, a), (None, b), (1, c), (7, a + " one two three"), (7, b + " one two three"), (7, b + " one two three"), (8, c + " one"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, k, "x", 1, "y") for k, (i, t) in enumerate(rows)], "doc_id long, text string, _rows int, _keep_id string, _row_digest int, _digest string").repartition(3)
+    out = near_copies.drop_near_copies(docs)
+    assert out.columns == docs.columns
+    assert sorted((x.doc_id or 0, x.text or "") for x in out.collect()) == sorted([(1, c), (7, a + " one two three"), (7, b + " one two three"), (0, "")])
+    alike = simhash.drop_near_copies(docs, distance=0)  # equal fingerprints only
+    assert sorted((x.doc_id or 0, x.text or "") for x in alike.collect()) == sorted([(0, a), (0, b), (1, c), (7, a + " one two three"), (7, b + " one two three"), (8, c + " one"), (0, "")])

@@ -8,7 +8,8 @@ import __spark_entry__
 import corpus_pipeline
 from pulseweave.llm import registry
 
-from .test_documents import WORD, brute_groups, plain_best_fit, plain_fingerprint, plain_measures, water_fill
+from .test_documents import WORD, plain_best_fit, plain_measures, water_fill
+from .test_near_copies import plain_kept
 
 
 def rows():
@@ -28,7 +29,7 @@ def plain_pipeline(docs, ids):
     for d in docs:
         best[d[1]] = max(best.get(d[1], -1), d[0])
     docs = [d for d in docs if best[d[1]] == d[0]]
-    kept = {i for i, _, c in brute_groups([(d[0], d[1]) for d in docs], plain_fingerprint, 2) if i == c}
+    kept = set(plain_kept([(d[0], d[1]) for d in docs]))
     docs = [d for d in docs if d[0] in kept]
     size = {d[0]: len(WORD.findall(d[1])) for d in docs}
     sources = defaultdict(list)
