@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import first_per_group
-from ..functions.scalar import present, record_hash, stratum
+from ..functions.ranking import dense_index, first_per_group
+from ..functions.scalar import let, present, record_hash, stratum
 
 #: Columns and note fields of the metadata, and the age that stands for "90 and over".
 REQUIRED = ("ecg_id", "patient_id", "age", "scp_codes", "strat_fold", "filename_hr")
@@ -26,13 +26,18 @@ def require(bad: DataFrame, what: str) -> None:
         raise ContractError(f"{what}: {bad.limit(3).collect()}")
 
 
+def metadata_faults(metadata: DataFrame) -> DataFrame:
+    """(ecg_id, rule) of identifiers that are null or repeated, and of folds that are no whole number from 1 to 10."""
+    keys = metadata.groupBy("ecg_id").count().filter("count > 1 OR ecg_id IS NULL").select("ecg_id", F.lit("ecg_id is not a key").alias("rule"))
+    fold = F.col("strat_fold").cast("double")
+    return keys.unionByName(metadata.filter(fold.isNull() | (fold != F.floor(fold)) | ~fold.between(1, 10)).select("ecg_id", F.lit("strat_fold is not 1 to 10").alias("rule")))
+
+
 def check_metadata(metadata: DataFrame) -> None:
-    """Required columns are there, identifiers are unique and not null, folds are whole numbers from 1 to 10."""
+    """Required columns are there, and no row breaks a rule."""
     if absent := [c for c in REQUIRED if c not in metadata.columns]:
         raise ContractError(f"columns are missing: {absent}")
-    require(metadata.groupBy("ecg_id").count().filter("count > 1 OR ecg_id IS NULL"), "ecg_id is not a key")
-    fold = F.col("strat_fold").cast("double")
-    require(metadata.filter(fold.isNull() | (fold != F.floor(fold)) | ~fold.between(1, 10)).select("ecg_id", "strat_fold"), "strat_fold is not 1 to 10")
+    require(metadata_faults(metadata), "metadata")
 
 
 def split_of(fold: str | Column = "strat_fold") -> Column:
@@ -40,13 +45,17 @@ def split_of(fold: str | Column = "strat_fold") -> Column:
     return F.when(fold.between(1, 8), "train").when(fold == 9, "validation").when(fold == 10, "test")
 
 
-def codes_of(text: str = "scp_codes") -> tuple[Column, Column]:
-    """Trimmed, distinct, non-empty keys of a map's text, and why there are none: ``empty_scp_codes`` or ``malformed_scp_codes``."""
-    parsed = F.from_json(F.col(text), "map<string,double>")
-    keys = F.array_sort(F.array_distinct(F.filter(F.transform(F.map_keys(parsed), lambda k: F.trim(k)), lambda k: k != "")))
+def codes_of(text: str = "scp_codes") -> Column:
+    """Struct of codes, the trimmed, distinct, non-empty keys of a map's text, and code_status, why there are none: ``empty_scp_codes`` or ``malformed_scp_codes``. The text is parsed once."""
     blank = present(text).isNull()
-    status = F.when(blank, "empty_scp_codes").when(parsed.isNull(), "malformed_scp_codes").when(F.size(keys) == 0, "empty_scp_codes").otherwise("")
-    return F.when(status == "", keys).otherwise(F.array().cast("array<string>")), status
+
+    def found(parsed: Column) -> Column:
+        keys = F.array_sort(F.array_distinct(F.filter(F.transform(F.map_keys(parsed), lambda k: F.trim(k)), lambda k: k != "")))
+        return let(keys, lambda own: F.struct(F.when(F.size(own) > 0, own).otherwise(F.array().cast("array<string>")).alias("codes"), F.when(F.size(own) > 0, "").otherwise("empty_scp_codes").alias("code_status")))
+
+    none = lambda why: F.struct(F.array().cast("array<string>").alias("codes"), F.lit(why).alias("code_status"))
+    parsed = let(F.from_json(F.col(text), "map<string,double>"), lambda p: F.when(p.isNull(), none("malformed_scp_codes")).otherwise(found(p)))
+    return F.when(blank, none("empty_scp_codes")).otherwise(parsed)
 
 
 def with_codes(metadata: DataFrame, dictionary: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -55,8 +64,7 @@ def with_codes(metadata: DataFrame, dictionary: DataFrame, labels: Sequence[str]
     ``dictionary`` (code, diagnostic) is a code book of bounded size; it becomes one array.
     """
     book = dictionary.filter(F.col("diagnostic") == 1).agg(F.collect_set("code").alias("_book"))
-    codes, status = codes_of()
-    out = metadata.withColumns({"codes": codes, "code_status": status}).join(F.broadcast(book))
+    out = metadata.withColumn("_codes", codes_of()).select(*metadata.columns, "_codes.*").join(F.broadcast(book))
     out = out.withColumn("diagnostic_codes", F.array_sort(F.array_intersect("codes", "_book"))).drop("_book")
     only = F.when(F.size("diagnostic_codes") == 1, F.element_at("diagnostic_codes", 1))
     return out.withColumns({"label": F.when(only.isin(*labels), only), "label_status": F.when(F.col("code_status") != "", F.col("code_status")).when(F.size("diagnostic_codes") == 0, "no_diagnostic_codes").otherwise("")})
@@ -64,7 +72,7 @@ def with_codes(metadata: DataFrame, dictionary: DataFrame, labels: Sequence[str]
 
 def with_age(metadata: DataFrame) -> DataFrame:
     age = F.col("age").try_cast("double")
-    return metadata.withColumns({"age_years": F.when(age != AGE_90_PLUS, age), "age_90_plus": F.coalesce(age >= 90, F.lit(False))})
+    return metadata.withColumns({"age_raw": F.col("age"), "age_years": F.when(age != AGE_90_PLUS, age), "age_90_plus": F.coalesce(age >= 90, F.lit(False))})
 
 
 def with_notes(metadata: DataFrame, fields: Sequence[str] = NOTES) -> DataFrame:
@@ -98,8 +106,11 @@ def check_splits(rows: DataFrame) -> None:
     require(rows.filter(F.col("patient_id").isNotNull()).groupBy("patient_id").agg(F.countDistinct("split").alias("splits")).filter("splits > 1"), "a patient lies in several splits")
 
 
-#: Order of the columns that an audit wants to see first.
-PREFERRED = ("ecg_id", "patient_id", "split", "label", "label_status", "codes", "diagnostic_codes", "age_years", "age_90_plus", "quality_note_fields", "quality_note_count", "has_quality_note", "patient_label_conflict", "sampling_eligible")
+#: Order of the columns of an audit; quality_note_present is named has_quality_note here, strict_label label, hea_path and dat_path by what they hold.
+PREFERRED = (
+    "ecg_id", "patient_id", "diagnostic_codes", "label", "strat_fold", "split", "filename_hr", "device", "site", "sex", "age_raw", "age_years", "age_90_plus", *NOTES,
+    "has_quality_note", "quality_note_fields", "quality_note_count", "label_status", "header_path", "signal_path", "file_status", "patient_label_conflict", "sampling_eligible",
+)
 
 
 def audit_columns(rows: DataFrame) -> DataFrame:
@@ -165,10 +176,14 @@ def casebook(rows: DataFrame, group: Sequence[str], order: Sequence[str | Column
     return first.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
-def with_range_rank(rows: DataFrame, value: str, name: str = "range_rank") -> DataFrame:
-    """Dense rank of a value over a selected table, nulls last: distinct values are ranked, rows are joined to them."""
-    ranks = rows.select(value).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(F.col(value).asc_nulls_last())))
-    return rows.join(ranks.withColumnRenamed(value, "_value"), F.col(value).eqNullSafe(F.col("_value"))).drop("_value")
+def with_range_rank(rows: DataFrame, value: str, name: str = "range_rank", ranges: int = 256) -> DataFrame:
+    """Dense rank of a number over a selected table, nulls last: distinct values are ranked in ranges, in tasks of their own, and rows are joined to them."""
+    values = rows.select(F.col(value).alias("_value")).distinct()
+    span = values.agg(F.min("_value").cast("double").alias("_low"), F.max("_value").cast("double").alias("_high"))
+    share = (F.col("_value") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    bucket = F.when(F.col("_value").isNull(), ranges).otherwise(F.coalesce(F.floor(share * (ranges - 1)).cast("int"), F.lit(0)))
+    ranks = dense_index(values.join(F.broadcast(span)), [], bucket, ["_value"], name).select("_value", (F.col(name) + 1).cast("int").alias(name))
+    return rows.join(ranks, F.col(value).eqNullSafe(F.col("_value"))).drop("_value")
 
 
 def review_list(rows: DataFrame, label: str, ok: str, flags: str, size: str, identity: str = "ecg_id", n: int = 10, named: Sequence = ()) -> DataFrame:
@@ -191,12 +206,20 @@ def assert_counts(rows: DataFrame, label: str, expected: dict) -> None:
     require(have.join(want, label, "full_outer").filter(~F.coalesce("have", F.lit(0)).eqNullSafe(F.coalesce("want", F.lit(0)))), "counts differ")
 
 
-def success_gate(records: DataFrame, read_ok: Column, beat_ok: Column, least_read: int, least_beat: int, label: str, pool: Column, least_pool: int, labels: int = 2) -> DataFrame:
-    """Successes against their least numbers, one row, and whether all are met."""
+def success_gate(records: DataFrame, read_ok: Column, beat_ok: Column, least_read: int, least_beat: int, label: str, pool: Column, least_pool: int, labels: int = 2, probes: DataFrame | None = None, probe: str = "probe", cells: int = 6, least_probes: int = 80) -> DataFrame:
+    """Successes against their least numbers, one row, and whether all are met.
+
+    ``probes`` (probe, ok) has a row per cell of a probe; a probe succeeds if all its ``cells`` are ok.
+    """
     pools = records.filter(pool).groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.when(F.count(F.lit(1)) == labels, F.min("n")).otherwise(F.lit(0)).alias("prototypes_min"))
     sums = records.agg(F.count(F.lit(1)).alias("records"), F.sum(read_ok.cast("int")).alias("read_ok"), F.sum(beat_ok.cast("int")).alias("beat_ok"))
     met = (F.col("read_ok") >= least_read) & (F.col("beat_ok") >= least_beat) & (F.col("prototypes_min") >= least_pool)
-    return sums.join(F.broadcast(pools)).withColumn("gate_pass", met)
+    out = sums.join(F.broadcast(pools))
+    if probes is not None:
+        whole = probes.groupBy(probe).agg(F.bool_and("ok").alias("_all"), F.count(F.lit(1)).alias("_n"))
+        out = out.join(F.broadcast(whole.agg(F.count_if(F.col("_all") & (F.col("_n") == cells)).alias("probes_ok"))))
+        met = met & (F.col("probes_ok") >= least_probes)
+    return out.withColumn("gate_pass", met)
 
 
 def only_folds(rows: DataFrame, folds: Sequence[int] = range(1, 9), fold: str = "strat_fold") -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,16 +98,28 @@ def rr_summary(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def repair(peaks: Column, low: float = 0.20, high: float = 0.40, amp: float = 0.45, slope: float = 0.50, rate: float = 500.0) -> Column:
-    """Of an ordered array of structs (at in samples, amp, slope) the ones kept: one is dropped if it follows the last *kept* one within [low, high] s and is weaker in both respects."""
+def repair(rows: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, amp: str, slope: str, low: float = 0.20, high: float = 0.40, least_amp: float = 0.45, least_slope: float = 0.50, rate: float = 500.0) -> DataFrame:
+    """The rows that are kept: one is dropped if it follows the last *kept* one of its record within [low, high] s and is weaker than given parts of it in both respects.
 
-    def step(kept, p):
-        last = F.element_at(kept, -1)
-        lag = (p["at"] - last["at"]) / F.lit(rate)
-        drop = (F.size(kept) > 0) & lag.between(low, high) & (p["amp"] < amp * last["amp"]) & (p["slope"] < slope * last["slope"])
-        return F.when(F.coalesce(drop, F.lit(False)), kept).otherwise(F.concat(kept, F.array(p)))
+    Records are sorted in their partition and folded as they stream by, with the last kept row as the only state.
+    """
+    keys = list(keys)
+    state = [*keys, at, amp, slope]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        record = last = None
+        for batch in batches:
+            keep = []
+            for *own, place, height, steep in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in state), strict=True):
+                weak = False
+                if own == record and None not in (height, steep, *last[1:]):
+                    weak = low <= (place - last[0]) / rate <= high and height < least_amp * last[1] and steep < least_slope * last[2]
+                if not weak:
+                    record, last = own, (place, height, steep)
+                keep.append(not weak)
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return F.aggregate(peaks, F.slice(peaks, 1, 0), step)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, rows.schema)
 
 
 def runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], condition: Column) -> DataFrame:
@@ -134,8 +147,11 @@ def plateau_share(rows: DataFrame, keys: Sequence[str], order: Sequence[str], va
     return sizes.join(held, list(keys), "left").select(*keys, "n", (F.coalesce("held", F.lit(0)) / F.col("n")).alias("share"))
 
 
-def record_summary(manifest: DataFrame, events: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """A row per record of ``manifest``, also for those without events: peaks, valid ones, adjacent pairs, interval and value statistics."""
+def record_summary(manifest: DataFrame, events: DataFrame, keys: Sequence[str], value: str, removed: DataFrame | None = None, spread: DataFrame | None = None) -> DataFrame:
+    """A row per record of ``manifest``, also for those without events: peaks, valid ones, adjacent pairs, interval and value statistics.
+
+    ``removed``: rows of the candidates that repair dropped, counted as removed_candidates; ``spread``: rows per lead with vh, of which the largest is vh_max.
+    """
     keys = list(keys)
     valid = F.col("valid")
     nxt = F.when(valid, F.lead("source_index").over(by([*keys, "valid"], "source_index")))
@@ -144,7 +160,10 @@ def record_summary(manifest: DataFrame, events: DataFrame, keys: Sequence[str],
         F.count(F.lit(1)).alias("peaks"), F.sum(valid.cast("int")).alias("valid_beats"), F.sum(F.coalesce(F.col("_edge"), F.lit(False)).cast("int")).alias("pairs"), F.percentile(F.when(valid, F.col("rr_next_ms")), F.lit(0.5)).alias("rr_median_ms"),
         F.avg(F.when(valid, F.col(value))).alias("value_mean"), F.max(F.when(valid, F.col(value))).alias("value_max"),
     )
-    return manifest.join(found, keys, "left").fillna(0, ["peaks", "valid_beats", "pairs"])
+    out = manifest.join(found, keys, "left").fillna(0, ["peaks", "valid_beats", "pairs"])
+    if removed is not None:
+        out = out.join(removed.groupBy(*keys).agg(F.count(F.lit(1)).alias("removed_candidates")), keys, "left").fillna(0, ["removed_candidates"])
+    return out if spread is None else out.join(spread.groupBy(*keys).agg(F.max("vh").alias("vh_max")), keys, "left")
 
 
 def coverage(summary: DataFrame, by_columns: Sequence[str], least_valid: int = 3) -> DataFrame:

@@ -15,14 +15,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import percentiles
 from ..functions.scalar import finite
+from ..functions.storage import written
 
 
 def training_scales(rows: DataFrame, keys: Sequence[str], fold: str, features: Sequence[str], folds: Sequence[int]) -> DataFrame:
     """Median and sd of each feature over the training rows (all folds but one) of each cell; sd 1 where it is tiny, median 0 where all is missing."""
-    rows = rows.withColumns({f: finite(f) for f in features}).withColumn("test_fold", F.explode(F.array(*[F.lit(f) for f in folds]))).filter(F.col(fold) != F.col("test_fold"))
-    sd = lambda f: F.coalesce(F.when(F.stddev_samp(f) >= 1e-8, F.stddev_samp(f)), F.lit(1.0))
-    return rows.groupBy(*keys, "test_fold").agg(F.array(*[F.coalesce(F.percentile(f, F.lit(0.5)), F.lit(0.0)) for f in features]).alias("medians"), F.array(*[sd(f) for f in features]).alias("sds"))
+    keys = [*keys, "test_fold"]
+    values = F.array(*[F.struct(F.lit(k).alias("k"), finite(f).alias("x")) for k, f in enumerate(features)])
+    train = rows.withColumn("test_fold", F.explode(F.array(*[F.lit(f) for f in folds]))).filter(F.col(fold) != F.col("test_fold"))
+    long = train.select(*keys, F.explode(values).alias("v")).select(*keys, "v.*")
+    each = long.groupBy(*keys, "k").agg(F.stddev_samp("x").alias("sd")).join(percentiles(long, [*keys, "k"], "x", (0.5,)), [*keys, "k"], "left")
+    sd, median = F.when(F.col("sd") >= 1e-8, F.col("sd")).otherwise(F.lit(1.0)), F.coalesce(F.col("percentiles")[0], F.lit(0.0))
+    in_order = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", median.alias("median"), sd.alias("sd")))).alias("s"))
+    return in_order.select(*keys, F.transform("s", lambda x: x["median"]).alias("medians"), F.transform("s", lambda x: x["sd"]).alias("sds"))
 
 
 def missing_count(features: Sequence[str]) -> Column:
@@ -50,7 +57,8 @@ def fold_scores(rows: DataFrame, keys: Sequence[str], fold: str, label: str, fea
     scales = training_scales(rows, keys, fold, features, folds)
     cells = {tuple(r[k] for k in keys) + (r["test_fold"],): (np.array(r["medians"], float), np.array(r["sds"], float)) for r in scales.collect()}  # configurations x folds
     weights = {c: np.zeros(d) for c in cells}
-    table = rows.select(*keys, F.col(fold).cast("int").alias("_fold"), F.col(label).cast("double").alias("_y"), F.array(*[finite(f) for f in features]).alias("_x")).filter(F.col("_y").isNotNull())
+    # read once for every step: what the rows come from is not computed again
+    table = written(rows.select(*keys, F.col(fold).cast("int").alias("_fold"), F.col(label).cast("double").alias("_y"), F.array(*[finite(f) for f in features]).alias("_x")).filter(F.col("_y").isNotNull()), "design")
     tests = sorted(cells, key=str)
 
     def groups(batch: pa.RecordBatch):
@@ -111,8 +119,9 @@ def fold_scores(rows: DataFrame, keys: Sequence[str], fold: str, label: str, fea
     return scored.mapInArrow(score, f"{schema}, score double")
 
 
-def with_unusable_folds(scored: DataFrame, template_status: DataFrame, fold: str) -> DataFrame:
-    """Scores of folds whose templates are insufficient become null, with a status."""
-    bad = template_status.filter(F.col("status") != "ok").select(fold).distinct().withColumn("_bad", F.lit(True))
-    out = scored.join(F.broadcast(bad), fold, "left")
-    return out.withColumns({"score": F.when(F.col("_bad").isNull(), F.col("score")), "score_status": F.when(F.col("_bad").isNull(), "ok").otherwise("insufficient_train_prototypes")}).drop("_bad")
+def with_unusable_folds(scored: DataFrame, template_status: DataFrame, fold: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Scores of folds whose templates are insufficient become null, with a status; ``keys`` name the configuration (stage, cohort, scheme) that a status is of."""
+    on = [*keys, fold]
+    bad = template_status.filter(F.col("status") != "ok").select(*on).distinct().withColumn("_bad", F.lit(True))
+    out = scored.join(bad, on, "left")
+    return out.select(*[c for c in scored.columns if c != "score"], F.when(F.col("_bad").isNull(), F.col("score")).alias("score"), F.when(F.col("_bad").isNull(), "ok").otherwise("insufficient_train_prototypes").alias("score_status"))

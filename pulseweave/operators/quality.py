@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import percentiles
 from ..functions.scalar import let
 from .templates import array_quantile
 
@@ -151,9 +152,18 @@ def correlated_pairs(leads: DataFrame, keys: Sequence[str], lead: str, wave: str
 
 
 def excluded(size: Column, peaks: Column, radius: int = 50) -> Column:
-    """Array of 0 and 1: whether index d of 0 .. size - 1 lies within ``radius`` of a peak. The interval join is done by marking both ends of each interval and summing up."""
-    spans = F.transform(peaks, lambda p: F.struct(F.greatest(p - radius, F.lit(0)).alias("a"), F.least(p + radius, size - 1).alias("b")))
-    return F.transform(F.sequence(F.lit(0), size - 1), lambda d: F.exists(spans, lambda s: (s["a"] <= d) & (d <= s["b"])).cast("int"))
+    """Array of 0 and 1: whether index d of 0 .. size - 1 lies within ``radius`` of a peak. The interval join walks the sorted peaks once: each adds the zeros before its interval and the ones that no earlier interval has."""
+    inside = lambda x: F.least(F.greatest(x, F.lit(0)), size)
+
+    def filled(at: Column) -> Column:
+        def part(p: Column, k: Column) -> Column:
+            done = F.coalesce(inside(F.get(at, k - 1) + radius + 1), F.lit(0))
+            start, end = F.greatest(inside(p - radius), done), F.greatest(inside(p + radius + 1), done)
+            return F.concat(F.array_repeat(F.lit(0), start - done), F.array_repeat(F.lit(1), end - start))
+
+        return let(F.flatten(F.transform(at, part)), lambda x: F.concat(x, F.array_repeat(F.lit(0), size - F.size(x))))
+
+    return let(F.array_sort(F.array_compact(peaks)), filled)
 
 
 def threshold_grid(leads: DataFrame, wave: str, thresholds: Sequence[float] = GRID_MV, rate: float = 500.0, inside: Column | None = None) -> DataFrame:
@@ -175,7 +185,11 @@ def saturation(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def lead_summary(grid: DataFrame, lead: str) -> DataFrame:
     """Flag rate, medians and maximum per lead and threshold."""
-    return grid.groupBy(lead, "threshold_mv").agg(F.avg(F.col("flag").cast("double")).alias("flag_rate"), F.percentile("low_share", F.lit(0.5)).alias("low_median"), F.percentile("longest_low_s", F.lit(0.5)).alias("longest_median"), F.max("low_share").alias("low_max"))
+    keys = [lead, "threshold_mv"]
+    out = grid.groupBy(*keys).agg(F.avg(F.col("flag").cast("double")).alias("flag_rate"), F.max("low_share").alias("low_max"))
+    for value, name in (("low_share", "low_median"), ("longest_low_s", "longest_median")):
+        out = out.join(percentiles(grid, keys, value, (0.5,)).select(*keys, F.col("percentiles")[0].alias(name)), keys, "left")
+    return out
 
 
 def flat_records(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -185,6 +199,6 @@ def flat_records(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def flat_thresholds(records: DataFrame) -> DataFrame:
     """Per threshold: flag rate, and median and quartiles of the largest share."""
-    q = lambda p: F.percentile("max_share", F.lit(p))
-    return records.groupBy("threshold_mv").agg(F.avg(F.col("any_flag").cast("double")).alias("flag_rate"), q(0.5).alias("max_median"), q(0.25).alias("max_q25"), q(0.75).alias("max_q75"))
-
+    rates = records.groupBy("threshold_mv").agg(F.avg(F.col("any_flag").cast("double")).alias("flag_rate"))
+    found = percentiles(records, ["threshold_mv"], "max_share", (0.5, 0.25, 0.75))
+    return rates.join(found, "threshold_mv", "left").select("threshold_mv", "flag_rate", *[F.col("percentiles")[k].alias(f"max_{n}") for k, n in enumerate(("median", "q25", "q75"))])

@@ -32,13 +32,17 @@ def adjacent_stats(valid: DataFrame, keys: Sequence[str], values: Sequence[str],
     return four_stats(rows, [*keys, "seed"], values, 2, [F.sum(F.coalesce(F.col("edge"), F.lit(False)).cast("int")).alias("pairs")])
 
 
-def neighbour_distances(moved: DataFrame, edges: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distances between neighbours after a permutation, looked up in the table of pairs (keys, i < j, distance) of the original places."""
+def neighbours(moved: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Original places i < j of the events that are neighbours after a permutation, at the original edges: (keys, seed, valid_position, i, j), a row per edge and seed."""
     keys = list(keys)
     nxt = F.lead("vector_origin").over(by([*keys, "seed"], "valid_position"))
     rows = moved.select(*keys, "seed", "valid_position", "vector_origin", nxt.alias("_next")).join(edges.filter("edge").select(*keys, F.col("beat_index").alias("valid_position")), [*keys, "valid_position"])
-    rows = rows.select(*keys, "seed", "valid_position", F.least("vector_origin", "_next").alias("i"), F.greatest("vector_origin", "_next").alias("j"))
-    return rows.join(pairs, [*keys, "i", "j"])
+    return rows.select(*keys, "seed", "valid_position", F.least("vector_origin", "_next").alias("i"), F.greatest("vector_origin", "_next").alias("j"))
+
+
+def neighbour_distances(moved: DataFrame, edges: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distances between neighbours after a permutation, looked up in the table of pairs (keys, i < j, distance) of the original places."""
+    return neighbours(moved, edges, keys).join(pairs, [*keys, "i", "j"])
 
 
 def unchanged(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

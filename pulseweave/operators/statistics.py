@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import percentiles
 from ..functions.scalar import finite
 
 STATS = ("mean", "sd", "mad", "iqr")
@@ -36,4 +37,6 @@ def four_stats(df: DataFrame, keys: Sequence[str], values: Sequence[str], minimu
 def descriptives(df: DataFrame, label: str, values: Sequence[str], labels: Sequence) -> DataFrame:
     """Count, mean, median and sd of each value by label: a row per metric, the labels side by side."""
     long = df.unpivot([label], list(values), "metric", "value").withColumn("value", finite("value"))
-    return long.groupBy("metric").pivot(label, list(labels)).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.stddev_samp("value").alias("sd"))
+    each = long.groupBy("metric", label).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    each = each.join(percentiles(long, ["metric", label], "value", (0.5,)), ["metric", label], "left").withColumn("median", F.col("percentiles")[0])
+    return each.groupBy("metric").pivot(label, list(labels)).agg(*[F.first(c).alias(c) for c in ("n", "mean", "median", "sd")])

@@ -138,10 +138,18 @@ def cohort_summary(spark, sf_dir):
     return C.cohort_summary(index(spark, sf_dir))
 
 
-@query(CTES + FAILED + "q AS (SELECT label, count(*) FILTER (failure IS NULL) AS n FROM fl GROUP BY label) SELECT count(*) AS records, sum((failure IS DISTINCT FROM 'read')::int) AS read_ok, sum((failure IS NULL)::int) AS beat_ok, (SELECT CASE WHEN count(*) = 2 THEN min(n) ELSE 0 END FROM q) AS prototypes_min, sum((failure IS DISTINCT FROM 'read')::int) >= 297 AND sum((failure IS NULL)::int) >= 270 AND (SELECT CASE WHEN count(*) = 2 THEN min(n) ELSE 0 END FROM q) >= 20 AS gate_pass FROM fl")
+GATE = """q AS (SELECT label, count(*) FILTER (failure IS NULL) AS n FROM fl GROUP BY label),
+g AS (SELECT count(*) AS records, sum((failure IS DISTINCT FROM 'read')::int) AS read_ok, sum((failure IS NULL)::int) AS beat_ok, (SELECT CASE WHEN count(*) = 2 THEN min(n) ELSE 0 END FROM q) AS prototypes_min,
+  (SELECT count(*) FROM (SELECT ecg_id // 6 FROM fl GROUP BY 1 HAVING count(*) = 6 AND bool_and(failure IS NULL))) AS probes_ok FROM fl)
+"""
+
+
+@query(CTES + FAILED + GATE + "SELECT *, read_ok >= 297 AND beat_ok >= 270 AND prototypes_min >= 20 AND probes_ok >= 80 AS gate_pass FROM g")
 def success_gate(spark, sf_dir):
+    """A probe is six records in a row, its cells."""
     rows = failed(spark, sf_dir)
-    return C.success_gate(rows, ~F.col("failure").eqNullSafe("read"), F.col("failure").isNull(), 297, 270, "label", F.col("failure").isNull(), 20)
+    probes = rows.select(F.floor(F.col("ecg_id") / 6).alias("probe"), F.col("failure").isNull().alias("ok"))
+    return C.success_gate(rows, ~F.col("failure").eqNullSafe("read"), F.col("failure").isNull(), 297, 270, "label", F.col("failure").isNull(), 20, probes=probes)
 
 
 @query(CTES + "q AS (SELECT 1) SELECT patient_id, count(DISTINCT split) AS splits, bool_or(patient_label_conflict) AS conflict, count(*) AS records FROM ix WHERE patient_id IS NOT NULL GROUP BY patient_id")

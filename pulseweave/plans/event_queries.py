@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranking import percentiles
 from ..functions.scalar import finite, fold_of, seconds
 from ..operators import events as E
 from ..operators import shuffles
@@ -168,30 +169,37 @@ def rr_summary(spark, sf_dir):
     return found.select("user_id", "rr_count", r("rr_median_ms"), r("rr_cv", digits=6), r("rmssd_ms", digits=3), r("rr_mad_ms"), r("rr_iqr_ms"))
 
 
+def with_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = timed(spark, sf_dir).withColumn("slope", F.abs(F.col("value") - F.lag("value").over(E.by(KEYS, "source_index"))))
+    return rows.withColumn("slope", F.coalesce("slope", "value"))
+
+
 @query()
 def peak_repair(spark, sf_dir):
     """Events of a user as candidate peaks: weak ones shortly after the last kept one go. A fold over what was kept, which SQL cannot express."""
-    rows = timed(spark, sf_dir).withColumn("slope", F.abs(F.col("value") - F.lag("value").over(E.by(KEYS, "source_index"))))
-    peaks_of = F.array_sort(F.collect_list(F.struct((F.col("pos") / F.lit(1e3)).alias("at"), F.col("value").alias("amp"), F.coalesce("slope", "value").alias("slope"), "event_id")))
-    kept = rows.groupBy("user_id").agg(peaks_of.alias("peaks")).select("user_id", F.explode(E.repair(F.col("peaks"), 600.0, 86400.0, rate=1.0)).alias("p"))
-    return kept.select("user_id", F.col("p.event_id").alias("event_id"))
+    return E.repair(with_slope(spark, sf_dir), KEYS, ["source_index"], "pos", "value", "slope", 600.0, 86400.0, rate=1e3).select("user_id", "event_id")
 
 
 SUMMARY = """vv AS (SELECT *, CASE WHEN valid THEN lead(source_index) OVER (PARTITION BY user_id, valid ORDER BY source_index) - source_index = 1 END AS e FROM vd),
 sm AS (SELECT user_id, count(*) AS peaks, sum(valid::int) AS valid_beats, sum(coalesce(e, false)::int) AS pairs, median(rr_next_ms) FILTER (valid) AS rr_median_ms, avg(value) FILTER (valid) AS value_mean, max(value) FILTER (valid) AS value_max FROM vv GROUP BY user_id),
 mf AS (SELECT c_custkey AS user_id, c_mktsegment FROM customer),
-rs AS (SELECT mf.user_id, c_mktsegment, coalesce(peaks, 0) AS peaks, coalesce(valid_beats, 0) AS valid_beats, coalesce(pairs, 0) AS pairs, rr_median_ms, value_mean, value_max FROM mf LEFT JOIN sm USING (user_id)),
+rm AS (SELECT user_id, count(*) AS removed FROM ev WHERE event_type = 'error' GROUP BY user_id),
+vh AS (SELECT user_id, max(vh) AS vh_max FROM (SELECT user_id, event_type, stddev_samp(value) / avg(value) AS vh FROM ed GROUP BY user_id, event_type) GROUP BY user_id),
+rs AS (SELECT mf.user_id, c_mktsegment, coalesce(peaks, 0) AS peaks, coalesce(valid_beats, 0) AS valid_beats, coalesce(pairs, 0) AS pairs, rr_median_ms, value_mean, value_max, coalesce(removed, 0) AS removed_candidates, vh_max FROM mf LEFT JOIN sm USING (user_id) LEFT JOIN rm USING (user_id) LEFT JOIN vh USING (user_id)),
 """
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
-    return E.record_summary(manifest, validated(spark, sf_dir), KEYS, "value")
+    events = validated(spark, sf_dir)
+    # stand-ins: errors as candidates that repair removed, event types as leads with their spread
+    spread = events.filter("valid").groupBy("user_id", "event_type").agg((F.stddev_samp("value") / F.avg("value")).alias("vh"))
+    return E.record_summary(manifest, events, KEYS, "value", events.filter("event_type = 'error'"), spread)
 
 
-@query(CTES + SUMMARY + "q AS (SELECT user_id, c_mktsegment, peaks, valid_beats, pairs, round(rr_median_ms, 4) AS rr_median_ms, round(value_mean, 9) AS value_mean, value_max FROM rs) SELECT * FROM q")
+@query(CTES + SUMMARY + "q AS (SELECT user_id, c_mktsegment, peaks, valid_beats, pairs, round(rr_median_ms, 4) AS rr_median_ms, round(value_mean, 9) AS value_mean, value_max, removed_candidates, round(vh_max, 6) AS vh_max FROM rs) SELECT * FROM q")
 def record_summary(spark, sf_dir):
-    return summaries(spark, sf_dir).select("user_id", "c_mktsegment", "peaks", "valid_beats", "pairs", r("rr_median_ms"), r("value_mean", digits=9), "value_max")
+    return summaries(spark, sf_dir).select("user_id", "c_mktsegment", "peaks", "valid_beats", "pairs", r("rr_median_ms"), r("value_mean", digits=9), "value_max", "removed_candidates", r("vh_max", digits=6))
 
 
 @query(CTES + SUMMARY + "q AS (SELECT c_mktsegment, count(*) AS n, sum((valid_beats >= 3)::int) AS successes, sum(valid_beats) AS beats FROM rs GROUP BY c_mktsegment) SELECT * FROM q")
@@ -254,7 +262,8 @@ q AS (SELECT fold, user_id, round(avg(value), 9) AS mean FROM vf GROUP BY fold,
 )
 def fold_medians(spark, sf_dir):
     rows = valid_edges(spark, sf_dir).groupBy(fold_of("user_id").alias("fold"), "user_id").agg(F.round(F.avg("value"), 9).alias("mean"))
-    return rows.groupBy("fold").agg(F.count(F.lit(1)).alias("users"), r(F.percentile("mean", F.lit(0.5)), "median", 8))
+    found = percentiles(rows, ["fold"], "mean", (0.5,))
+    return rows.groupBy("fold").agg(F.count(F.lit(1)).alias("users")).join(found, "fold").select("fold", "users", r(F.col("percentiles")[0], "median", 8))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranking import first_per_group
 from ..functions.scalar import fold_of, md5_int
 from ..operators import checks, logistic, metrics
 from .registry import query, r, table
 
 SEEDS = [0, 1, 2, 3, 4, 5]
 CFG = ["stage", "seed", "model"]
-REPLICATES = 100
+REPLICATES = 1000
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,6 +195,5 @@ def training_scales(spark, sf_dir):
 
 @query(CTES + DONE + "SELECT label, count(*) AS n, round(avg(n_chars), 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n_chars DESC, doc_id) AS k FROM lb) WHERE k <= 20 GROUP BY label")
 def longest_per_label(spark, sf_dir):
-    w = Window.partitionBy("label").orderBy(F.desc("n_chars"), "doc_id")
-    rows = labelled(spark, sf_dir).withColumn("k", F.row_number().over(w)).filter("k <= 20")
+    rows = first_per_group(labelled(spark, sf_dir), ["label"], [F.desc("n_chars"), "doc_id"], 20)
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r(F.avg("n_chars"), "mean", 6))

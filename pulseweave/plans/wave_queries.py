@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import fold_of
+from ..functions.scalar import fold_of, let
 from ..operators import checks, distances, events, quality, shuffles, templates, waveforms
+from ..operators.statistics import four_stats
 from ..sources import manifests, tables
 from . import event_queries
 from .registry import query, r, table
@@ -26,17 +27,21 @@ ux AS (SELECT vec_id, label, fold, unnest(e) AS v, generate_subscripts(e, 1) AS
 Q = "q AS (SELECT 1) "
 
 
-def first_values(wave: str) -> list:
-    return [r(F.element_at(wave, k), f"w{k}", 6) for k in (1, 2, 33, 64)]
+SAMPLES = range(1, 65)
 
 
-def first_sql(source: str, keys: str, value: str = "v") -> str:
-    return ", ".join(f"round(max({value}) FILTER (i = {k}), 6) AS w{k}" for k in (1, 2, 33, 64))
+def whole_wave(wave: str) -> list:
+    """All 64 samples, a column each."""
+    return [r(F.get(wave, k - 1), f"w{k}", 6) for k in SAMPLES]
 
 
-@query(CTES + "q AS (SELECT label, i, avg(v) AS v, count(*) AS n FROM ux GROUP BY label, i) SELECT label, max(n) AS n, " + first_sql("q", "label") + " FROM q GROUP BY label")
+def whole_sql(value: str = "v") -> str:
+    return ", ".join(f"round(max({value}) FILTER (i = {k}), 6) AS w{k}" for k in SAMPLES)
+
+
+@query(CTES + "q AS (SELECT label, i, avg(v) AS v, count(*) AS n FROM ux GROUP BY label, i) SELECT label, max(n) AS n, " + whole_sql() + " FROM q GROUP BY label")
 def representative_mean(spark, sf_dir):
-    return templates.mean_wave(waves(spark, sf_dir), ["label"], "embedding").select("label", "n", *first_values("embedding"))
+    return templates.mean_wave(waves(spark, sf_dir), ["label"], "embedding").select("label", "n", *whole_wave("embedding"))
 
 
 TEMPLATES = """ce AS (SELECT f, l FROM (SELECT unnest(range(1, 9)) AS f) CROSS JOIN (SELECT unnest(range(0, 10)) AS l)),
@@ -45,10 +50,10 @@ tn AS (SELECT fold, label, max(n) AS n FROM tp GROUP BY fold, label), ts AS (SEL
 """
 
 
-@query(CTES + TEMPLATES.format(least=20) + Q + "SELECT tp.fold::int AS fold, tp.label::int AS label, max(ts.n) AS n, any_value(status) AS status, " + ", ".join(f"round(max(CASE WHEN status = 'ok' THEN v END) FILTER (i = {k}), 6) AS w{k}" for k in (1, 2, 33, 64)) + " FROM tp JOIN ts ON tp.fold = ts.fold AND tp.label = ts.label GROUP BY tp.fold, tp.label")
+@query(CTES + TEMPLATES.format(least=20) + Q + "SELECT tp.fold::int AS fold, tp.label::int AS label, max(ts.n) AS n, any_value(status) AS status, " + whole_sql("CASE WHEN status = 'ok' THEN v END") + " FROM tp JOIN ts ON tp.fold = ts.fold AND tp.label = ts.label GROUP BY tp.fold, tp.label")
 def fold_templates(spark, sf_dir):
     found = templates.fold_templates(waves(spark, sf_dir), [], "fold", "label", "embedding", FOLDS, LABELS, 20)
-    return found.select("fold", "label", "n", "status", *first_values("embedding"))
+    return found.select("fold", "label", "n", "status", *whole_wave("embedding"))
 
 
 @query(CTES + TEMPLATES.format(least=42) + Q + "SELECT fold::int AS fold, label::int AS label, n, status FROM ts")
@@ -66,9 +71,9 @@ def contributor_check(spark, sf_dir):
     return found.join(own, (found["template_fold"] == own["template_fold"]) & (found["label"] == own["l"]), "left").select(found["template_fold"], "label", "contributors", F.coalesce("o", F.lit(0)).alias("own"))
 
 
-@query(CTES + "q AS (SELECT label, i, avg(v) AS v, count(*) AS n FROM ux GROUP BY label, i) SELECT label, max(n) AS n, CASE WHEN max(n) >= 50 THEN 'ok' ELSE 'insufficient_prototypes' END AS status, " + ", ".join(f"round(max(CASE WHEN n >= 50 THEN v END) FILTER (i = {k}), 6) AS w{k}" for k in (1, 2, 33, 64)) + " FROM q GROUP BY label")
+@query(CTES + "q AS (SELECT label, i, avg(v) AS v, count(*) AS n FROM ux GROUP BY label, i) SELECT label, max(n) AS n, CASE WHEN max(n) >= 50 THEN 'ok' ELSE 'insufficient_prototypes' END AS status, " + whole_sql("CASE WHEN n >= 50 THEN v END") + " FROM q GROUP BY label")
 def class_prototypes(spark, sf_dir):
-    return templates.prototypes(waves(spark, sf_dir), "label", "embedding", 50).select("label", "n", "status", *first_values("embedding"))
+    return templates.prototypes(waves(spark, sf_dir), "label", "embedding", 50).select("label", "n", "status", *whole_wave("embedding"))
 
 
 VH = """sb AS (SELECT label, avg(sd) AS b FROM (SELECT label, i, stddev_samp(v) AS sd FROM ux GROUP BY label, i) GROUP BY label),
@@ -152,15 +157,27 @@ SELECT user_id, seed, count(*) AS pairs, round(avg(distance), 6) AS mean FROM q
 )
 def neighbour_pair_lookup(spark, sf_dir):
     valid = event_queries.valid_edges(spark, sf_dir)
-    a = valid.select("user_id", F.col("beat_index").alias("i"), F.col("value").alias("_v"), F.col("rr_next_ms").alias("_r"))
-    b = valid.select("user_id", F.col("beat_index").alias("j"), "value", "rr_next_ms")
-    gap = (F.col("_r") - F.col("rr_next_ms")) / 1e6
-    pairs = a.join(b, "user_id").filter("i < j").select("user_id", "i", "j", F.sqrt((F.col("_v") - F.col("value")) * (F.col("_v") - F.col("value")) + gap * gap).alias("distance"))
-    moved = shuffles.orders(valid, ["user_id"], event_queries.SEEDS, "event_id")
-    found = shuffles.neighbour_distances(moved, valid, pairs, ["user_id"])
+    needed = shuffles.neighbours(shuffles.orders(valid, ["user_id"], event_queries.SEEDS, "event_id"), valid, ["user_id"])
+    end = lambda at, v, rr: valid.select("user_id", F.col("beat_index").alias(at), F.col("value").alias(v), F.col("rr_next_ms").alias(rr))
+    pairs = needed.select("user_id", "i", "j").distinct().join(end("i", "v1", "r1"), ["user_id", "i"]).join(end("j", "v2", "r2"), ["user_id", "j"])
+    gap = (F.col("r1") - F.col("r2")) / 1e6
+    pairs = pairs.select("user_id", "i", "j", F.sqrt((F.col("v1") - F.col("v2")) * (F.col("v1") - F.col("v2")) + gap * gap).alias("distance"))
+    found = needed.join(pairs, ["user_id", "i", "j"])
     return found.groupBy("user_id", "seed").agg(F.count(F.lit(1)).alias("pairs"), r(F.avg("distance"), "mean", 6))
 
 
+@query()
+def shuffled_wave_distance(spark, sf_dir):
+    """Four statistics of the elastic distance between neighbouring waves of a record (twelve vectors) for each order; only pairs that an order needs are computed, once."""
+    rows = waves(spark, sf_dir).select(F.floor(F.col("vec_id") / 12).alias("record"), "vec_id", (F.col("vec_id") % 12).cast("int").alias("beat_index"), distances.stretched("embedding").alias("wave"))
+    places = rows.select("record", "vec_id", "beat_index").withColumn("edge", F.lead("beat_index").over(events.by(["record"], "beat_index")).isNotNull())
+    needed = shuffles.neighbours(shuffles.orders(places, ["record"], event_queries.SEEDS, "vec_id"), places, ["record"])
+    end = lambda at, wave: rows.select("record", F.col("beat_index").alias(at), F.col("wave").alias(wave))
+    pairs = distances.with_distance(needed.select("record", "i", "j").distinct().join(end("i", "a"), ["record", "i"]).join(end("j", "b"), ["record", "j"]))
+    found = four_stats(needed.join(pairs, ["record", "i", "j"]), ["record", "seed"], ["distance"], 2, [F.count(F.lit(1)).alias("pairs")])
+    return found.select("record", "seed", "pairs", *[r(f"distance_{n}", digits=6) for n in ("mean", "sd", "mad", "iqr")])
+
+
 #: Signal quality: a vector is a lead of the record vec_id // 6.
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waves(spark, sf_dir).select(F.floor(F.col("vec_id") / 6).alias("record"), (F.col("vec_id") % 6).alias("lead"), F.transform("embedding", lambda x: F.round(x.cast("double"), 2)).alias("wave"))
@@ -255,9 +272,11 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """12 leads x 5000 samples per twelve events of a user, the last ones fewer: pulses every 300 to 500 samples, their height from the events' values."""
     rows = event_queries.timed(spark, sf_dir).withColumn("record", F.floor(F.col("source_index") / PULSES))
     peaks = rows.groupBy(*RECORD).agg(F.transform(F.array_sort(F.collect_list(F.struct("source_index", "value"))), lambda e: e["value"]).alias("values"))
-    at = lambda k: k * 400 + F.floor(F.element_at(F.col("values"), k + 1)).cast("int") % 100
-    pulse = lambda k, t: (1 + F.element_at(F.col("values"), k + 1) % 1) * F.exp(-((t - at(k) - 150) * (t - at(k) - 150)) / 50.0)
-    base = F.transform(F.sequence(F.lit(0), F.lit(4999)), lambda t: F.aggregate(F.sequence(F.lit(0), F.size("values") - 1), F.lit(0.0), lambda a, k: a + F.when(F.abs(t - at(k) - 150) < 60, pulse(k, t)).otherwise(0.0)) + 0.05 * F.sin(t / 400.0))
+    # pulse k has its middle between 400 k + 150 and 400 k + 249 and ends 60 samples from it, so no sample has two
+    pulse = F.transform("values", lambda v, k: F.struct((k * 400 + 150 + F.floor(v).cast("int") % 100).alias("at"), (1 + v % 1).alias("height")))
+    away = lambda p, t: (t - p["at"]) * (t - p["at"])
+    value = lambda p, t: F.when(away(p, t) < 3600, p["height"] * F.exp(away(p, t) / -50.0)).otherwise(0.0)
+    base = let(pulse, lambda own: F.transform(F.sequence(F.lit(0), F.lit(4999)), lambda t: F.coalesce(value(F.get(own, F.floor((t - 90) / 400).cast("int")), t), F.lit(0.0)) + 0.05 * F.sin(t / 400.0)))
     gains = {name: 0.4 + 0.1 * k if name != "aVR" else -0.5 for k, name in enumerate(waveforms.LEADS)}
     scaled = lambda g: F.transform("base", lambda x: x * g)
     made = F.array(*[scaled(g) for g in gains.values()])
@@ -267,16 +286,15 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def waveform_peaks(spark, sf_dir):
     """Detected peaks of signals made from events; NumPy inside Spark tasks, held to known pulses in the tests."""
-    return waveforms.detect(signals(spark, sf_dir), RECORD).select(*RECORD, "r_peak_sample", r("amp", digits=6), r("slope", digits=6))
+    return waveforms.detect(signals(spark, sf_dir), RECORD).filter("failure_code IS NULL").select(*RECORD, "r_peak_sample", r("amp", digits=6), r("slope", digits=6))
 
 
 @query()
 def waveform_beats(spark, sf_dir):
     """Cut beats of the detected peaks, after repair and validity, as their mean per record."""
     records = signals(spark, sf_dir)
-    found = waveforms.detect(records, RECORD)
-    fold = F.array_sort(F.collect_list(F.struct(F.col("r_peak_sample").alias("at"), "amp", "slope", "r_peak_sample")))
-    kept = found.groupBy(*RECORD).agg(events.repair(fold).alias("p")).select(*RECORD, F.explode("p").alias("p")).select(*RECORD, F.col("p.r_peak_sample").alias("r_peak_sample"))
+    found = waveforms.detect(records, RECORD).filter("failure_code IS NULL")
+    kept = events.repair(found, RECORD, ["r_peak_sample"], "r_peak_sample", "amp", "slope").select(*RECORD, "r_peak_sample")
     timed = events.intervals(kept, RECORD, ["r_peak_sample"], "r_peak_sample", 0.5)
     cut = waveforms.beat_waves(timed, records, RECORD)
     rows = timed.join(cut.select(*RECORD, "source_index", "max_abs"), [*RECORD, "source_index"], "left")
@@ -338,8 +356,8 @@ def fold_disjointness(spark, sf_dir):
 
 @query("SELECT user_id, coalesce(sum(n) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS first, sum(n) OVER (ORDER BY user_id)::bigint AS \"end\", n FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
 def beat_offsets(spark, sf_dir):
-    counts = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(1))
-    return tables.beat_offsets(counts, "all", "user_id", "n").select("user_id", "first", "end", "n")
+    counts = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return tables.beat_offsets(counts, [], "user_id", "n", F.floor(F.col("user_id") / 1024)).select("user_id", "first", "end", "n")
 
 
 @query("SELECT l_orderkey, count(*) AS lines, round(max(l_quantity) - min(l_quantity), 6) AS spread, count(DISTINCT l_linenumber) AS numbers FROM lineitem GROUP BY l_orderkey")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from ..functions.ranking import prefix_sums
+
 METADATA = "ecg_id bigint, patient_id double, age string, sex string, scp_codes string, strat_fold double, filename_hr string, device string, site string, baseline_drift string, static_noise string, burst_noise string, electrodes_problems string, extra_beats string, pacemaker string"
 
 
@@ -40,10 +44,9 @@ def write_results(df: DataFrame, path: str, form: str = "parquet", partition_by:
     (writer.option("header", True) if form == "csv" else writer).format(form).save(path)
 
 
-def beat_offsets(counts: DataFrame, group: str, record: str, n: str) -> DataFrame:
-    """Where each record's beats begin in a ragged store of its group: running sums of the counts."""
-    upto = Window.partitionBy(group).orderBy(record).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("first", F.coalesce(F.sum(n).over(upto), F.lit(0))).withColumn("end", F.col("first") + F.col(n))
+def beat_offsets(counts: DataFrame, groups: Sequence[str], record: str, n: str, bucket: Column) -> DataFrame:
+    """Where each record's beats begin in a ragged store of its group (or of all): running sums of the counts. ``bucket``, a range of records in their order, is summed in a task of its own."""
+    return prefix_sums(counts, groups, bucket, [record], n, "first").withColumn("end", F.col("first") + F.col(n))
 
 
 def write_beats(beats: DataFrame, path: str) -> None:

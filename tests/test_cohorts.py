@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from pulseweave.operators import cohorts as C
 
@@ -77,3 +78,28 @@ def test_one_per_patient_and_lists(spark):
     listed = {r.ecg_id for r in C.review_list(rows, "label", "ok", "flags", "beats", n=2, named=(7,)).collect()}
     assert listed == {0, 4, 8, 7}
     assert [r.place for r in C.casebook(rows, ["label"], ["beats"], 3).orderBy("place").collect()] == [1, 2, 3]
+
+
+def test_range_ranks(spark):
+    values = [5, None, 3, 3, 1000, 7, None, -2]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v int").repartition(3)
+    order = sorted({v for v in values if v is not None})
+    for ranges in (256, 2):
+        found = {r.i: r.range_rank for r in C.with_range_rank(rows, "v", ranges=ranges).collect()}
+        assert found == {i: order.index(v) + 1 if v is not None else len(order) + 1 for i, v in enumerate(values)}
+    one = C.with_range_rank(rows.filter("v = 3"), "v").collect()
+    assert [r.range_rank for r in one] == [1, 1]
+
+
+def test_probes_of_the_gate(spark):
+    records = spark.createDataFrame([(i, "ab"[i % 2], True) for i in range(8)], "i int, label string, ok boolean")
+    cells = spark.createDataFrame([(p, not (p == 2 and c == 4)) for p in range(4) for c in range(6 if p != 3 else 5)], "probe int, ok boolean")
+    gate = lambda least: C.success_gate(records, F.col("ok"), F.col("ok"), 8, 8, "label", F.col("ok"), 4, probes=cells, least_probes=least).first()
+    assert gate(2).probes_ok == 2 and gate(2).gate_pass and not gate(3).gate_pass
+
+
+def test_audit_columns_come_first(spark, dictionary):
+    table = metadata(spark, [(1, 10.0, "300", "{'LVH': 100.0}", 1.0, "a/1")]).withColumn("extra", F.lit(1))
+    columns = C.cohort_index(table, dictionary, ["LVH", "NORM"]).columns
+    assert [c for c in columns if c in C.PREFERRED] == [c for c in C.PREFERRED if c in columns]
+    assert columns.index("extra") > columns.index("sampling_eligible") and set(table.columns) <= set(columns)

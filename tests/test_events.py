@@ -34,8 +34,10 @@ def test_too_few_values_have_no_statistics(spark):
 
 
 def keep(spark, peaks):
-    rows = spark.createDataFrame([([{"at": p, "amp": a, "slope": s} for p, a, s in peaks],)], "p array<struct<at:long,amp:double,slope:double>>")
-    return [x.at for x in rows.select(events.repair(F.col("p")).alias("k")).first().k]
+    rows = spark.createDataFrame([("r", p, a, s) for p, a, s in peaks] + [("s", p + 10, a, s) for p, a, s in peaks], "rec string, at long, amp double, slope double").repartition(2, "at")
+    found = sorted((x.rec, x.at) for x in events.repair(rows, KEYS, ["at"], "at", "amp", "slope").collect())
+    assert [at + 10 for rec, at in found if rec == "r"] == [at for rec, at in found if rec == "s"]
+    return [at for rec, at in found if rec == "r"]
 
 
 def test_repair(spark):

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pulseweave.functions import ranking
 from pulseweave.functions.ranking import dense_index, first_per_group
 from pulseweave.operators import logistic, metrics
 
@@ -111,3 +112,26 @@ def test_dense_index_and_first_per_group(spark):
     found = dense_index(rows, ["g"], (F.col("v") / 10).cast("int"), ["v"]).collect()
     assert all(x["index"] == x.v for x in found)
     assert sorted(x.v for x in first_per_group(rows, ["g"], ["v"], 3).collect()) == [0, 0, 1, 1, 2, 2]
+
+
+def test_percentiles(spark):
+    r = np.random.default_rng(6)
+    groups = {"a": r.normal(size=3000), "b": np.repeat([1.0, 2.0, 5.0], [700, 1, 299]), "c": np.array([4.0]), "d": np.array([1.0, 2.0])}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("a", None), ("e", None)]
+    found = {x.g: x.p for x in ranking.percentiles(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], "v", (0.5, 0.0, 0.25, 1.0, 0.97), "p").collect()}
+    assert set(found) == set(groups)
+    for g, x in groups.items():
+        assert found[g] == pytest.approx(np.percentile(x, (50, 0, 25, 100, 97)).tolist())
+
+
+def test_prefix_sums(spark):
+    rows = spark.createDataFrame([(i, i % 7) for i in range(500)], "i int, n int").repartition(4)
+    found = {x.i: x.before for x in ranking.prefix_sums(rows, [], F.floor(F.col("i") / 64), ["i"], "n").collect()}
+    assert found == {i: sum(k % 7 for k in range(i)) for i in range(500)}
+
+
+def test_unusable_folds_of_a_configuration(spark):
+    scored = spark.createDataFrame([(s, f, 0.5) for s in "ab" for f in (1, 2)], "stage string, fold int, score double")
+    status = spark.createDataFrame([("a", 1, "insufficient"), ("a", 2, "ok"), ("b", 1, "ok")], "stage string, fold int, status string")
+    found = {(x.stage, x.fold): (x.score, x.score_status) for x in logistic.with_unusable_folds(scored, status, "fold", ["stage"]).collect()}
+    assert found == {("a", 1): (None, "insufficient_train_prototypes"), ("a", 2): (0.5, "ok"), ("b", 1): (0.5, "ok"), ("b", 2): (0.5, "ok")}

@@ -187,3 +187,38 @@ def test_tables_and_manifests(spark, tmp_path):
     moved = texts.filter("k = 2").withColumn("t", F.lit("b")).unionByName(spark.createDataFrame([(3, "c")], "k int, t string"))
     got = {x.path: x.what for x in manifests.drift(manifests.content_manifest(texts, "k", "t"), manifests.content_manifest(moved, "k", "t")).collect()}
     assert got == {1: "removed", 2: "changed", 3: "added"}
+
+
+def test_records_that_cannot_be_searched(spark):
+    at = [300, 750, 1180, 1600, 2050, 2500, 2960, 3400, 3900, 4400]
+    good = signal(at)
+    bad = good.copy()
+    bad[2, 7] = np.nan
+    rows = [(1, good.tolist()), (2, good[:, :20].tolist()), (3, bad.tolist()), (4, good[:5].tolist()), (5, [[1.0], [1.0, 2.0]]), (6, [])]
+    records_ = spark.createDataFrame([(i, s, True) for i, s in rows], "rec int, signal array<array<double>>, ok boolean")
+    found = waveforms.detect(records_, ["rec"]).collect()
+    assert {x.rec: x.failure_code for x in found} == {1: None, 2: "signal_too_short", 3: "nonfinite_values", 4: "required_leads_missing", 5: "invalid_shape", 6: "invalid_shape"}
+    assert sum(x.rec == 1 for x in found) == len(at) and all(x.r_peak_sample is None for x in found if x.rec > 1)
+
+
+def test_refine():
+    composite = np.zeros(1000)
+    composite[[100, 180, 400, 700]] = [1.0, -2.0, 3.0, 1.0]
+    assert waveforms.refine(np.array([90, 170, 395, 700]), composite) == [180, 400, 700]
+    assert waveforms.refine(np.array([], int), composite) == []
+    assert waveforms.refine(np.array([5, 999]), np.ones(1000)) == [0, 949]
+
+
+def test_alignment_failures(spark):
+    wave = [float(k % 7) for k in range(500)]
+    rows = [(1, wave, wave), (2, wave[:3], wave), (3, wave, None), (4, [float("nan")] * 500, wave), (5, wave, [1.0] * 500)]
+    found = spark.createDataFrame(rows, "i int, a array<double>, b array<double>").select("i", distances.alignment_failure("a", "b").alias("c")).collect()
+    assert {x.i: x.c for x in found} == {1: None, 2: "invalid_shape", 3: "invalid_shape", 4: "nonfinite_signal", 5: "source_low_energy"}
+
+
+def test_excluded(spark):
+    r = np.random.default_rng(3)
+    for _ in range(8):
+        size, peaks, radius = int(r.integers(1, 60)), r.integers(-5, 65, r.integers(0, 7)).tolist(), int(r.integers(0, 9))
+        got = spark.range(1).select(quality.excluded(F.lit(size), F.lit(peaks).cast("array<int>"), radius).alias("m")).first().m
+        assert got == [int(any(abs(d - p) <= radius for p in peaks)) for d in range(size)]

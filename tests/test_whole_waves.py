@@ -51,3 +51,12 @@ def test_all_probes_and_classes(spark, sf_dir):
         if pool and grid[p, k, c].distance is not None:
             assert grid[p, k, c].distance == pytest.approx(plain_distance(np.array(vectors[3 * p + k].w), np.mean(pool, 0)), abs=1e-5)
     assert {(x.vec_id, x.template_label) for x in wave_queries.template_distance(spark, sf_dir).collect()} == {(i, c) for i in range(61) for c in range(10)}
+
+
+def test_neighbours_of_shuffled_waves(spark, sf_dir):
+    found = {(x.record, x.seed): x for x in wave_queries.shuffled_wave_distance(spark, sf_dir).collect()}
+    assert set(found) == {(k, s) for k in range(6) for s in range(6) if k < 5}  # the last record has one vector
+    wave = {x.vec_id: np.array(x.w) for x in wave_queries.waves(spark, sf_dir).select("vec_id", distances.stretched("embedding").alias("w")).collect()}
+    steps = [plain_distance(wave[i], wave[i + 1]) for i in range(11)]
+    assert found[0, 0].pairs == 11 and found[0, 0].distance_mean == pytest.approx(np.mean(steps), abs=1e-5)
+    assert {found[1, s].pairs for s in range(6)} == {11} and len({found[1, s].distance_mean for s in range(6)}) > 3
