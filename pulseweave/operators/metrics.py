@@ -14,8 +14,8 @@ from ..functions.scalar import md5_int
 BUCKETS = 1024
 
 
-def auroc(rows: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", weight: str | None = None) -> DataFrame:
-    """A row per group with auroc (ties count half), positives and negatives; null unless both classes are there.
+def auroc(rows: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", weight: str | None = None, threshold: float = 0.5) -> DataFrame:
+    """A row per group with auroc (ties count half), positives, negatives and balanced_accuracy; null unless both classes are there.
 
     Rows are first summed per distinct score; running sums of negatives then go
     over ranges of scores (in [0, 1]) and inside each range, so a group of any
@@ -26,10 +26,12 @@ def auroc(rows: DataFrame, keys: Sequence[str], score: str = "score", label: str
     at = rows.filter(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("_p"), F.sum(F.when(F.col(label) == 0, w).otherwise(0)).alias("_n"))
     at = at.withColumn("_b", F.least(F.greatest(F.floor(F.col("_s") * BUCKETS), F.lit(-1)), F.lit(BUCKETS)))
     inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = at.withColumn("_w", F.col("_p") * (inside + F.col("_n") / 2)).groupBy(*keys, "_b").agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    hits = [F.sum(F.when(F.col("_s") >= threshold, F.col("_p")).otherwise(0)).alias("_hp"), F.sum(F.when(F.col("_s") < threshold, F.col("_n")).otherwise(0)).alias("_hn")]
+    wins = at.withColumn("_w", F.col("_p") * (inside + F.col("_n") / 2)).groupBy(*keys, "_b").agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), *hits)
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wins = wins.withColumn("_w", F.col("_w") + F.col("_p") * before)
-    return wins.groupBy(*keys).agg(F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"), (F.sum("_w") / F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0))).alias("auroc"))
+    share = lambda hit, all_: F.sum(hit) / F.nullif(F.sum(all_), F.lit(0))
+    return wins.groupBy(*keys).agg(F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"), (F.sum("_w") / F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0))).alias("auroc"), ((share("_hp", "_p") + share("_hn", "_n")) / 2).alias("balanced_accuracy"))
 
 
 def balanced_accuracy(score: str = "score", label: str = "label", threshold: float = 0.5, weight: str | None = None) -> Column:
@@ -71,21 +73,18 @@ def paired_bootstrap(rows: DataFrame, first: str, second: str, identity: str, la
     """delta_auroc and delta_ba of ``second`` - ``first`` over all rows, with 2.5 and 97.5 percentiles over class-stratified resamples.
 
     Draw k of a class in a replicate is md5(seed|replicate|class|k) modulo the
-    class size, the same for every comparison. Draws are summed to weights
-    before they meet the rows, and ranks are taken on weights, so nothing of
-    size rows x replicates is sorted in one task.
+    class size, the same for every comparison. Draws meet their rows and are
+    summed per score, and both metrics come from these sums, so nothing of size
+    rows x replicates is sorted in one task.
     """
     paired = rows.filter(F.col(first).isNotNull() & F.col(second).isNotNull()).select(F.col(identity).alias("id"), F.col(label).alias("label"), F.col(first).alias("first"), F.col(second).alias("second"))
     paired = dense_index(paired, ["label"], md5_int(F.col("id")) % hash_buckets, ["id"], "k")
     sizes = paired.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     draws = paired.join(F.broadcast(sizes), "label").select("label", "size", "k").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     drawn = md5_int(seed, F.col("replicate"), F.col("label"), F.col("k")) % F.col("size")
-    weights = draws.groupBy("replicate", "label", drawn.alias("k")).agg(F.count(F.lit(1)).alias("weight"))
-    once = paired.withColumns({"replicate": F.lit(-1), "weight": F.lit(1).cast("long")})
-    sampled = weights.join(paired, ["label", "k"]).unionByName(once)
-    long = sampled.unpivot(["replicate", "label", "weight"], ["first", "second"], "which", "score")
-    keys = ["replicate", "which"]
-    found = auroc(long, keys, weight="weight").join(long.groupBy(*keys).agg(balanced_accuracy(weight="weight").alias("ba")), keys)
+    scores = ["replicate", "label", "first", "second"]
+    sampled = draws.select("replicate", "label", drawn.alias("k")).join(paired, ["label", "k"]).select(*scores).unionByName(paired.withColumn("replicate", F.lit(-1)).select(*scores))
+    found = auroc(sampled.unpivot(["replicate", "label"], ["first", "second"], "which", "score"), ["replicate", "which"]).withColumnRenamed("balanced_accuracy", "ba")
     sign = F.when(F.col("which") == "second", 1.0).otherwise(-1.0)
     deltas = found.groupBy("replicate").agg(F.sum(sign * F.col("auroc")).alias("auroc"), F.sum(sign * F.col("ba")).alias("ba"))
     real, drawn_ones = F.col("replicate") == -1, F.col("replicate") >= 0
