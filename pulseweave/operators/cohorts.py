@@ -93,11 +93,13 @@ def with_files(metadata: DataFrame, files: DataFrame, stem: str = "filename_hr")
 
 
 def with_conflicts(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Whether a patient has more than one supported label, and whether the row may be sampled. Rows without a patient are not grouped: they would be one group."""
-    known = rows.filter(F.col("patient_id").isNotNull())
-    per = known.filter(F.col("label").isin(*labels)).groupBy("patient_id").agg((F.countDistinct("label") > 1).alias("_conflict"))
-    out = known.join(per, "patient_id", "left").withColumn("patient_label_conflict", F.coalesce("_conflict", F.lit(False))).drop("_conflict")
-    out = out.select(*rows.columns, "patient_label_conflict").unionByName(rows.filter(F.col("patient_id").isNull()).withColumn("patient_label_conflict", F.lit(None).cast("boolean")))
+    """Whether a patient has more than one supported label (null without a patient), and whether the row may be sampled."""
+    labelled = rows.filter(F.col("patient_id").isNotNull() & F.col("label").isin(*labels))
+    conflicts = labelled.groupBy("patient_id").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a <> _b").select(F.col("patient_id").cast("string").alias("_who"), F.lit(True).alias("_conflict"))
+    # rows without a patient have keys of their own: they would all meet in one task
+    who = F.coalesce(F.col("patient_id").cast("string"), F.concat(F.lit("none "), F.col("ecg_id").cast("string")))
+    out = rows.withColumn("_who", who).join(conflicts, "_who", "left")
+    out = out.withColumn("patient_label_conflict", F.when(F.col("patient_id").isNotNull(), F.coalesce("_conflict", F.lit(False)))).select(*rows.columns, "patient_label_conflict")
     return out.withColumn("sampling_eligible", F.coalesce(F.col("label").isNotNull() & (F.col("split") == "train") & F.col("patient_id").isNotNull() & ~F.col("patient_label_conflict"), F.lit(False)))
 
 
