@@ -33,8 +33,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-
 LETTERS, ASCII_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*"), re.compile(r"[a-z]+")
 #: Weight of a word's evidence against a flat share.
 SHARPNESS = 4.0
@@ -137,10 +135,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
             langs, ks, keys = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ks, pa.int32()), pa.array(keys, pa.string()), pa.array(found.values(), pa.int64())], ["lang", "k", "key", "n"])
 
-    counts = materialise(labelled.select("text", "lang").mapInArrow(run, "lang string, k int, key string, n long").groupBy("lang", "k", "key").agg(F.sum("n").alias("n")), "language_counts")
-    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # of the sample
+    langs = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())  # of the sample
+    counts = labelled.select("text", "lang").mapInArrow(run, "lang string, k int, key string, n long")
     by_lang = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)) for lang in langs]) if langs else F.array().cast("array<long>")
-    known = counts.groupBy("k", "key").agg(F.sum("n").alias("all"), by_lang.alias("n")).filter(F.col("all") >= least).orderBy("k", "key")
+    known = counts.groupBy("k", "key").agg(F.sum("n").alias("all"), by_lang.alias("n")).filter(F.col("all") >= least)
     return _model(known.select("k", "key", "n").toArrow(), langs, longest)
 
 
