@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
+
 
 def dense_index(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str | Column], name: str = "index") -> DataFrame:
     """``df`` with the place (from 0) of each row in its group, by (bucket, order).
@@ -47,21 +49,24 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence
 
     Approximate quantiles, a sketch of fixed size, cut each group into ranges; ranges are
     counted, and only those that hold a wanted rank are looked at again, by distinct value.
+    A null key is no group.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     cuts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", [k / splits for k in range(1, splits)], 20 * splits).alias("_cuts"))
-    # a row per group, by the purpose of this function few
-    cut = rows.join(F.broadcast(cuts), keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
+    # written, so that Spark knows its size and broadcasts it if that is small
+    cuts = written(cuts, "cuts")
+    cut = rows.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
     sizes = cut.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"), F.first("_n").alias("_n"))
     upto = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_range"))
     places = F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("at")) for k, p in enumerate(points)])
     wanted = sizes.withColumn("_upto", upto).select(*keys, "_range", (F.col("_upto") - F.col("_size")).alias("_before"), "_upto", F.explode(places).alias("_p"))
     wanted = wanted.select(*keys, "_range", "_before", "_upto", F.col("_p.k").alias("_k"), F.col("_p.at").alias("_at"), F.explode(F.array_distinct(F.array(F.floor("_p.at"), F.ceil("_p.at")))).alias("_rank"))
     wanted = wanted.filter((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto"))).select(*keys, "_range", "_k", "_at", "_rank", (F.col("_rank") - F.col("_before")).alias("_inside"))
-    few = cut.join(F.broadcast(wanted.select(*keys, "_range").distinct()), [*keys, "_range"], "left_semi").groupBy(*keys, "_range", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    wanted = written(wanted, "ranks")
+    few = cut.join(wanted.select(*keys, "_range"), [*keys, "_range"], "left_semi").groupBy(*keys, "_range", "_v").agg(F.count(F.lit(1)).alias("_c"))
     few = few.withColumn("_to", F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy("_v")))
-    found = few.join(F.broadcast(wanted), [*keys, "_range"]).filter((F.col("_to") - F.col("_c") <= F.col("_inside")) & (F.col("_inside") < F.col("_to")))
+    found = few.join(wanted, [*keys, "_range"]).filter((F.col("_to") - F.col("_c") <= F.col("_inside")) & (F.col("_inside") < F.col("_to")))
     low, high = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
     each = found.groupBy(*keys, "_k").agg((low + (high - low) * (F.first("_at") - F.floor(F.first("_at")))).alias("_x"))
     return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_x"))), lambda e: e["_x"]).alias(name))
