@@ -80,8 +80,9 @@ def host_rates(measured: DataFrame, least_words: int = 10, most_repeated: int =
     square = F.sum(F.col("failed") * F.col("failed") / F.col("docs")) / F.sum("docs")
     prior = hosts.agg(mean.alias("mean"), (square - mean * mean).alias("spread"))
     strength = F.when(F.col("spread") > 0, F.least(F.greatest(F.col("mean") * (1 - F.col("mean")) / F.col("spread") - 1, F.lit(1.0)), F.lit(1e6))).otherwise(F.lit(1e6))
-    prior = prior.select("mean", strength.alias("strength"))
-    return hosts.join(F.broadcast(prior)).withColumn("rate", (F.col("failed") + F.col("mean") * F.col("strength")) / (F.col("docs") + F.col("strength"))).drop("mean", "strength")
+    known = prior.select("mean", strength.alias("strength")).first()  # two numbers
+    mean, strength = (F.lit(known[c]).cast("double") for c in ("mean", "strength"))
+    return hosts.withColumn("rate", (F.col("failed") + mean * strength) / (F.col("docs") + strength))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_words: int = 10, most_repeated: int = 20, most_failed: float = 0.5) -> DataFrame:

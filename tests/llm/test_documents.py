@@ -592,3 +592,24 @@ def test_discriminant_is_the_log_density_difference():
         dens.append(-0.5 * np.einsum("ij,jk,ik->i", e, np.linalg.inv(cov), e) - 0.5 * np.linalg.slogdet(cov)[1])
     odds = np.clip(dens[1] - dens[0] + np.log(0.4 / 0.6), -40, 40)
     assert np.allclose(model.scores(x), 1 / (1 + np.exp(-odds)), atol=1e-6)
+
+
+def plain_statistics(text):
+    words = WORD.findall(text or "")
+    if not words:
+        return [0.0] * 18
+    n, raw, chars = len(words), text.encode(), max(1, sum(map(len, words)))
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    among = lambda s: sum(c in s for c in text)
+    sizes, root = [len(w.encode()) for w in words], lambda x, of: (x / of) ** 0.5
+    capital = [w for w in words if len(w.encode()) > 1 and re.search("[A-Z]", w) and not re.search("[a-z]", w)]
+    return [
+        np.log(1 + n), np.log(chars / n), root(sum(x > 12 for x in sizes), n), root(sum(x <= 3 for x in sizes), n), root(among("#*$%&|<>"), chars), root(among(".,;:!?"), chars), root(among("0123456789"), chars), root(sum("A" <= c <= "Z" for c in text), chars), root(sum(ord(c) > 127 for c in text), chars),
+        np.log(1 + len(lines)), np.log(n / len(lines)), root(len(lines) - len(set(lines)), len(lines)), root(plain_measures(text)[4], n), root(len(set(words)), n), root(max(Counter(words).values()), n), len(zlib.compress(raw, 1)) / len(raw), root(len(capital), n), root(among("!"), chars),
+    ]
+
+
+def test_statistics_of_texts():
+    texts = [r[1] for r in ROWS] + ["A! B2 cc\n\n#tag $5 & <b>\nA! B2 cc\n", "ÀÉÎ ÀB XY xY", "w " * 200_000 + "end.", "\n \n"]
+    for text in texts:
+        assert np.allclose(quality_classifier.stats(text), plain_statistics(text)), (text or "")[:40]
