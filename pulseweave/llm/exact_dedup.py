@@ -85,3 +85,10 @@ def keep_rows(docs: DataFrame, kept: DataFrame, unique: bool, id_col: str, text_
     # one plan at every size: texts meet what is kept by a merge join, also where that would fit a broadcast
     out = keyed.join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col(keep_id)) & (F.col(own) == F.col(keep_digest)), "left_semi")
     return (out if unique else out.dropDuplicates([id_col, own])).drop(own)
+
+
+def keep_firsts(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row ``first`` (doc_id, digest) of each of ``groups``; ``rows`` has both columns for every row of ``docs``."""
+    kept = materialise(groups.select("first.doc_id", "first.digest"), "kept_documents")
+    again = rows.select("doc_id", "digest").join(kept.select(F.col("doc_id").alias("k"), F.col("digest").alias("d")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left_semi")
+    return keep_rows(docs, kept, again.count() == kept.count(), id_col, text_col)

@@ -38,22 +38,24 @@ from pyspark.sql import functions as F
 
 from .common import join_by_size, materialise, text_of
 from .components import components
-from .exact_dedup import digest_of, keep_rows
+from .exact_dedup import digest_of, keep_firsts
 from .words import majority_bits, shingle_hashes
 
 #: Cost of verifying a candidate pair against that of writing a probe key.
 VERIFY_COST = 1.0
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, digest of the text, and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, extra: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long, and the ``extra`` columns."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[c.alias(name) for name, c in (extra or {}).items()], text_of(text_col).alias("text"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([majority_bits(shingle_hashes(text.as_py(), width, seed)) for text in batch.column(2)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "digest", "fp"])
+            found = np.array([majority_bits(shingle_hashes(text.as_py(), width, seed)) for text in batch.column(batch.num_columns - 1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], [*batch.schema.names[:-1], "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), digest_of(text_col).alias("digest"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, digest binary, fp long")
+    return texts.mapInArrow(run, f"{kinds}, fp long")
 
 
 def bit_counts(uniq: DataFrame) -> tuple[int, np.ndarray]:
@@ -180,29 +182,24 @@ def links(uniq: DataFrame, distance: int = 2, crowd: int = 64) -> DataFrame:
     return near.unionByName(stars).distinct()
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, distance: int, crowd: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints of all rows; the distinct ones with their first row, number of rows and component (label)."""
-    rows = materialise(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
-    # a null identifier comes last
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest"))
-    uniq = materialise(rows.groupBy("fp").agg(first.alias("least"), F.count(F.lit(1)).alias("rows")), "distinct_fingerprints")
-    labels = materialise(components(links(uniq, distance, crowd)), "components")
-    return rows, uniq.join(labels, uniq["fp"] == labels["node"], "left").select("fp", "least", "rows", F.coalesce("label", "fp").alias("label"))
-
-
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2, crowd: int = 64, seed: int = 42) -> DataFrame:
     """One row per document: doc_id, fp and component_id, the smallest identifier reachable over links."""
-    rows, members = _grouped(docs, id_col, text_col, width, distance, crowd, seed)
-    members = materialise(members, "grouped")
-    sums = members.groupBy("label").agg(F.min("least")["doc_id"].alias("component_id"), F.count(F.lit(1)).alias("members"))
-    classes = materialise(join_by_size(members, sums, ["label"], "members", members.count()).select("fp", "rows", "component_id"), "fingerprint_classes")
-    return join_by_size(rows.select("doc_id", "fp"), classes, ["fp"], "rows", rows.count()).select("doc_id", "fp", "component_id")
+    rows = materialise(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
+    uniq = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "distinct_fingerprints")
+    labels = materialise(components(links(uniq, distance, crowd)), "components")
+    members = uniq.join(labels, uniq["fp"] == labels["node"]).select("fp", "least", "rows", "label")
+    sums = members.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    linked = join_by_size(members, sums, ["label"], "members", uniq.count()).select("fp", "rows", "component_id")
+    alone = uniq.join(labels, uniq["fp"] == labels["node"], "left_anti").select("fp", "rows", F.col("least").alias("component_id"))
+    classes = materialise(linked.unionByName(alone), "fingerprint_classes")
+    return join_by_size(rows, classes, ["fp"], "rows", rows.count()).select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2, crowd: int = 64) -> DataFrame:
     """``docs`` with one row of each group only: that of the smallest identifier (null last) and, where rows repeat that, of the smallest SHA-256 of the text."""
-    found = materialise(_grouped(docs, id_col, text_col, width, distance, crowd, 42)[1], "grouped")
-    kept = materialise(found.groupBy("label").agg(F.min("least").alias("first")).select("first.doc_id", "first.digest"), "kept_documents")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest_of(text_col).alias("digest"))
-    again = rows.join(kept.select(F.col("doc_id").alias("k"), F.col("digest").alias("d")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left_semi")
-    return keep_rows(docs, kept, again.count() == kept.count(), id_col, text_col)
+    rows = materialise(fingerprints(docs, id_col, text_col, width, extra={"digest": digest_of(text_col)}), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest")).alias("first")
+    uniq = materialise(rows.groupBy("fp").agg(first), "distinct_fingerprints")
+    labels = components(links(uniq, distance, crowd)).withColumnRenamed("node", "fp")
+    groups = uniq.join(labels, "fp", "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first"))
+    return keep_firsts(docs, rows, groups, id_col, text_col)
