@@ -53,4 +53,25 @@ v AS (SELECT hn, host, (failed + mean * strength) / (docs + strength) > 0.5 AS b
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept FROM f JOIN v USING (hn, host)
 """
 
-ORACLES = {"op6_quality_rules": RULES, "op7_mixing": _mixing(), "op10_exact_dedup": EXACT}
+#: Phrases of two and three words by places inside of pieces; products as 128-bit integers.
+COLLOCATIONS = r"""
+WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT d, lang, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k FROM t),
+w AS (SELECT d, lang, k, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+u AS (SELECT d, lang, k, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM w),
+x AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM u WINDOW o AS (PARTITION BY d, k ORDER BY i)),
+n AS (SELECT lang, count(*)::bigint AS n FROM x GROUP BY lang),
+f1 AS (SELECT lang, w1, count(*)::hugeint AS f FROM x GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*)::hugeint AS f FROM x WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*)::hugeint AS f FROM x WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, 1 AS k, a.f AS l, b.f AS r FROM f2 JOIN f1 a ON a.lang = f2.lang AND a.w1 = f2.w1 JOIN f1 b ON b.lang = f2.lang AND b.w1 = f2.w2
+  UNION ALL SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, 1, a.f, b.f FROM f3 JOIN f1 a ON a.lang = f3.lang AND a.w1 = f3.w1 JOIN f2 b ON b.lang = f3.lang AND b.w1 = f3.w2 AND b.w2 = f3.w3
+  UNION ALL SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, 2, a.f, b.f FROM f3 JOIN f2 a ON a.lang = f3.lang AND a.w1 = f3.w1 AND a.w2 = f3.w2 JOIN f1 b ON b.lang = f3.lang AND b.w1 = f3.w3),
+s AS (SELECT *, 1000000::hugeint * a * a // (l * r) AS score FROM c),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+g AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, w1 || ' ' || w2 AS phrase, f FROM f3 UNION ALL SELECT lang, w2 || ' ' || w3, f FROM f3) GROUP BY ALL),
+r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN g USING (lang, phrase) WHERE g.f IS NULL OR 100 * g.f < 50 * a)
+SELECT r.lang, rank, phrase, a::bigint AS a, l::bigint AS l, r::bigint AS r, n, score::bigint AS score FROM r JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {"op11_collocations": COLLOCATIONS, "op6_quality_rules": RULES, "op7_mixing": _mixing(), "op10_exact_dedup": EXACT}

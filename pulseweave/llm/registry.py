@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, language_id, mixing, packing, quality_classifier, quality_rules, secrets, simhash, wavelet
+from . import collocations, exact_dedup, html_text, language_id, mixing, packing, periodic, quality_classifier, quality_rules, ring, secrets, simhash, wavelet
 from .common import read
 from .oracles import ORACLES
 
@@ -58,6 +58,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(read(spark, sf_dir, "documents"), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of rows differ by one at most; the shards that exist take no rows by identifier alone, so grown_shard is null."""
+    found = ring.assign(read(spark, sf_dir, "documents"), 40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find_runs(read(spark, sf_dir, "documents"), rewrite=periodic.repeated_words))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
