@@ -45,8 +45,19 @@ def neighbour_distances(moved: DataFrame, edges: DataFrame, pairs: DataFrame, ke
     return neighbours(moved, edges, keys).join(pairs, [*keys, "i", "j"])
 
 
+def distance_stats(edges: DataFrame, pairs: DataFrame, keys: Sequence[str], seeds: Sequence[int], identity: str, distances: Sequence[str]) -> DataFrame:
+    """Four statistics of the distances between neighbours for each seed, a row per record and seed (also without a pair), with the number of original edges as pairs.
+
+    ``edges`` are the valid events with beat_index and edge (see ``events.adjacent``): only places whose successor was the next event before any
+    permutation count, so gaps stay gaps in every order. ``pairs`` has every i < j of a record once.
+    """
+    keys = [*keys, "seed"]
+    moved = orders(edges, keys[:-1], seeds, identity)
+    found = four_stats(neighbour_distances(moved, edges, pairs, keys[:-1]), keys, distances, 2, [F.count(F.lit(1)).alias("pairs")])
+    all_ = edges.select(*keys[:-1]).distinct().withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    return all_.join(found, keys, "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
+
+
 def unchanged(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Groups in which ``value`` is not the same for every seed; empty if all is well."""
     return rows.groupBy(*keys).agg(F.countDistinct(value).alias("values")).filter("values > 1")
-
-

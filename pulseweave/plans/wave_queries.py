@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import fold_of, let
+from ..functions import storage
+from ..functions.scalar import fold_of, let, md5_int
 from ..operators import checks, distances, events, quality, shuffles, templates, waveforms
 from ..operators.statistics import four_stats
 from ..sources import manifests, tables
@@ -119,7 +120,7 @@ def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairwise_distance(spark, sf_dir):
     """Elastic distance of all pairs of a record's waves; held to a plain version in the tests."""
     rows = waves(spark, sf_dir).select(F.floor(F.col("vec_id") / 12).alias("record"), "vec_id", distances.stretched("embedding").alias("wave"))
-    found = distances.with_distance(distances.inner_pairs(rows, ["record"], "vec_id", "wave"))
+    found = distances.pair_tiles(rows, ["record"], "vec_id", ["wave"], names=["distance"])
     return found.select("record", "i", "j", r("distance", digits=6))
 
 
@@ -178,6 +179,41 @@ def shuffled_wave_distance(spark, sf_dir):
     return found.select("record", "seed", "pairs", *[r(f"distance_{n}", digits=6) for n in ("mean", "sd", "mad", "iqr")])
 
 
+SEQUENCE = ("V1", "V5", "V6")
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beats of three vectors as leads, twelve to a record; about every seventh is not valid, so some neighbours have a gap between them."""
+    rows = waves(spark, sf_dir).select(F.floor(F.col("vec_id") / 3).alias("beat"), (F.col("vec_id") % 3).alias("lead"), distances.stretched("embedding").alias("wave"))
+    rows = rows.groupBy("beat").pivot("lead", [0, 1, 2]).agg(F.first("wave")).withColumnsRenamed(dict(zip("012", SEQUENCE, strict=True)))
+    rows = rows.withColumns({"record": F.floor(F.col("beat") / 12), "source_index": (F.col("beat") % 12).cast("int"), "valid": md5_int("beat", F.col("beat")) % 7 != 0})
+    upto = events.by(["record"], "source_index").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("beat_index", F.when(F.col("valid"), F.sum(F.col("valid").cast("int")).over(upto) - 1).otherwise(-1))
+
+
+@query()
+def sequence_distance_stats(spark, sf_dir):
+    """Direct distances between adjacent beats on three leads, in the original order and in shuffled ones, from a cache of all pairs; gaps are no pairs."""
+    rows = storage.written(sequences(spark, sf_dir), "sequences")
+    pairs = distances.pair_tiles(rows.filter("valid"), ["record"], "beat_index", SEQUENCE, names=SEQUENCE)
+    edges = events.adjacent(rows.drop(*SEQUENCE), ["record"])
+    found = shuffles.distance_stats(edges, pairs, ["record"], event_queries.SEEDS, "beat", SEQUENCE)
+    return found.select("record", "seed", "pairs", *[r(f"{w}_{n}", digits=6) for w in SEQUENCE for n in ("mean", "sd", "mad", "iqr")])
+
+
+EDGES = """WITH b AS (SELECT DISTINCT vec_id // 3 AS beat, vec_id // 36 AS record, (vec_id // 3) % 12 AS source_index, cast('0x' || substr(md5('beat|' || (vec_id // 3)), 1, 8) AS bigint) % 7 <> 0 AS valid FROM embeddings),
+n AS (SELECT record, lead(source_index) OVER (PARTITION BY record ORDER BY source_index) - source_index AS step FROM b WHERE valid)
+"""
+
+
+@query(EDGES + "SELECT record, count(*) AS beats, count(*) FILTER (step = 1) AS pairs, count(*) FILTER (step > 1) AS gaps FROM n GROUP BY record")
+def sequence_edges(spark, sf_dir):
+    """How many neighbours of a record are pairs and how many have a gap between them."""
+    edges = events.adjacent(sequences(spark, sf_dir).drop(*SEQUENCE), ["record"])
+    one = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    return edges.groupBy("record").agg(F.count(F.lit(1)).alias("beats"), one(F.col("edge")).alias("pairs"), one(~F.col("edge")).alias("gaps"))
+
+
 #: Signal quality: a vector is a lead of the record vec_id // 6.
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waves(spark, sf_dir).select(F.floor(F.col("vec_id") / 6).alias("record"), (F.col("vec_id") % 6).alias("lead"), F.transform("embedding", lambda x: F.round(x.cast("double"), 2)).alias("wave"))
