@@ -166,6 +166,20 @@ def excluded(size: Column, peaks: Column, radius: int = 50) -> Column:
     return let(F.array_sort(F.array_compact(peaks)), filled)
 
 
+def with_peaks(leads: DataFrame, peaks: DataFrame, keys: Sequence[str], at: str, radius: int, wave: str, name: str = "inside") -> DataFrame:
+    """``leads`` with an array of 0 and 1 over the steps of their wave: whether a step lies within ``radius`` of a peak of its record. A record has at most as many peaks as samples, which its leads hold as an array anyway; records without peaks have zeros."""
+    found = peaks.filter(F.col(at).isNotNull()).groupBy(*keys).agg(F.collect_set(F.col(at).cast("int")).alias("_peaks"))
+    inside = excluded(F.size(wave) - 1, F.coalesce("_peaks", F.array().cast("array<int>")), radius)
+    return leads.join(found, list(keys), "left").withColumn(name, inside).drop("_peaks")
+
+
+def tops(wave: str | Column, least: float) -> Column:
+    """Places (from 0) of samples over ``least`` that are higher than the one before and not lower than the one behind."""
+    x = F.col(wave) if isinstance(wave, str) else wave
+    top = lambda k: (F.get(x, k) > least) & (F.get(x, k) > F.get(x, k - 1)) & (F.get(x, k) >= F.get(x, k + 1))
+    return F.when(F.size(x) >= 3, F.filter(F.sequence(F.lit(1), F.size(x) - 2), top)).otherwise(F.array().cast("array<int>"))
+
+
 def threshold_grid(leads: DataFrame, wave: str, thresholds: Sequence[float] = GRID_MV, rate: float = 500.0, inside: Column | None = None) -> DataFrame:
     """A row per lead and threshold: low share, flag, longest low and longest exactly repeated run (s), exact share, and the low share outside of ``inside`` (array of 0 and 1). Steps are made once and crossed with the grid."""
     x = leads.withColumn("_d", differences(F.col(wave).cast("array<double>")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import storage
 from ..functions.scalar import fold_of, let, md5_int
-from ..operators import checks, distances, events, quality, shuffles, templates, waveforms
+from ..operators import checks, distances, events, intervals, quality, shuffles, templates, waveforms
 from ..operators.statistics import four_stats
 from ..sources import manifests, tables
 from . import event_queries
@@ -265,17 +265,43 @@ def limb_residuals(spark, sf_dir):
     return found.select("record", "relation", *[r(c, digits=6) for c in ("residual_mean", "rmse", "relative_rmse")])
 
 
-GRID = LEADS.rstrip() + """,
+#: Peaks are tops of a record's first lead; steps within two samples of one are near it.
+NEAR = """,
+pk AS (SELECT record, i - 1 AS p FROM (SELECT record, i, v, lag(v) OVER w AS b, lead(v) OVER w AS a FROM lx WHERE lead = 0 WINDOW w AS (PARTITION BY record ORDER BY i)) WHERE v > 0.1 AND v > b AND v >= a),
+nr AS (SELECT *, EXISTS (SELECT 1 FROM pk WHERE pk.record = dx.record AND dx.i - 1 BETWEEN p - 2 AND p + 2) AS near FROM dx WHERE d IS NOT NULL)"""
+GRID = LEADS.rstrip() + NEAR + """,
 th AS (SELECT unnest([0.025, 0.045, 0.065, 0.105]) AS t),
-gr AS (SELECT record, lead, t, avg((d < t)::int) AS low_share, avg((d = 0)::int) AS exact_share, avg((d < t)::int) FILTER (i NOT BETWEEN 6 AND 16) AS outside_share FROM dx CROSS JOIN th WHERE d IS NOT NULL GROUP BY ALL),
+gr AS (SELECT record, lead, t, avg((d < t)::int) AS low_share, avg((d = 0)::int) AS exact_share, avg((d < t)::int) FILTER (NOT near) AS outside_share FROM nr CROSS JOIN th GROUP BY ALL),
 gl AS (SELECT record, lead, t, max(n) AS longest FROM (SELECT record, lead, t, count(*) AS n FROM (SELECT record, lead, t, i - row_number() OVER (PARTITION BY record, lead, t ORDER BY i) AS g FROM dx CROSS JOIN th WHERE d < t) GROUP BY record, lead, t, g) GROUP BY record, lead, t),
 tg AS (SELECT gr.*, coalesce(longest, 0) AS longest, low_share > 0.2 AS flag FROM gr LEFT JOIN gl USING (record, lead, t))
 """
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inside = quality.excluded(F.size("wave") - 1, F.array(F.lit(10)), 5)
-    return quality.threshold_grid(leads(spark, sf_dir), "wave", (0.025, 0.045, 0.065, 0.105), 1.0, inside)
+    rows = quality.with_peaks(leads(spark, sf_dir), lead_peaks(spark, sf_dir), ["record"], "p", 2, "wave")
+    return quality.threshold_grid(rows, "wave", (0.025, 0.045, 0.065, 0.105), 1.0, F.col("inside"))
+
+
+def lead_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several peaks a record: record and p."""
+    return leads(spark, sf_dir).filter("lead = 0").select("record", F.explode(quality.tops("wave", 0.1)).alias("p"))
+
+
+@query(LEADS.rstrip() + NEAR + " SELECT record, lead, count(*) AS steps, count(*) FILTER (NOT near) AS outside, count(*) FILTER (NOT near AND d < 0.045) AS low_outside FROM nr GROUP BY record, lead")
+def steps_outside_peaks(spark, sf_dir):
+    """Steps of all leads that no peak of their record is near, by a join of points with intervals."""
+    steps = leads(spark, sf_dir).select("record", "lead", F.posexplode(quality.differences("wave")).alias("at", "d"))
+    around = lead_peaks(spark, sf_dir).select("record", (F.col("p") - 2).alias("start"), (F.col("p") + 2).alias("end"))
+    rows = intervals.with_inside(steps, around, ["record"], "at", "start", "end", 16)
+    one = lambda c: F.sum(c.cast("long"))
+    return rows.groupBy("record", "lead").agg(F.count(F.lit(1)).alias("steps"), one(~F.col("inside")).alias("outside"), one(~F.col("inside") & (F.col("d") < 0.045)).alias("low_outside"))
+
+
+@query(LEADS.rstrip() + NEAR + " SELECT record, count(DISTINCT x) AS covered FROM (SELECT record, unnest(range(greatest(p - 2, 0), least(p + 2, 62) + 1)) AS x FROM pk) GROUP BY record")
+def peak_coverage(spark, sf_dir):
+    """How many steps of a record lie near any peak; neighbourhoods overlap."""
+    around = lead_peaks(spark, sf_dir).select("record", (F.col("p") - 2).alias("start"), (F.col("p") + 2).alias("end"))
+    return intervals.covered(around, ["record"], "start", "end", 16, 0, 62)
 
 
 @query(GRID + "SELECT record, lead, t::double AS threshold_mv, round(low_share, 6) AS low_share, flag, longest::double AS longest_low_s, round(exact_share, 6) AS exact_share, round(outside_share, 6) AS outside_share FROM tg")
