@@ -98,13 +98,50 @@ def rr_summary(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def repair(rows: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, amp: str, slope: str, low: float = 0.20, high: float = 0.40, least_amp: float = 0.45, least_slope: float = 0.50, rate: float = 500.0) -> DataFrame:
+def pieces(rows: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, most_gap: float, width: float, name: str = "piece") -> DataFrame:
+    """``rows`` with a number per stretch of time that is cut where the next row of its record comes more than ``most_gap`` later.
+
+    Time goes into buckets of ``width`` (a multiple of ``most_gap``). Inside of a bucket rows only meet each
+    other; between buckets only the last place of each is needed, a row per
+    record and bucket. Rows before a bucket's first cut belong to the last bucket
+    before that has one. No window or group holds a whole record: a piece is a bucket
+    and what runs on from it without a gap. Rows without a place come last, in a piece of their own.
+    """
+    keys, spot = list(keys), F.col(at).cast("double")
+    rows = rows.withColumn("_slot", F.floor(spot / width))
+    slots = rows.groupBy(*keys, "_slot").agg(F.max(spot).alias("_last"))
+    slots = slots.withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slot"))).drop("_last")
+    inside = Window.partitionBy(*keys, "_slot").orderBy(*order)
+    joined = rows.join(slots.withColumnsRenamed({k: f"_k_{k}" for k in keys}).withColumnRenamed("_slot", "_s"), _same(keys, "_slot", "_s"), "left").drop("_s", *[f"_k_{k}" for k in keys])
+    cut = spot - F.coalesce(F.lag(spot).over(inside), F.col("_before")) > most_gap
+    joined = joined.withColumn("_cut", F.coalesce(cut, F.lit(True)).cast("int"))
+    joined = joined.withColumn("_cuts", F.sum("_cut").over(inside))
+    # the last bucket with a cut, up to each bucket: again a row per record and bucket
+    starts = joined.groupBy(*keys, "_slot").agg(F.max("_cut").alias("_any"))
+    known = F.last(F.when(F.col("_any") == 1, F.col("_slot")), ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
+    starts = starts.withColumn("_from", known).drop("_any").withColumnsRenamed({k: f"_k_{k}" for k in keys}).withColumnRenamed("_slot", "_s")
+    out = joined.join(starts, _same(keys, "_slot", "_s"), "left")
+    return out.withColumn(name, F.when(F.col("_cuts") > 0, F.col("_slot")).otherwise(F.col("_from"))).select(*[c for c in rows.columns if c != "_slot"], name)
+
+
+def _same(keys: Sequence[str], slot: str, other: str) -> Column:
+    on = F.col(slot).eqNullSafe(F.col(other))
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return on
+
+
+def repair(rows: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, amp: str, slope: str, low: float = 0.20, high: float = 0.40, least_amp: float = 0.45, least_slope: float = 0.50, rate: float = 500.0, buckets: int = 64) -> DataFrame:
     """The rows that are kept: one is dropped if it follows the last *kept* one of its record within [low, high] s and is weaker than given parts of it in both respects.
 
-    Records are sorted in their partition and folded as they stream by, with the last kept row as the only state.
+    ``order`` is ascending in ``at``. A lag over ``high`` forgets what was kept, so records are cut there (``pieces``, buckets of ``buckets`` x ``high``) and pieces are
+    folded in any task, sorted, with the last kept row as the only state: a record of any length is shared by as many tasks as it has
+    buckets. Only a stretch without any such lag stays together. Rows without a place, height or slope are kept; one without a place is nobody's last kept row.
     """
     keys = list(keys)
-    state = [*keys, at, amp, slope]
+    (piece,) = [next(n for k in range(len(rows.columns) + 1) if (n := "piece" + "_" * k) not in rows.columns)]
+    state = [*keys, piece, at, amp, slope]
+    n = len(rows.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         record = last = None
@@ -112,14 +149,16 @@ def repair(rows: DataFrame, keys: Sequence[str], order: Sequence[str], at: str,
             keep = []
             for *own, place, height, steep in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in state), strict=True):
                 weak = False
-                if own == record and None not in (height, steep, *last[1:]):
+                if own == record and None not in (place, height, steep, *last):
                     weak = low <= (place - last[0]) / rate <= high and height < least_amp * last[1] and steep < least_slope * last[2]
                 if not weak:
                     record, last = own, (place, height, steep)
                 keep.append(not weak)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns[:n], kept.schema.names[:n])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, rows.schema)
+    cut = pieces(rows, keys, order, at, high * rate, high * rate * buckets, piece)
+    return cut.repartition(*keys, piece).sortWithinPartitions(*keys, piece, *order).mapInArrow(run, rows.schema)
 
 
 def runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], condition: Column) -> DataFrame:
