@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import dense_index
 from ..functions.scalar import md5_int
+from ..functions.storage import written
 
 #: Ranges of scores that are ranked in tasks of their own.
 BUCKETS = 1024
@@ -69,24 +73,48 @@ def wide(predictions: DataFrame, keys: Sequence[str], models: Sequence[str] = ("
     return predictions.groupBy(*keys).pivot("model", list(models)).agg(F.first("score", ignorenulls=True))
 
 
-def paired_bootstrap(rows: DataFrame, first: str, second: str, identity: str, label: str = "label", replicates: int = 1000, seed: int = 5001, hash_buckets: int = 256) -> DataFrame:
+def draws_of(seed: int, replicate: int, label: int, size: int, first: int = 0, behind: int | None = None) -> np.ndarray:
+    """Row numbers drawn by the draws first .. behind - 1 of a class in a replicate: 32 bits of md5(seed|replicate|class|k), modulo the class size."""
+    start = hashlib.md5(f"{seed}|{replicate}|{label}|".encode())
+    out = []
+    for k in range(first, size if behind is None else behind):
+        h = start.copy()
+        h.update(b"%d" % k)
+        out.append(h.digest()[:4])
+    return (np.frombuffer(b"".join(out), ">u4").astype(np.int64) % size) if out else np.zeros(0, np.int64)
+
+
+def weighted_metrics(scores: np.ndarray, place: np.ndarray, labels: np.ndarray, weights: np.ndarray, threshold: float = 0.5) -> tuple[float, float]:
+    """AUROC (ties count half) and balanced accuracy of rows taken ``weights`` times; ``scores`` are the distinct ones, ascending, and ``place`` is each row's among them. NaN without both classes."""
+    pos = np.bincount(place, np.where(labels == 1, weights, 0), len(scores))
+    neg = np.bincount(place, np.where(labels == 0, weights, 0), len(scores))
+    p, n = pos.sum(), neg.sum()
+    if not p or not n:
+        return np.nan, np.nan
+    wins = (pos * (np.cumsum(neg) - neg + neg / 2)).sum()
+    high = scores >= threshold
+    return wins / (p * n), (pos[high].sum() / p + neg[~high].sum() / n) / 2
+
+
+#: Up to so many rows (about 32 bytes each) a bootstrap's table is sent to its tasks.
+MOST_SENT = 1_000_000
+
+
+def paired_bootstrap(rows: DataFrame, first: str, second: str, identity: str, label: str = "label", replicates: int = 1000, seed: int = 5001, hash_buckets: int = 256, most_sent: int = MOST_SENT) -> DataFrame:
     """delta_auroc and delta_ba of ``second`` - ``first`` over all rows, with 2.5 and 97.5 percentiles over class-stratified resamples.
 
     Draw k of a class in a replicate is md5(seed|replicate|class|k) modulo the
-    class size, the same for every comparison. Draws meet their rows and are
-    summed per score, and both metrics come from these sums, so nothing of size
-    rows x replicates is sorted in one task.
+    class size, the same for every comparison. The rows are counted: up to
+    ``most_sent`` they go to all tasks once, and a task makes the draws of its replicates, counts how often each
+    row was drawn and takes both metrics from these counts, so what is exchanged is a row per
+    replicate. Larger tables are cut by draws instead: tasks count the draws of a block, and counts meet the rows by
+    their number, after which both metrics come from sums per score. Both ways give the same numbers.
     """
-    paired = rows.filter(F.col(first).isNotNull() & F.col(second).isNotNull()).select(F.col(identity).alias("id"), F.col(label).alias("label"), F.col(first).alias("first"), F.col(second).alias("second"))
-    paired = dense_index(paired, ["label"], md5_int(F.col("id")) % hash_buckets, ["id"], "k")
-    sizes = paired.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    draws = paired.join(F.broadcast(sizes), "label").select("label", "size", "k").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = md5_int(seed, F.col("replicate"), F.col("label"), F.col("k")) % F.col("size")
-    scores = ["replicate", "label", "first", "second"]
-    sampled = draws.select("replicate", "label", drawn.alias("k")).join(paired, ["label", "k"]).select(*scores).unionByName(paired.withColumn("replicate", F.lit(-1)).select(*scores))
-    found = auroc(sampled.unpivot(["replicate", "label"], ["first", "second"], "which", "score"), ["replicate", "which"]).withColumnRenamed("balanced_accuracy", "ba")
-    sign = F.when(F.col("which") == "second", 1.0).otherwise(-1.0)
-    deltas = found.groupBy("replicate").agg(F.sum(sign * F.col("auroc")).alias("auroc"), F.sum(sign * F.col("ba")).alias("ba"))
+    paired = rows.filter(F.col(first).isNotNull() & F.col(second).isNotNull()).select(F.col(identity).alias("id"), F.col(label).cast("int").alias("label"), F.col(first).cast("double").alias("first"), F.col(second).cast("double").alias("second"))
+    paired = written(dense_index(paired, ["label"], md5_int(F.col("id")) % hash_buckets, ["id"], "k").select("label", "k", "first", "second"), "bootstrap")
+    sizes = {r["label"]: r["n"] for r in paired.filter(F.col("label").isin(0, 1)).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    paired = paired.filter(F.col("label").isin(0, 1))
+    deltas = (_sent_deltas if sum(sizes.values()) <= most_sent else _dealt_deltas)(paired, sizes, replicates, seed)
     real, drawn_ones = F.col("replicate") == -1, F.col("replicate") >= 0
     return deltas.agg(
         *[
@@ -96,3 +124,48 @@ def paired_bootstrap(rows: DataFrame, first: str, second: str, identity: str, la
         ],
         F.sum(drawn_ones.cast("int")).alias("replicates"),
     )
+
+
+def _sent_deltas(paired: DataFrame, sizes: dict[int, int], replicates: int, seed: int) -> DataFrame:
+    """replicate (-1: all rows once), auroc and ba: a task per block of replicates."""
+    spark = paired.sparkSession
+    table = paired.orderBy("label", "k").toArrow()  # at most MOST_SENT rows
+    labels = table["label"].to_numpy()
+    ranked = [np.unique(table[c].to_numpy(), return_inverse=True) for c in ("first", "second")]
+    starts = {c: int(np.searchsorted(labels, c)) for c in sizes}
+    shared = spark.sparkContext.broadcast((labels, ranked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, ranked = shared.value
+        for batch in batches:
+            out = []
+            for replicate in batch.column(0).to_pylist():
+                weights = np.ones(len(labels), np.int64) if replicate < 0 else np.zeros(len(labels), np.int64)
+                for c, n in sizes.items() if replicate >= 0 else ():
+                    weights[starts[c] : starts[c] + n] = np.bincount(draws_of(seed, replicate, c, n), minlength=n)
+                (a1, b1), (a2, b2) = (weighted_metrics(s, at, labels, weights) for s, at in ranked)
+                out.append((replicate, a2 - a1, b2 - b1))
+            ids, auroc, ba = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(auroc, pa.float64(), from_pandas=True), pa.array(ba, pa.float64(), from_pandas=True)], ["replicate", "auroc", "ba"])
+
+    return spark.range(-1, replicates, numPartitions=min(replicates + 1, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "replicate long, auroc double, ba double")
+
+
+def _dealt_deltas(paired: DataFrame, sizes: dict[int, int], replicates: int, seed: int, block: int = 100_000) -> DataFrame:
+    """The same for tables of any size: rows of (replicate, label, block of draws), each counted in its task before counts are exchanged."""
+    spark = paired.sparkSession
+    blocks = spark.createDataFrame([(int(c), int(n)) for c, n in sizes.items()], "label int, size long")
+    blocks = blocks.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(block).cast("long")))).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, size, start, replicate in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                k, times = np.unique(draws_of(seed, replicate, label, size, start, min(start + block, size)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), label, np.int32)), pa.array(k), pa.array(np.full(len(k), replicate, np.int32)), pa.array(times)], ["label", "k", "replicate", "times"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = blocks.select("label", "size", "from", "replicate").repartition(parts, "replicate", "label", "from").mapInArrow(run, "label int, k long, replicate int, times long")
+    sampled = drawn.join(paired, ["label", "k"]).select("replicate", "label", "first", "second", "times").unionByName(paired.select(F.lit(-1).alias("replicate"), "label", "first", "second", F.lit(1).cast("long").alias("times")))
+    found = auroc(sampled.unpivot(["replicate", "label", "times"], ["first", "second"], "which", "score"), ["replicate", "which"], weight="times").withColumnRenamed("balanced_accuracy", "ba")
+    sign = F.when(F.col("which") == "second", 1.0).otherwise(-1.0)
+    return found.groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.sum(sign * F.col("auroc")).alias("auroc"), F.sum(sign * F.col("ba")).alias("ba"))

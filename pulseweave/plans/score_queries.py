@@ -141,6 +141,7 @@ SELECT round(max(auroc) FILTER (rep = -1), 6) AS delta_auroc, round(quantile_con
 
 
 A_B = ("seed = 0 AND model = 'A'", "seed = 0 AND model = 'B'")
+B_C = ("seed = 0 AND model = 'B'", "seed = 0 AND model = 'C'")
 C_SHUFFLED = ("seed = 1 AND model = 'C'", "seed = 0 AND model = 'C'")
 
 
@@ -156,6 +157,12 @@ def paired_bootstrap(spark, sf_dir):
     return bootstrapped(spark, sf_dir, *A_B)
 
 
+@query(CTES + bootstrap_sql(*B_C))
+def paired_bootstrap_c_b(spark, sf_dir):
+    """Model C against model B."""
+    return bootstrapped(spark, sf_dir, *B_C)
+
+
 @query(CTES + bootstrap_sql(*C_SHUFFLED))
 def paired_bootstrap_shuffled(spark, sf_dir):
     """Model C in its own order against C in a shuffled one."""

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +55,33 @@ def test_bootstrap_is_centred_and_repeatable(spark):
     assert one.delta_auroc == pytest.approx(plain_auroc([x.b for x in table], [x.label for x in table]) - plain_auroc([x.a for x in table], [x.label for x in table]))
 
 
+@pytest.mark.parametrize("most_sent", [1000, 0])
+def test_bootstrap_against_drawing_rows(spark, most_sent):
+    """Rows sent to the tasks, and rows that meet counts of draws: both as drawing row by row."""
+    r = np.random.default_rng(3)
+    table = [(i, int(r.integers(0, 2)), round(float(r.random()), 1), round(float(r.random()), 1)) for i in range(70)] + [(100, 1, None, 0.5), (101, 2, 0.1, 0.2)]
+    rows = spark.createDataFrame(table, "id long, label int, a double, b double")
+    got = metrics.paired_bootstrap(rows, "a", "b", "id", replicates=40, most_sent=most_sent).first()
+    number = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+    classes = {c: sorted((x for x in table if x[1] == c and x[2] is not None), key=lambda x: (number(str(x[0])) % 256, x[0])) for c in (0, 1)}
+
+    def deltas(sample):
+        y = [x[1] for x in sample]
+        ba = lambda k: (np.mean([x[k] >= 0.5 for x in sample if x[1] == 1]) + np.mean([x[k] < 0.5 for x in sample if x[1] == 0])) / 2
+        return plain_auroc([x[3] for x in sample], y) - plain_auroc([x[2] for x in sample], y), ba(3) - ba(2)
+
+    drawn = [deltas([own[number(f"5001|{k}|{c}|{d}") % len(own)] for c, own in classes.items() for d in range(len(own))]) for k in range(40)]
+    whole = deltas(classes[0] + classes[1])
+    expected = [v for m in (0, 1) for v in (whole[m], *np.percentile([d[m] for d in drawn], (2.5, 97.5)))]
+    assert [got.delta_auroc, got.auroc_low, got.auroc_high, got.delta_ba, got.ba_low, got.ba_high] == pytest.approx(expected, abs=1e-12) and got.replicates == 40
+
+
+def test_bootstrap_of_one_class_and_of_nothing(spark):
+    rows = spark.createDataFrame([(1, 1, 0.5, 0.6)], "id long, label int, a double, b double")
+    for table in (rows, rows.limit(0)):
+        assert metrics.paired_bootstrap(table, "a", "b", "id", replicates=5).first().delta_auroc is None
+
+
 def newton(x, y):
     a = np.column_stack([np.ones(len(x)), x])
     w, ridge = np.zeros(a.shape[1]), np.diag([0.0] + [1.0] * x.shape[1])
