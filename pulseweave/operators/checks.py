@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -75,3 +75,54 @@ def union_all(*tables: DataFrame) -> DataFrame:
 
 def distinct_ids(identity: str, *tables: DataFrame) -> DataFrame:
     return union_all(*[t.select(identity) for t in tables]).distinct()
+
+
+def on_grid(wave: str | Column, bits: int = 20) -> Column:
+    """An array's values rounded to multiples of 2**-bits: sums of such values are exact in any order, so results of two runs can be held to each other bit by bit."""
+    x = (F.col(wave) if isinstance(wave, str) else wave).cast("array<double>")
+    return F.transform(x, lambda v: F.round(v * float(1 << bits)) / float(1 << bits))
+
+
+def digests(table: DataFrame, keys: Sequence[str], values: Sequence[str], digits: int = 9) -> DataFrame:
+    """A row per group: rows, and two sums over hashes of its rows, which no order or partitioning changes. Repeated rows count; numbers are rounded to ``digits``; null, NaN and an empty array differ."""
+    def plain(name: str) -> list[Column]:
+        kind, c = table.schema[name].dataType.simpleString(), F.col(name)
+        number = lambda v: F.round(v.cast("double"), digits) + 0.0
+        if kind in ("float", "double"):
+            return [c.isNull(), number(c)]
+        if kind in ("array<float>", "array<double>"):
+            return [c.isNull(), F.size(c), F.transform(c, lambda v: F.coalesce(number(v), F.lit(0.0))), F.transform(c, lambda v: v.isNull())]
+        return [c.isNull(), c]
+
+    parts = [p for v in values for p in plain(v)]
+    wide = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
+    return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), wide(*parts).alias("digest_1"), wide(F.lit("second"), *reversed(parts)).alias("digest_2"))
+
+
+def unchanged_groups(first: DataFrame, second: DataFrame, keys: Sequence[str], values: Sequence[str], digits: int = 9) -> DataFrame:
+    """A row per group of either table: rows in both, and whether they are the same rows, repeats counted. Only digests meet, never the rows."""
+    both = digests(first, keys, values, digits).withColumn("_side", F.lit(1)).unionByName(digests(second, keys, values, digits).withColumn("_side", F.lit(2)))
+    side = lambda k: F.sum(F.when(F.col("_side") == k, F.col("rows")).otherwise(0))
+    same = (F.count(F.lit(1)) == 2) & (F.min("rows") == F.max("rows"))
+    for d in ("digest_1", "digest_2"):
+        same = same & (F.min(d) == F.max(d))
+    return both.groupBy(*keys).agg(side(1).alias("rows_first"), side(2).alias("rows_second"), same.alias("unchanged"))
+
+
+def flipped(rows: DataFrame, label: str, fold: str, folds: Sequence[int], flip: bool = True, held: str = "held_fold") -> DataFrame:
+    """``rows`` once per held-out fold; with ``flip``, the labels (0 or 1) of that fold's rows are the other way round."""
+    out = rows.withColumn(held, F.explode(F.array(*[F.lit(f) for f in folds])))
+    own = F.col(fold) == F.col(held)
+    return out.withColumn(label, F.when(own & F.lit(flip), 1 - F.col(label)).otherwise(F.col(label)))
+
+
+def label_invariance(run: Callable[[DataFrame], dict[str, DataFrame]], rows: DataFrame, label: str, fold: str, folds: Sequence[int], values: dict[str, Sequence[str]], digits: int = 9, held: str = "held_fold") -> DataFrame:
+    """Whether what a run makes of each held-out fold stays the same when that fold's labels are turned round: a row per table and fold.
+
+    ``run`` gets the rows once per held-out fold and returns named tables that have the column ``held``; ``values`` are the columns of each that must not change. A run that lets a
+    fold's labels into its own templates, features or predictions shows up as unchanged = false.
+    """
+    keys = [held]
+    before, after = run(flipped(rows, label, fold, folds, False, held)), run(flipped(rows, label, fold, folds, True, held))
+    found = [unchanged_groups(before[t], after[t], keys, values[t], digits).select(F.lit(t).alias("table"), *keys, "rows_first", "rows_second", "unchanged") for t in before]
+    return union_all(*found)

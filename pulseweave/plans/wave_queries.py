@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import storage
 from ..functions.scalar import fold_of, let, md5_int
-from ..operators import checks, distances, events, intervals, quality, shuffles, templates, waveforms
+from ..operators import checks, distances, events, intervals, logistic, quality, shuffles, templates, waveforms
 from ..operators.statistics import four_stats
 from ..sources import manifests, tables
 from . import event_queries
@@ -179,6 +179,63 @@ def shuffled_wave_distance(spark, sf_dir):
     return found.select("record", "seed", "pairs", *[r(f"distance_{n}", digits=6) for n in ("mean", "sd", "mad", "iqr")])
 
 
+#: Values on a grid of 2**-20, so that sums are the same in any order.
+HALVES = """
+WITH em AS (SELECT vec_id, label % 2 AS y, (1 + cast('0x' || substr(md5(vec_id::varchar), 1, 8) AS bigint) % 8)::int AS fold, unnest(embedding::double[]) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+g AS (SELECT f::int AS held_fold, fold, y, CASE WHEN fold = f THEN 1 - y ELSE y END AS turned, i, round(v * 1048576) AS v FROM em CROSS JOIN (SELECT unnest(range(1, 9)) AS f)),
+a AS (SELECT held_fold, y, i, sum(v) AS every, count(*) AS n, coalesce(sum(v) FILTER (fold <> held_fold), 0) AS others, count(*) FILTER (fold <> held_fold) AS m FROM g GROUP BY held_fold, y, i),
+b AS (SELECT held_fold, turned AS y, i, sum(v) AS every, count(*) AS n, coalesce(sum(v) FILTER (fold <> held_fold), 0) AS others, count(*) FILTER (fold <> held_fold) AS m FROM g GROUP BY held_fold, turned, i)
+SELECT held_fold, count(DISTINCT y) AS rows_first, count(DISTINCT y) AS rows_second, bool_and(a.others = b.others AND a.m = b.m) AS unchanged, bool_and(a.every = b.every AND a.n = b.n) AS leaky_unchanged FROM a JOIN b USING (held_fold, y, i) GROUP BY held_fold
+"""
+
+
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of two classes, with values on the grid."""
+    return waves(spark, sf_dir).select("vec_id", "fold", (F.col("label") % 2).cast("int").alias("y"), checks.on_grid("embedding").alias("wave"))
+
+
+def held_templates(rows: DataFrame, leak: bool = False) -> DataFrame:
+    """Templates of each held-out fold: from all other folds or, with a planted leak, from all rows."""
+    if leak:
+        return templates.mean_wave(rows, ["held_fold", "y"], "wave").select("held_fold", "y", "n", "wave")
+    found = templates.fold_templates(rows, ["held_fold"], "fold", "y", "wave", FOLDS, [0, 1], 1)
+    return found.filter("fold = held_fold").select("held_fold", "y", "n", "wave")
+
+
+@query(HALVES)
+def template_invariance(spark, sf_dir):
+    """Templates of a fold do not change with its labels; those of a run with a planted leak do."""
+    parts = {}
+    for leak in (False, True):
+        run = lambda rows, leak=leak: {"templates": held_templates(rows, leak)}
+        parts[leak] = checks.label_invariance(run, classes(spark, sf_dir), "y", "fold", FOLDS, {"templates": ["y", "n", "wave"]}, 12)
+    return parts[False].drop("table").join(parts[True].select("held_fold", F.col("unchanged").alias("leaky_unchanged")), "held_fold")
+
+
+A_FEATURES = ["wave_mean", "wave_sd", "wave_min", "wave_max", "wave_q25", "wave_q75", "to_1", "to_0"]
+
+
+def study(rows: DataFrame, leak: bool = False) -> dict[str, DataFrame]:
+    """One run of model A for every held-out fold: templates, the features of all rows against them, and the scores of the held-out rows."""
+    rows = storage.written(rows.withColumn("wave", distances.stretched("wave")), "study")
+    made = storage.written(held_templates(rows, leak), "templates")
+    pairs = rows.select("held_fold", "vec_id", F.col("wave").alias("a")).join(made.select("held_fold", "y", F.col("wave").alias("b")), "held_fold")
+    far = distances.with_distance(pairs).groupBy("held_fold", "vec_id").agg(*[F.max(F.when(F.col("y") == k, F.col("distance"))).alias(f"to_{k}") for k in (1, 0)])
+    features = storage.written(templates.morphology(rows, "wave").drop("wave").join(far, ["held_fold", "vec_id"]), "features")
+    held = features.withColumn("held", (F.col("fold") == F.col("held_fold")).cast("int"))
+    scores = logistic.fold_scores(held, ["held_fold"], "held", "y", A_FEATURES, [1]).filter("held = 1").select("held_fold", "vec_id", "score")
+    return {"templates": made, "features": features.select("held_fold", "vec_id", *A_FEATURES), "predictions": scores}
+
+
+STUDY = {"templates": ["y", "n", "wave"], "features": ["vec_id", *A_FEATURES], "predictions": ["vec_id", "score"]}
+
+
+@query()
+def study_invariance(spark, sf_dir):
+    """Whether templates, features and predictions of a fold stay as they are when its labels are turned round; the tests plant a leak."""
+    return checks.label_invariance(study, classes(spark, sf_dir), "y", "fold", FOLDS, STUDY, 5)
+
+
 SEQUENCE = ("V1", "V5", "V6")
 
 
