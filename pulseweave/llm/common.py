@@ -82,10 +82,10 @@ def ranked(df: DataFrame, order: Sequence[str], name: str = "place") -> DataFram
     return rows.withColumn("_inside", inside).join(F.broadcast(bases), part).withColumn(name, F.col(name) + F.col("_inside")).drop(part, "_inside")
 
 
-def join_small(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", slices: int = 64) -> DataFrame:
-    """Join with a table of one row per key that is usually small: it is counted, broadcast up to BROADCAST_ROWS, and beyond that joined on salted keys, so that a hot key is dealt over ``slices`` tasks."""
+def join_small(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", slices: int = 64, most: int | None = None) -> DataFrame:
+    """Join with a table of one row per key that is usually small: it is counted (unless ``most`` says how many rows it has at most), broadcast up to BROADCAST_ROWS, and beyond that joined on salted keys, so that a hot key is dealt over ``slices`` tasks."""
     keys = list(keys)
-    if small.count() <= BROADCAST_ROWS:
+    if (small.count() if most is None else most) <= BROADCAST_ROWS:
         return rows.join(F.broadcast(small), keys, how)
     others = [c for c in rows.columns if c not in keys] or keys
     (slice_,) = fresh(rows, "_slice")

@@ -10,18 +10,9 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
-def _mixing() -> str:
-    passes = ["""p1 AS (
-  SELECT doc_id, n, s, h, sz, lft, tgt, coalesce(sum(sz) OVER (PARTITION BY n, s ORDER BY h) <= lft, true) AS tk FROM d JOIN st USING (n, s)),
-r1 AS (SELECT n, s, any_value(lft) - coalesce(sum(sz) FILTER (tk), 0) AS l, any_value(tgt) AS tgt FROM p1 GROUP BY n, s)"""]
-    for k in (2, 3):
-        passes.append(f"""p{k} AS (
-  SELECT doc_id, n, s, h, sz, tk OR coalesce(ok, false) AS tk FROM p{k - 1} LEFT JOIN (
-    SELECT doc_id, sum(sz) OVER (PARTITION BY n, s ORDER BY h) <= l AS ok FROM p{k - 1} JOIN r{k - 1} USING (n, s)
-    WHERE NOT tk AND l > 0.001 * r{k - 1}.tgt AND sz <= floor(l / 4) AND floor(l / 4) > 0) x USING (doc_id)),
-r{k} AS (SELECT n, s, any_value(lft) - coalesce(sum(sz) FILTER (tk), 0) AS l, any_value(tgt) AS tgt FROM p{k} JOIN st USING (n, s) GROUP BY n, s)""")
-    return f"""
-WITH d AS (SELECT doc_id, source IS NULL AS n, coalesce(source, '') AS s, len(regexp_extract_all(coalesce(text, ''), {WORDS})) AS sz,
+#: Documents in order of hash while they fit, then of the largest size that fits, as many as fit, and so on downwards.
+MIXING = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source IS NULL AS n, coalesce(source, '') AS s, len(regexp_extract_all(coalesce(text, ''), {WORDS})) AS sz,
   cast('0x' || substr(md5(cast(doc_id AS varchar)), 1, 15) AS bigint) AS h FROM documents),
 a AS (SELECT n, s, sum(sz)::bigint AS ss, (row_number() OVER (ORDER BY n, s) - 1) % 3 + 1.0::double AS w FROM d GROUP BY n, s),
 b AS (SELECT *, 3.0::double * ss AS cap, sum(ss) OVER () ::double AS total,
@@ -31,9 +22,14 @@ c AS (SELECT *, (total - capped) / ow AS lev FROM b),
 e AS (SELECT *, (SELECT arg_min(lev, cap / w) FROM c WHERE lev * w <= cap) AS l FROM c),
 f AS (SELECT n, s, ss, round(least(cap, coalesce(l * w, cap)), 6) AS tgt FROM e),
 st AS (SELECT *, CASE WHEN ss > 0 THEN floor(tgt / ss)::bigint ELSE 0 END AS cp, tgt - CASE WHEN ss > 0 THEN floor(tgt / ss)::bigint ELSE 0 END * ss AS lft FROM f),
-{', '.join(passes)}
-SELECT p3.doc_id, p3.sz AS size, st.ss AS source_size, st.tgt AS target, (st.cp + p3.tk::int * (st.lft > 0)::int) * p3.sz AS taken
-FROM p3 JOIN st USING (n, s)
+p AS (SELECT doc_id, n, s, h, sz, lft, lft > 0 AND sum(sz) OVER (PARTITION BY n, s ORDER BY h) <= lft AS tk FROM d JOIN st USING (n, s)),
+z AS (SELECT n, s, sz, count(*) AS docs FROM p WHERE NOT tk AND sz > 0 GROUP BY n, s, sz),
+g AS (SELECT n, s, any_value(lft) - coalesce(sum(sz) FILTER (tk), 0) AS l, (SELECT max(sz) + 1 FROM d) AS sz, 0::bigint AS m FROM p GROUP BY n, s
+  UNION ALL SELECT n, s, l - m * sz, sz, m FROM (
+    SELECT g.n, g.s, g.l, z.sz, least(z.docs, floor(g.l / z.sz)::bigint) AS m, row_number() OVER (PARTITION BY g.n, g.s ORDER BY z.sz DESC) AS k FROM g JOIN z ON g.n = z.n AND g.s = z.s AND z.sz < g.sz AND z.sz <= g.l) x WHERE k = 1),
+k AS (SELECT doc_id, n, s, sz, row_number() OVER (PARTITION BY n, s, sz ORDER BY h) AS k FROM p WHERE NOT tk)
+SELECT p.doc_id, p.sz AS size, st.ss AS source_size, st.tgt AS target, (st.cp + (p.tk OR coalesce(k.k <= g.m, false))::int * (st.lft > 0)::int) * p.sz AS taken
+FROM p JOIN st USING (n, s) LEFT JOIN k USING (doc_id) LEFT JOIN g ON g.n = p.n AND g.s = p.s AND g.sz = p.sz AND g.m > 0
 """
 
 
@@ -74,4 +70,4 @@ r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a
 SELECT r.lang, rank, phrase, a::bigint AS a, l::bigint AS l, r::bigint AS r, n, score::bigint AS score FROM r JOIN n USING (lang) WHERE rank <= 2000
 """
 
-ORACLES = {"op11_collocations": COLLOCATIONS, "op6_quality_rules": RULES, "op7_mixing": _mixing(), "op10_exact_dedup": EXACT}
+ORACLES = {"op11_collocations": COLLOCATIONS, "op6_quality_rules": RULES, "op7_mixing": MIXING, "op10_exact_dedup": EXACT}

@@ -147,6 +147,42 @@ def test_mixing_of_an_empty_source(spark):
     assert {(r.doc_id, r.target, r.taken) for r in mixing.mix(docs).collect()} == {(1, 0.0, 0), (2, 0.0, 0), (3, 2.0, 2)}
 
 
+def plain_taken(rows, target):
+    """What each source takes (copies of all, then by hash, then by size), from (doc_id, source, size)."""
+    number = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16)
+    out = {}
+    for s in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == s), key=lambda r: number(r[0]))
+        total = sum(r[2] for r in own)
+        copies = int(target[s] // total) if total else 0
+        left, chosen = target[s] - copies * total, set()
+        for r in own:
+            if left <= 0 or r[2] > left:
+                break
+            left -= r[2]
+            chosen.add(r[0])
+        for r in sorted((r for r in own if r[0] not in chosen and r[2]), key=lambda r: (-r[2], number(r[0]))):
+            if r[2] <= left:
+                left -= r[2]
+                chosen.add(r[0])
+        out |= {r[0]: (copies + (r[0] in chosen)) * r[2] for r in own}
+        assert left < 1 or not any(r[2] <= left and r[2] for r in own if r[0] not in chosen)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nothing_that_fits_is_left(spark, seed):
+    r = random.Random(seed)
+    rows = [(100, "a", 600), (101, "a", 200), (102, "a", 200), (103, "b", 250), (104, "b", 250)] if seed == 0 else []
+    for k in range(60 if seed else 0):
+        rows += [(1000 * k + j, f"s{k:02}", r.choice([0, 1, 2, 5, 30, 31, 200, 700])) for j in range(r.randint(1, 7))]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, s, n in rows], "doc_id long, text string, source string").repartition(3)
+    found = mixing.mix(docs).collect()
+    assert {x.doc_id: x.taken for x in found} == plain_taken(rows, {x.source: x.target for x in found})
+    if seed == 0:
+        assert sum(x.taken for x in found if x.source == "a") == 400
+
+
 # near duplicates
 
 
