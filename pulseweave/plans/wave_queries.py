@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import storage
+from ..functions.ranking import percentiles
 from ..functions.scalar import fold_of, let, md5_int
 from ..operators import checks, distances, events, intervals, logistic, quality, shuffles, templates, waveforms
 from ..operators.statistics import four_stats
@@ -410,29 +411,34 @@ def waveform_peaks(spark, sf_dir):
 
 @query()
 def waveform_beats(spark, sf_dir):
-    """Cut beats of the detected peaks, after repair and validity, as their mean per record."""
-    records = signals(spark, sf_dir)
+    """Cut beats of the detected peaks, after repair and validity: the mean beat of each record, whole, on all leads."""
+    records = storage.written(signals(spark, sf_dir), "signals")
     found = waveforms.detect(records, RECORD).filter("failure_code IS NULL")
     kept = events.repair(found, RECORD, ["r_peak_sample"], "r_peak_sample", "amp", "slope").select(*RECORD, "r_peak_sample")
-    timed = events.intervals(kept, RECORD, ["r_peak_sample"], "r_peak_sample", 0.5)
-    cut = waveforms.beat_waves(timed, records, RECORD)
+    timed = storage.written(events.intervals(kept, RECORD, ["r_peak_sample"], "r_peak_sample", 0.5), "timed")
+    cut = storage.written(waveforms.beat_waves(timed, records, RECORD).filter("failure_code IS NULL"), "beats")
     rows = timed.join(cut.select(*RECORD, "source_index", "max_abs"), [*RECORD, "source_index"], "left")
     valid = events.validity(rows, RECORD, 300, 2000, F.col("max_abs") > 20).filter("valid")
-    own = valid.join(cut.select(*RECORD, "source_index", F.col("beat")[6].alias("V1")), [*RECORD, "source_index"])
-    return templates.mean_wave(own, RECORD, "V1").select(*RECORD, "n", r(F.element_at("V1", 251), "at_peak", 6), r(F.element_at("V1", 1), "at_start", 6))
+    own = valid.select(*RECORD, "source_index").join(cut, [*RECORD, "source_index"]).select(*RECORD, F.posexplode("beat").alias("k", "wave"))
+    names = F.array(*[F.lit(n) for n in waveforms.LEADS])
+    return templates.mean_wave(own, [*RECORD, "k"], "wave").select(*RECORD, F.get(names, F.col("k")).alias("lead"), "n", F.transform("wave", lambda v: F.round(v, 6)).alias("wave"))
 
 
 @query()
 def detector_grid(spark, sf_dir):
     """Candidates for nine detector settings, summed up over signals made from events."""
-    found = waveforms.detector_grid(signals(spark, sf_dir), RECORD)
-    return found.groupBy("min_peak_distance_ms", "mad_multiplier").agg(F.avg(F.col("beat_gate_pass").cast("double")).alias("pass_rate"), F.percentile("peak_count", F.lit(0.5)).alias("peak_median"), r(F.percentile("rr_in_range_fraction", F.lit(0.5)), "rr_median", 6))
+    keys = ["min_peak_distance_ms", "mad_multiplier"]
+    found = storage.written(waveforms.detector_grid(signals(spark, sf_dir), RECORD).drop("signal"), "grid")
+    out = found.groupBy(*keys).agg(F.count("failure_code").alias("failed"), F.avg(F.col("beat_gate_pass").cast("double")).alias("pass_rate"))
+    for value, name in (("peak_count", "peak_median"), ("rr_in_range_fraction", "rr_median")):
+        out = out.join(percentiles(found, keys, value, (0.5,)).select(*keys, F.col("percentiles")[0].alias(name)), keys, "left")
+    return out.select(*keys, "failed", "pass_rate", "peak_median", r("rr_median", digits=6))
 
 
 @query()
 def lead_spectra(spark, sf_dir):
     """Power and band shares per lead of signals made from events."""
-    return waveforms.spectra(signals(spark, sf_dir), RECORD).select(*RECORD, "lead", *[r(c, digits=6) for c in ("total_power", "baseline_ratio", "power_49_51_ratio", "power_40_100_ratio")], "zero_power")
+    return waveforms.spectra(signals(spark, sf_dir), RECORD).filter("failure_code IS NULL").select(*RECORD, "lead", *[r(c, digits=6) for c in ("total_power", "baseline_ratio", "power_49_51_ratio", "power_40_100_ratio")], "zero_power")
 
 
 @query("SELECT doc_id AS path, octet_length(encode(coalesce(text, '')))::bigint AS size, sha256(coalesce(text, '')) AS sha256 FROM documents")
