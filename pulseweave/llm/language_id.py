@@ -1,11 +1,12 @@
 """Language identification: known words first, then shorter and shorter character n-grams.
 
 Training counts words and their character n-grams (1 to ``longest``, with word
-ends marked) per language over labelled documents. It may use a sample: at most
-about ``most_docs`` documents, taken by a hash of the identifier at the same
-odds everywhere; counting is a Spark aggregation. Every word and n-gram that the
-training texts have ``least`` times or more is known; the sample bounds their
-number, and with it the model that the driver takes and sends to the tasks.
+ends marked) per language over labelled documents. It may use a sample of at most
+about ``most_docs`` documents, shared evenly between languages: each takes up to
+its share by a hash of the identifier, so a rare language is used whole. Counting is a Spark aggregation. Every word and n-gram that the
+training texts have ``least`` times or more is known (by default all, so a language with one document has its words);
+the sample bounds their number, and with it the model that the driver takes and sends to the tasks
+(in documents, not in their length).
 
 A whole text is scored by its distinct words: a known word gives its smoothed
 log frequency in each language; an unseen word is cut into known n-grams of the
@@ -114,12 +115,15 @@ class Model:
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most_docs: int = 8_000, least: int = 2, longest: int = 5) -> Model:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most_docs: int = 20_000, least: int = 1, longest: int = 5) -> Model:
     """Fit on labelled rows of ``docs``."""
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    n = labelled.count()
-    if n > most_docs:
-        labelled = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(most_docs / n * (1 << 30)))
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    langs = sorted(sizes)
+    if sum(sizes.values()) > most_docs:
+        share, odds = max(most_docs // len(langs), 1), 1 << 30
+        most = labelled.sparkSession.createDataFrame([(lang, int(min(1.0, share / n) * odds)) for lang, n in sizes.items()], "lang string, most long")
+        labelled = labelled.join(F.broadcast(most), "lang").filter(F.pmod(F.xxhash64("id"), F.lit(odds)) < F.col("most")).select("id", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +139,6 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
             langs, ks, keys = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ks, pa.int32()), pa.array(keys, pa.string()), pa.array(found.values(), pa.int64())], ["lang", "k", "key", "n"])
 
-    langs = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())  # of the sample
     counts = labelled.select("text", "lang").mapInArrow(run, "lang string, k int, key string, n long")
     by_lang = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)) for lang in langs]) if langs else F.array().cast("array<long>")
     known = counts.groupBy("k", "key").agg(F.sum("n").alias("all"), by_lang.alias("n")).filter(F.col("all") >= least)

@@ -609,6 +609,17 @@ def test_quality_classifier(spark, docs, empty):
     assert len(alone) == len(ROWS) and len({x.score for x in alone}) == 1
 
 
+def test_rare_languages_are_learnt(spark):
+    """A language with one document, of words that occur once, beside one with many."""
+    r = random.Random(9)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(6))
+    rows = [(k, " ".join(word("abcdefg") for _ in range(8)), "many") for k in range(400)] + [(1000, " ".join(words := [word("pqrstuv") for _ in range(8)]), "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.train(docs, most_docs=40)
+    assert model.langs == ["many", "one"] and all(w in model.words for w in words) and len(model.words) < 400 * 8 / 5
+    assert model.predict(words[2])[0] == "one" == model.predict("pqrst tuvpq")[0] and model.predict("abcab gfe")[0] == "many"
+
+
 def test_discriminant_is_the_log_density_difference():
     r = np.random.default_rng(0)
     d = len(quality_classifier.STATS)
