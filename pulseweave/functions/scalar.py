@@ -34,11 +34,6 @@ def md5_int(*parts: str | int | Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def stratum(*columns: str) -> Column:
-    """JSON list of the columns' text, blanks as MISSING and booleans as 1 or 0."""
-    return F.to_json(F.array(*[F.coalesce(present(F.when(F.col(c).cast("string") == "true", "1").when(F.col(c).cast("string") == "false", "0").otherwise(F.col(c).cast("string"))), F.lit(MISSING)) for c in columns]))
-
-
 def logistic(z: Column) -> Column:
     """1 / (1 + exp(-z)), z kept within 40."""
     return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))

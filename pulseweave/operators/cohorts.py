@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import dense_index, first_per_group
-from ..functions.scalar import let, present, record_hash, stratum
+from ..functions.scalar import let, present, record_hash
+from ..functions.text import normal_text, with_stratum
 
 #: Columns and note fields of the metadata, and the age that stands for "90 and over".
 REQUIRED = ("ecg_id", "patient_id", "age", "scp_codes", "strat_fold", "filename_hr")
@@ -139,8 +140,8 @@ def candidates(rows: DataFrame, labels: Sequence[str], folds: Sequence[int] = ra
 
 
 def one_per_patient(rows: DataFrame, seed: int, keys: Sequence[str] = ("label", "patient_id"), identity: str = "ecg_id") -> DataFrame:
-    """The record of each patient with the smallest hash, then text."""
-    rows = rows.withColumn("record_hash", record_hash("record", seed, F.col("patient_id"), F.col(identity)))
+    """The record of each patient with the smallest hash, then text. Patients that are named by text are one in any form of it."""
+    rows = normal_text(rows, ["patient_id"]).withColumn("record_hash", record_hash("record", seed, F.col("patient_id"), F.col(identity)))
     first = F.min_by(F.struct(*rows.columns), F.struct(F.col("record_hash"), F.col(identity).cast("string")))
     return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(first.alias("_row")).select("_row.*")
 
@@ -156,7 +157,7 @@ def quotas(rows: DataFrame, n: int, label: str = "label", by: str = "stratum") -
 
 def stratified_sample(rows: DataFrame, strata: Sequence[str], n: int, seed: int) -> DataFrame:
     """``n`` rows per label, by stratum quota and then by hash. A row's hash is compared inside its stratum only."""
-    rows = rows.withColumns({"stratum": stratum(*strata), "sample_hash": record_hash("sample", seed, F.col("label"), F.col("patient_id"))})
+    rows = with_stratum(normal_text(rows, ["patient_id"]), strata).withColumn("sample_hash", record_hash("sample", seed, F.col("label"), F.col("patient_id")))
     taken = quotas(rows, n).select("label", "stratum", "quota")
     first = first_per_group(rows, ["label", "stratum"], ["sample_hash", "ecg_id"], n)  # no quota exceeds n
     first = first.withColumn("stratum_rank", F.row_number().over(Window.partitionBy("label", "stratum").orderBy("sample_hash", "ecg_id")))

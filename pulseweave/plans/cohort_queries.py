@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import md5_int
+from ..functions.text import with_stratum
 from ..operators import cohorts as C
 from .registry import query, r, table
 
@@ -91,9 +92,24 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CTES + SAMPLE + "q AS (SELECT 1) SELECT label, stratum, size, total, quota FROM qt")
 def sample_quotas(spark, sf_dir):
-    from ..functions.scalar import stratum
+    return C.quotas(with_stratum(one_each(spark, sf_dir), ["device", "site"]), N)
 
-    return C.quotas(one_each(spark, sf_dir).withColumn("stratum", stratum("device", "site")), N)
+
+NAMES = ("caf\u00e9", "cafe\u0301", "true", " \u00c5ngstr\u00f6m\u00a0", "A\u030angstro\u0308m", " \t")
+
+
+@query(
+    f"""WITH c AS (SELECT c_acctbal > 0 AS b, CASE c_custkey % 7 {' '.join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(NAMES))} END AS n FROM customer),
+t AS (SELECT b, coalesce(nullif(trim(nfc_normalize(n), ' ' || chr(9) || chr(160)), ''), '<MISSING>') AS n FROM c)
+SELECT '["' || n || '","' || b::int || '"]' AS stratum, count(*) AS n FROM t GROUP BY ALL"""
+)
+def strata_of_any_form(spark, sf_dir):
+    """Strata by names that come composed and decomposed, by text that says true, and by a boolean."""
+    name = F.when(F.lit(False), "")
+    for k, n in enumerate(NAMES):
+        name = name.when(F.col("c_custkey") % 7 == k, n)
+    rows = table(spark, sf_dir, "customer").select(name.alias("name"), (F.col("c_acctbal") > 0).alias("rich"))
+    return with_stratum(rows, ["name", "rich"]).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(CTES + SAMPLE + "q AS (SELECT 1) SELECT ecg_id, label, stratum, stratum_rank, sample_hash FROM sa")
