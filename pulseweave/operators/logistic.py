@@ -125,3 +125,23 @@ def with_unusable_folds(scored: DataFrame, template_status: DataFrame, fold: str
     bad = template_status.filter(F.col("status") != "ok").select(*on).distinct().withColumn("_bad", F.lit(True))
     out = scored.join(bad, on, "left")
     return out.select(*[c for c in scored.columns if c != "score"], F.when(F.col("_bad").isNull(), F.col("score")).alias("score"), F.when(F.col("_bad").isNull(), "ok").otherwise("insufficient_train_prototypes").alias("score_status"))
+
+
+def completed(scored: DataFrame, records: DataFrame, template_status: DataFrame, keys: Sequence[str], fold: str, identity: str, seeds: Sequence[int], models: Sequence[str]) -> DataFrame:
+    """``scored`` and, for folds without usable templates, a row with a null score for each record, seed and model that nobody scored.
+
+    Such a fold may have been left out whole, so the expected rows come from ``records`` (the
+    configuration's test records: ``keys``, identity, fold and whatever else a score carries) and the status; what is there already stays.
+    A null identity is a record of its own. The status column says ``ok`` or ``insufficient_train_prototypes``.
+    """
+    on = [*keys, fold]
+    marked = with_unusable_folds(scored, template_status, fold, keys)
+    bad = template_status.filter(F.col("status") != "ok").select(*on).distinct()
+    grid = records.join(bad, on).withColumn("seed", F.explode(F.array(*[F.lit(s).cast(scored.schema["seed"].dataType) for s in seeds]))).withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    have = [*on, identity, "seed", "model"]
+    known = marked.select(*[F.col(c).alias(f"_{c}") for c in have])
+    same = F.lit(True)
+    for c in have:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    missing = grid.join(known, same, "left_anti").withColumns({"score": F.lit(None).cast("double"), "score_status": F.lit("insufficient_train_prototypes")})
+    return marked.unionByName(missing.select(*[c for c in marked.columns if c in missing.columns]), allowMissingColumns=True)

@@ -28,6 +28,11 @@ def auroc(rows: DataFrame, keys: Sequence[str], score: str = "score", label: str
     keys = list(keys)
     w = F.lit(1) if weight is None else F.col(weight)
     at = rows.filter(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("_p"), F.sum(F.when(F.col(label) == 0, w).otherwise(0)).alias("_n"))
+    return _by_score(at, keys, threshold)
+
+
+def _by_score(at: DataFrame, keys: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    """The metrics of ``auroc`` from a row per group and distinct score ``_s`` with its positives ``_p`` and negatives ``_n``."""
     at = at.withColumn("_b", F.least(F.greatest(F.floor(F.col("_s") * BUCKETS), F.lit(-1)), F.lit(BUCKETS)))
     inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     hits = [F.sum(F.when(F.col("_s") >= threshold, F.col("_p")).otherwise(0)).alias("_hp"), F.sum(F.when(F.col("_s") < threshold, F.col("_n")).otherwise(0)).alias("_hn")]
@@ -53,6 +58,28 @@ def oof_metrics(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.withColumns({"missing": F.col("expected") - F.col("evaluated"), "coverage": F.when(F.col("expected") == F.col("evaluated"), "complete").otherwise("partial_not_full_CV")})
 
 
+def oof_metrics_levels(predictions: DataFrame, keys: Sequence[str], fold: str) -> DataFrame:
+    """``oof_metrics`` per group and fold, and pooled over folds (``fold`` null, level ``pooled``), from one scan.
+
+    Rows are counted per group, fold and score once; grouping sets add these counts up
+    to both levels, and both metrics come from running sums per set.
+    """
+    keys = list(keys)
+    counts = {"_p": F.col("label") == 1, "_n": F.col("label") == 0, "_rows": F.lit(True)}
+    parts = predictions.groupBy(*keys, fold, F.col("score").alias("_s")).agg(*[F.sum(c.cast("long")).alias(n) for n, c in counts.items()])
+    level = F.when(F.grouping(fold) == 1, "pooled").otherwise("fold")
+    sets = parts.groupingSets([[*keys, fold, "_s"], [*keys, "_s"]], *keys, fold, "_s").agg(level.alias("level"), *[F.sum(F.coalesce(n, F.lit(0))).alias(n) for n in counts])
+    by_level = [*keys, "level", fold]
+    scored = F.col("_s").isNotNull()
+    totals = sets.groupBy(*by_level).agg(F.sum("_rows").alias("expected"), F.sum(F.when(scored, F.col("_rows")).otherwise(0)).alias("evaluated"))
+    ranks = _by_score(sets.filter(scored), by_level).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by_level)], "auroc", "balanced_accuracy")
+    same = F.lit(True)
+    for i, k in enumerate(by_level):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = totals.join(ranks, same, "left").select(*totals.columns, "auroc", "balanced_accuracy")
+    return out.withColumns({"missing": F.col("expected") - F.col("evaluated"), "coverage": F.when(F.col("expected") == F.col("evaluated"), "complete").otherwise("partial_not_full_CV")})
+
+
 def spread(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Median and quartile range of a value per group."""
     q = lambda p: F.percentile(value, F.lit(p))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +25,41 @@ def orders(valid: DataFrame, keys: Sequence[str], seeds: Sequence[int], identity
     return rows.withColumn("valid_position", F.row_number().over(by([*keys, "seed"], draw, "beat_index")) - 1)
 
 
+def seeded_permutations(sizes: DataFrame, key: str, size: str, seeds: Sequence[int], block: int = 100_000) -> DataFrame:
+    """key, seed, valid_position, vector_origin: for each record the permutation that NumPy's default generator draws from SeedSequence([seed, key]); seed 0 changes nothing.
+
+    A stream of random numbers is seeded per record and seed, so any task can draw it: the table of sizes, a row per record, is dealt out, and no record's rows are gathered.
+    Keys are integers from 0; a permutation is one record's numbers at a time and is sent in blocks.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for seed in seeds:
+                    order = np.arange(n) if seed == 0 else np.random.default_rng(np.random.SeedSequence([seed, own])).permutation(n)
+                    for at in range(0, n, block):
+                        part = order[at : at + block]
+                        columns = [np.full(len(part), own), np.full(len(part), seed, np.int32), np.arange(at, at + len(part)), part]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "seed", "valid_position", "vector_origin"])
+
+    rows = sizes.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(size).cast("long").alias("n"))
+    return rows.mapInArrow(run, "key long, seed int, valid_position long, vector_origin long").withColumnRenamed("key", key)
+
+
+def numpy_orders(valid: DataFrame, key: str, seeds: Sequence[int]) -> DataFrame:
+    """``orders`` with the permutations of NumPy's generator instead of hashes: valid events once per seed with vector_origin and valid_position."""
+    moved = seeded_permutations(valid.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key, "_n", seeds)
+    return valid.withColumn("vector_origin", F.col("beat_index").cast("long")).join(moved, [key, "vector_origin"])
+
+
 def adjacent_stats(valid: DataFrame, keys: Sequence[str], values: Sequence[str], seeds: Sequence[int], identity: str) -> DataFrame:
     """Four statistics of the steps between neighbours for each seed: permuted values under the mask of the original places, whose number of pairs no seed changes."""
     keys = list(keys)
-    moved = orders(valid, keys, seeds, identity).drop("edge")
+    return moved_stats(orders(valid, keys, seeds, identity), valid, keys, values)
+
+
+def moved_stats(moved: DataFrame, valid: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """``adjacent_stats`` of events that are permuted already."""
+    keys, moved = list(keys), moved.drop("edge")
     mask = valid.select(*keys, F.col("beat_index").alias("valid_position"), "edge")
     rows = steps(moved.join(mask, [*keys, "valid_position"]), [*keys, "seed"], "valid_position", values)
     return four_stats(rows, [*keys, "seed"], values, 2, [F.sum(F.coalesce(F.col("edge"), F.lit(False)).cast("int")).alias("pairs")])

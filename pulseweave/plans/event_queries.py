@@ -158,6 +158,14 @@ def shuffle_invariance(spark, sf_dir):
     return found.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("seeds"), F.countDistinct("pairs").alias("distinct_pairs"))
 
 
+@query()
+def numpy_shuffled_stats(spark, sf_dir):
+    """The adjacent statistics of orders drawn by NumPy's generator, which SQL does not have; held to NumPy in the tests."""
+    valid = valid_edges(spark, sf_dir)
+    found = shuffles.moved_stats(shuffles.numpy_orders(valid, "user_id", [0, 7001, 7002, 7003, 7004, 7005]), valid, KEYS, VALUES)
+    return found.select("user_id", "seed", F.col("pairs").cast("long").alias("pairs"), *stat_columns())
+
+
 @query(
     CTES
     + """ok AS (SELECT *, lead(rr_next_ms) OVER (PARTITION BY user_id ORDER BY source_index) - rr_next_ms AS step FROM iv WHERE rr_next_ms IS NOT NULL),

@@ -67,6 +67,13 @@ def oof_metrics_by_fold(spark, sf_dir):
     return pooled(spark, sf_dir, [*CFG, "fold"])
 
 
+@query(CTES + POOLED + BY_FOLD + DONE + ", x AS (SELECT stage, seed, model, 'pooled' AS level, NULL::int AS fold, expected, evaluated, missing, auroc, balanced_accuracy, coverage FROM po UNION ALL SELECT stage, seed, model, 'fold', fold, expected, evaluated, missing, auroc, balanced_accuracy, coverage FROM bf) SELECT * FROM x")
+def oof_metrics_levels(spark, sf_dir):
+    """Pooled metrics and those of each fold, from one scan of the predictions."""
+    found = metrics.oof_metrics_levels(predictions(spark, sf_dir), CFG, "fold")
+    return found.select(*CFG, "level", "fold", "expected", "evaluated", "missing", r("auroc", digits=8), r("balanced_accuracy", digits=8), "coverage")
+
+
 @query(CTES + BY_FOLD + DONE + "SELECT stage, seed, model, count(auroc) AS n, round(median(auroc), 6) AS median, round(quantile_cont(auroc, 0.75) - quantile_cont(auroc, 0.25), 6) AS iqr FROM bf GROUP BY stage, seed, model")
 def fold_auc_spread(spark, sf_dir):
     return metrics.spread(pooled(spark, sf_dir, [*CFG, "fold"]), CFG, "auroc").select(*CFG, "n", r("median", digits=6), r("iqr", digits=6))
