@@ -11,10 +11,13 @@ for tokens in a marked article and once for tokens outside of it on a page that
 has one; the odds are those of a token of that kind to be inside. So markup is evidence like any other, and the sum decides.
 
 What HTML or class names declare to be menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts or styles is taken out before the
-scan, unless that holds the marked article or most of the words in paragraphs
-(an element of such a name that its own end tag closes is taken out in any case);
-the header of an article is its own. The run is widened to whole blocks. Character
+notices, adverts, forms or comments is a feature too: it turns a word's score negative (the log odds of
+such words in labelled pages, below zero), unless the element holds the marked article or most of the words in paragraphs
+(an element of such a name that its own end tag closes is never spared);
+the header of an article is its own. The run goes over all tokens of the page; what it takes is widened to whole
+blocks, and of these only words with a score above zero are text. In a marked article, a word with such a name
+around it costs little, so that an advert does not part the article in two. Scripts and styles are no tokens. Names are read
+in pieces: ``commentList``, ``comment-list`` and ``comment_list`` are the same. Character
 references are decoded, white space inside a block (a line break is such) becomes
 one space, and blocks are joined by two newlines.
 
@@ -65,7 +68,9 @@ WORD_KINDS = ("p", "a", "li", "heading", "cell", "other")
 #: Least weight of a word.
 LEAST = 0.01
 #: Weights of kinds that no labelled page has, and of those inside of a marked article.
-DEFAULT = {"word": 1.0, "tag": -3.0, "in|word": 3.0, "in|tag": -0.1, "in|a": -1.0, "in|/a": -1.0, "in|word:a": 0.3}
+DEFAULT = {"word": 1.0, "tag": -3.0, "in|word": 3.0, "in|tag": -0.1, "in|a": -1.0, "in|/a": -1.0, "in|word:a": 0.3, **{f"{end}{name}": -0.3 for name in "p h1 h2 h3 b i em strong br blockquote".split() for end in ("", "/")}}
+#: Score of a word, and of a tag, under a name that says it is not content: without labelled pages, and in a marked article.
+NAMED_WORD, NAMED_TAG, NAMED_INSIDE = -0.5, -0.1, -0.02
 
 
 def _word_kind(stack: list[tuple[str, bool]]) -> str:
@@ -81,8 +86,12 @@ def _word_kind(stack: list[tuple[str, bool]]) -> str:
     return "other"
 
 
+#: Where a name in camel case has its pieces.
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
+
+
 def _named_outside(attrs: str) -> bool:
-    return any(OUTSIDE_WORDS.search(LAYOUT_WORDS.sub("", " ".join(x))) for x in NAMED.findall(attrs))
+    return any(OUTSIDE_WORDS.search(CAMEL.sub("-", LAYOUT_WORDS.sub("", CAMEL.sub("-", " ".join(x))))) for x in NAMED.findall(attrs))
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
@@ -171,7 +180,9 @@ def count_kinds(page: str) -> Counter:
         before = own
         n = len(text.split()) if text else 1
         found[kind, own and not outside] += n
-        if not outside:
+        if outside:
+            found["named", own] += n
+        else:
             found[f"{place}|{kind}", own] += n
     return found if articles == 1 else Counter()
 
@@ -189,10 +200,18 @@ def fit(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(insides, pa.bool_()), pa.array(n, pa.int64())], ["kind", "inside", "n"])
 
     counts = pages.select(F.col(html_col).cast("string").alias("html")).mapInArrow(run, "kind string, inside boolean, n long").groupBy("kind").agg(F.sum(F.when(F.col("inside"), F.col("n"))).alias("inside"), F.sum(F.when(~F.col("inside"), F.col("n"))).alias("outside")).collect()
+    return weights_of({r["kind"]: (r["inside"] or 0, r["outside"] or 0) for r in counts})
+
+
+def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """The weight of each kind from its tokens in and out of marked articles."""
     weights = {}
-    for r in counts:
-        odds = log(((r["inside"] or 0) + 1) / ((r["outside"] or 0) + 1))
-        weights[r["kind"]] = min(max(odds, LEAST), 3.0) if "word:" in r["kind"] else max(min(odds, -0.1), -6.0)
+    for kind, (inside, outside) in counts.items():
+        odds = log((inside + 1) / (outside + 1))
+        if kind == "named":  # such words in a marked article are not content either: below zero in any case
+            weights[kind] = max(min(odds, NAMED_WORD), -3.0)
+        else:
+            weights[kind] = min(max(odds, LEAST), 3.0) if "word:" in kind else max(min(odds, -0.1), -6.0)
     return weights
 
 
@@ -208,29 +227,37 @@ def best_run(scores: Sequence[float]) -> tuple[int, int]:
     return low, high
 
 
+def score_of(weights: dict[str, float], kind: str, outside: bool, place: str) -> float:
+    """The score of one word, or of a tag."""
+    word = kind.startswith("word:")
+    if outside:
+        return NAMED_INSIDE if place == "in" else weights.get("named", NAMED_WORD) if word else NAMED_TAG
+    weight = weights.get(f"{place}|{kind}")
+    if weight is not None:
+        return weight
+    if place == "in":
+        return DEFAULT.get(f"in|{kind}", DEFAULT["in|word" if word else "in|tag"])
+    return weights.get(kind, DEFAULT["word"] if word else DEFAULT["tag"] if place else DEFAULT.get(kind, DEFAULT["tag"]))
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     blocks: list[list[str]] = [[]]
     scores: list[float] = []
-    places: list[int] = []  # the block of each score, -1 for tags
+    places: list[int] = []  # the block of each score above zero, else -1
     for kind, text, outside, place in tokens(page):
-        word = kind.startswith("word:")
-        if not word:
-            if kind.lstrip("/") in BLOCKS:
-                if blocks[-1]:
-                    blocks.append([])
-            elif kind == "br" and not outside:
-                blocks[-1].append(" ")
-        if outside:
-            continue
-        weight = weights.get(f"{place}|{kind}")
-        if weight is None:
-            weight = DEFAULT.get(f"in|{kind}", DEFAULT["in|word" if word else "in|tag"]) if place == "in" else weights.get(kind, DEFAULT["word" if word else "tag"])
+        word, weight = kind.startswith("word:"), score_of(weights, kind, outside, place)
         if word:
-            blocks[-1].append(text)
+            if weight > 0:
+                blocks[-1].append(text)
+        elif kind.lstrip("/") in BLOCKS:
+            if blocks[-1]:
+                blocks.append([])
+        elif kind == "br" and not outside:
+            blocks[-1].append(" ")
         scores.append(weight * len(text.split()) if word else weight)
-        places.append(len(blocks) - 1 if word and text.strip() else -1)
+        places.append(len(blocks) - 1 if weight > 0 and text.strip() else -1)
     low, high = best_run(scores)
     texts = (" ".join("".join(blocks[b]).split()) for b in sorted({b for b in places[low:high] if b >= 0}))
     return "\n\n".join(t for t in texts if t)

@@ -40,9 +40,45 @@ def test_extract(spark):
             assert by_page[i] == text
     assert by_page[None] == "" and html_text.extract(pages.limit(0)).count() == 0
     weights = html_text.fit(pages)
-    assert all((w > 0) == ("word:" in k) for k, w in weights.items())
+    assert all((w > 0) == ("word:" in k) for k, w in weights.items()) and weights["named"] < 0
 
 
 def test_long_page_is_linear():
     page = "<article>" + "<p>word word</p>" * 20000 + "<div title=\"" * 300
     assert len(html_text.main_text(page, WEIGHTS)) > 190000
+
+
+@pytest.mark.parametrize("name", ["commentList", "googleAd", "CommentsBox", "siteFooter", "comment-list", "comment_list", "navBar"])
+def test_names_in_pieces(name):
+    page = f"<article><h1>T</h1><p>one two three four</p><div class='{name}'><p>not this</p></div><p>five six</p></article><div id={name}>nor this</div>"
+    for weights in (WEIGHTS, {}):
+        assert html_text.main_text(page, weights) == "T\n\none two three four\n\nfive six"
+
+
+@pytest.mark.parametrize("name", ["reading", "adapter", "shadow", "has-sidebar", "hasSidebar", "Addendum", "headerless"])
+def test_names_that_only_look_alike(name):
+    page = f"<article><p>one two</p><div class='{name}'><p>this too</p></div></article>"
+    assert html_text.main_text(page, WEIGHTS) == "one two\n\nthis too"
+
+
+def test_heading_before_the_paragraphs_of_an_unmarked_page():
+    page = "<div><a href=x>menu</a></div><h1>Title</h1><p>" + "word " * 20 + "</p><p>end here</p><div><a>x</a></div>"
+    assert html_text.main_text(page, {}) == "Title\n\n" + " ".join(["word"] * 20) + "\n\nend here"
+
+
+def test_an_advert_does_not_part_an_article():
+    page = "<article><p>short one</p><div class='ad'><p>" + "buy now " * 40 + "</p></div><p>short two</p></article>"
+    for weights in (WEIGHTS, {}):
+        assert html_text.main_text(page, weights) == "short one\n\nshort two"
+
+
+def test_the_run_decides_without_names(spark, monkeypatch):
+    """Weights fitted on marked pages cut menus and footers off; without the scan they stay."""
+    page = lambda k: f"<body><nav><ul><li><a>go {k}</a></li><li><a>there</a></li></ul></nav><div class=x>buy {k}</div><article><h1>T {k}</h1><p>text of {k} here</p><p>and more</p></article><footer>made by {k}</footer></body>"
+    monkeypatch.setattr(html_text, "_named_outside", lambda attrs: False)
+    monkeypatch.setattr(html_text, "OUTSIDE", frozenset())
+    counts = sum((html_text.count_kinds(page(k)) for k in range(20)), html_text.Counter())
+    weights = html_text.weights_of({k: (counts[k, True], counts[k, False]) for k, _ in counts})
+    assert html_text.main_text(page(3), weights) == "T 3\n\ntext of 3 here\n\nand more"
+    monkeypatch.setattr(html_text, "best_run", lambda scores: (0, len(scores)))
+    assert html_text.main_text(page(3), weights) == "go 3\n\nthere\n\nbuy 3\n\nT 3\n\ntext of 3 here\n\nand more\n\nmade by 3"
