@@ -148,6 +148,62 @@ def manifest_records(spark, sf_dir):
     return manifest.join(signals, F.col("c_custkey") == F.col("record"), "left")
 
 
+#: What is planted in the files of every 20th record and so on; all others are good.
+PLANTED = {k + 1: code for k, code in enumerate(records.CODES)}
+_PLANT = " ".join(f"WHEN {k} THEN '{c}'" for k, c in PLANTED.items())
+
+
+def record_files(rows):
+    """path and content of the two files of each record: three vectors as leads, in thousandths, the leads in turn; records with a plant are broken as it says."""
+    at = F.col("record") % 20
+    plant = F.lit("")
+    for k, code in PLANTED.items():
+        plant = F.when(at == k, code).otherwise(plant)
+    digits = F.transform(F.arrays_zip("a", "b", "c"), lambda z: F.array(z["a"], z["b"], z["c"]))
+    byte = lambda v: F.to_binary(F.concat(F.substring(v, 3, 2), F.substring(v, 1, 2)), F.lit("hex"))
+    word = lambda v: byte(F.lpad(F.hex((v + 65536) % 65536), 4, "0"))
+    value = lambda v: F.round(v.cast("double") * 1000).cast("long") + 7
+    rows = rows.withColumn("plant", plant).withColumns({c: F.transform(c, value) for c in "abc"})
+    first = F.when(F.col("plant") == "invalid_digital_sentinel", -32768).otherwise(F.get(F.col("a"), 0))
+    rows = rows.withColumn("a", F.transform("a", lambda v, k: F.when(k == 0, first).otherwise(v)))
+    data = F.aggregate(F.flatten(digits), F.lit(b""), lambda s, v: F.concat(s, word(v)))
+    data = F.when(F.col("plant") == "missing_data", F.lit(None)).when(F.col("plant") == "data_size_mismatch", F.concat(data, F.lit(b"\0"))).when(F.col("plant") == "noncanonical_leads", F.concat(data, data, data, data)).otherwise(data)
+    said = lambda code, other, usual: F.when(F.col("plant") == code, F.lit(other)).otherwise(F.lit(usual))
+    name = F.concat(F.lit("r"), F.col("record").cast("string"))
+    leads = said("noncanonical_leads", "12", "3")
+    count = F.when(F.col("plant") == "data_size_limit", F.lit("400000000")).otherwise(F.size("a").cast("string"))
+
+    def line(k: int, lead: str):
+        folder = said("unsafe_path", "../", "")
+        file = F.concat(folder, name, said("unsupported_multifile", str(k), "") if k else F.lit(""), F.lit(".dat"))
+        form = F.concat(said("unsupported_format", "212", "16"), said("unsupported_format_modifier", "x2", ""))
+        gain = F.when(F.col("plant") == "nonfinite_signal", F.lit("1e-308(7)/")).when(F.col("plant") == "malformed_header", F.lit("none(7)/")).otherwise(F.lit("1000(7)/"))
+        return F.concat(file, F.lit(" "), form, F.lit(" "), gain, said("unsupported_unit", "foo", "mV"), F.lit(f" 16 0 0 0 0 {lead}\n"))
+
+    lines = F.concat(*[line(k, lead) for k, lead in enumerate(("V1", "V5", "V6"))])
+    lines = F.concat(lines, F.when(F.col("plant") == "noncanonical_leads", F.concat(lines, lines, lines)).otherwise(F.lit("")), said("header_read_error", "\u00e9\n", ""))
+    header = F.when(F.col("plant") != "missing_header", F.concat(name, F.lit(" "), leads, F.lit(" 500 "), count, F.lit("\n"), lines).cast("binary"))
+    folder = F.concat((F.col("record") % 8).cast("string"), F.lit("/"), name)
+    both = F.array(F.struct(F.concat(folder, F.lit(".hea")).alias("path"), header.alias("content")), F.struct(F.concat(folder, F.lit(".dat")).alias("path"), data.alias("content")))
+    return rows.select(F.explode(both).alias("f")).select("f.*").filter("content IS NOT NULL")
+
+
+@query(
+    f"""WITH p AS (SELECT vec_id // 3 AS record, vec_id % 3 AS lead, list_sum(list_transform(embedding::double[], lambda x: round(x * 1000) / 1000)) AS s FROM embeddings),
+w AS (SELECT record, max(s) FILTER (lead = 0) AS a, max(s) FILTER (lead = 1) AS b, max(s) FILTER (lead = 2) AS c FROM p GROUP BY record HAVING count(*) = 3),
+f AS (SELECT *, CASE record % 20 {_PLANT} END AS failure_code FROM w)
+SELECT record, failure_code, failure_code IS NULL AS ok, CASE WHEN failure_code IS NULL THEN 3 END AS leads, CASE WHEN failure_code IS NULL THEN round(a, 3) END AS v1, CASE WHEN failure_code IS NULL THEN round(b, 3) END AS v5, CASE WHEN failure_code IS NULL THEN round(c, 3) END AS v6 FROM f"""
+)
+def ingested_records(spark, sf_dir):
+    """Records written as header and data files by the tasks, every code planted, and read again: code, or sums of the samples."""
+    rows = table(spark, sf_dir, "embeddings").withColumns({"record": F.floor(F.col("vec_id") / 3), "lead": F.col("vec_id") % 3}).groupBy("record").pivot("lead", [0, 1, 2]).agg(F.first("embedding")).withColumnsRenamed({"0": "a", "1": "b", "2": "c"})
+    folder = _path(spark, "records")
+    records.write_files(record_files(rows.dropna(subset=["a", "b", "c"])), folder).write.format("noop").mode("overwrite").save()
+    found = records.read_records(spark, folder)
+    total = lambda k: r(F.aggregate(F.get("signal", k), F.lit(0.0), lambda s, v: s + v), f"v{(1, 5, 6)[k]}", 3)
+    return found.select(F.regexp_extract("record", r"r(\d+)$", 1).cast("long").alias("record"), "failure_code", "ok", F.when(F.col("ok"), F.size("lead_names")).alias("leads"), *[total(k) for k in range(3)])
+
+
 PLATEAU = """WITH cl AS (SELECT vec_id, i, least(greatest(round(v, 1), -0.1), 0.1) AS v FROM (SELECT vec_id, unnest(embedding::double[]) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)),
 mm AS (SELECT *, min(v) OVER (PARTITION BY vec_id) AS lo, max(v) OVER (PARTITION BY vec_id) AS hi FROM cl),
 h AS (SELECT vec_id, count(*) AS n FROM (SELECT vec_id, i - row_number() OVER (PARTITION BY vec_id ORDER BY i) AS g FROM mm WHERE v = lo) GROUP BY vec_id, g

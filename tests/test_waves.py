@@ -163,6 +163,18 @@ def test_records(spark, tmp_path):
     assert {k: v.failure_code for k, v in found.items()} == {"good": None, "short": "data_size_mismatch", "format": "unsupported_format", "unit": "unsupported_unit", "gone": "missing_data", "sentinel": "invalid_digital_sentinel", "alone": "missing_header"}
     assert found["good"].lead_names == list(waveforms.LEADS)
     assert np.allclose(found["good"].signal, (digital[:, ::-1] / 1000).T, atol=1e-6)
+    # a header names its data file, in a folder below too; units and leads in any case
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "other.dat").write_bytes(digital.tobytes())
+    text = HEADER.format(name="named", fmt="16+0", unit="UV", n=50).replace("named.dat", "sub/other.dat").replace("aVR", "AVR")
+    (tmp_path / "named.hea").write_text(text)
+    for name, line in {"empty": "# nothing\n", "neg": "x 1 500 5\nx.dat 16 -3/mV 0 0 0 0 0 I\n", "huge": "x 1 500 600000000\nnamed.dat 16 1/mV 0 0 0 0 0 I\n", "abs": "x 1 500 5\n/x.dat 16 1/mV 0 0 0 0 0 I\n", "up": "x 1 500 5\na/../x.dat 16 1/mV 0 0 0 0 0 I\n"}.items():
+        (tmp_path / f"{name}.hea").write_text(line)
+    (tmp_path / "named.dat").write_bytes(b"\0\0")
+    found = {x.record.rsplit("/", 1)[1]: x for x in records.read_records(spark, str(tmp_path)).collect()}
+    codes = {"named": None, "empty": "malformed_header", "neg": "malformed_header", "huge": "data_size_limit", "abs": "malformed_header", "up": "unsafe_path"}
+    assert {k: found[k].failure_code for k in codes} == codes and len(found) == 13
+    assert np.allclose(found["named"].signal, (digital[:, ::-1] / 1e6).T, atol=1e-6) and found["named"].lead_names == list(waveforms.LEADS)
     gated = records.shape_gate(records.read_records(spark, str(tmp_path)), samples=51)
     assert {x.failure_code for x in gated.filter("record LIKE '%good'").collect()} == {"shape_mismatch"}
 
