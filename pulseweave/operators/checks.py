@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -126,3 +128,49 @@ def label_invariance(run: Callable[[DataFrame], dict[str, DataFrame]], rows: Dat
     before, after = run(flipped(rows, label, fold, folds, False, held)), run(flipped(rows, label, fold, folds, True, held))
     found = [unchanged_groups(before[t], after[t], keys, values[t], digits).select(F.lit(t).alias("table"), *keys, "rows_first", "rows_second", "unchanged") for t in before]
     return union_all(*found)
+
+
+class FaultsFound(ValueError):
+    """A table that was to be written breaks rules; ``faults`` says which and how often."""
+
+    def __init__(self, faults: dict[str, int]):
+        super().__init__(", ".join(f"{rule}: {n}" for rule, n in faults.items()))
+        self.faults = faults
+
+
+def write_checked(df: DataFrame, path: str, rules: dict[str, Column], totals: dict[str, Column] | None = None, stop: bool = False) -> dict[str, int]:
+    """Write ``df`` to ``path/data`` and check it on the way, without another scan; returns rows and faults by rule.
+
+    ``rules`` are columns that are true for a faulty row (null counts as faulty), ``totals`` aggregates that are above 0 if the whole table is at fault. All are
+    observed as rows are written. With ``stop``, the first faulty row ends the job by the name of its rule instead.
+    A table is published by ``path/checks``, which is written only if nothing was found; ``read_checked`` refuses any other.
+    """
+    bad = {name: F.coalesce(c, F.lit(True)) for name, c in rules.items()}
+    if stop:
+        fault = F.lit(None).cast("string")
+        for name, c in bad.items():
+            fault = F.when(fault.isNull() & c, F.lit(f"fault: {name}")).otherwise(fault)
+        df = df.filter(F.when(fault.isNull(), True).otherwise(F.raise_error(fault).cast("boolean")))
+    seen = Observation()
+    sums = [F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name) for name, c in bad.items()] + [F.coalesce(c.cast("long"), F.lit(0)).alias(name) for name, c in (totals or {}).items()]
+    try:
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *sums).write.mode("errorifexists").parquet(f"{path}/data")
+    except Exception as e:
+        named = re.search(r"fault: ([^\n\"']+)", str(e))
+        if not (stop and named):
+            raise
+        raise FaultsFound({named[1].split(" SQLSTATE")[0].rstrip(". "): 1}) from e
+    found = seen.get
+    if faults := {name: n for name, n in found.items() if name != "rows" and n}:
+        raise FaultsFound(faults)
+    df.sparkSession.createDataFrame([(name, int(n)) for name, n in found.items()], "rule string, n long").write.mode("errorifexists").parquet(f"{path}/checks")
+    return dict(found)
+
+
+def read_checked(spark: SparkSession, path: str) -> DataFrame:
+    """A table that was written without a fault."""
+    try:
+        spark.read.parquet(f"{path}/checks")
+    except AnalysisException as e:
+        raise FaultsFound({"not checked": 1}) from e
+    return spark.read.parquet(f"{path}/data")

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import as_json
 from ..functions.storage import shared_dir
-from ..operators import checks, logistic, quality
+from ..operators import checks, events, logistic, quality
 from ..operators import cohorts as C
 from ..operators.waveforms import LEADS
 from ..sources import records, tables
-from . import cohort_queries, score_queries, wave_queries
+from . import cohort_queries, event_queries, score_queries, wave_queries
 from .registry import query, r, table
 
 
@@ -204,6 +204,41 @@ def ingested_records(spark, sf_dir):
     return found.select(F.regexp_extract("record", r"r(\d+)$", 1).cast("long").alias("record"), "failure_code", "ok", F.when(F.col("ok"), F.size("lead_names")).alias("leads"), *[total(k) for k in range(3)])
 
 
+STORE = """st AS (SELECT 'stage1' AS stage, user_id, beat_index, value FROM ed UNION ALL SELECT 'stage2', user_id, row_number() OVER (PARTITION BY user_id ORDER BY beat_index) - 1, value FROM ed WHERE event_type <> 'view'),
+n AS (SELECT stage, user_id, count(*) AS n, sum(value * (beat_index + 1)) AS s FROM st GROUP BY stage, user_id),
+q AS (SELECT stage, user_id, coalesce(sum(n) OVER (PARTITION BY stage ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS first, sum(n) OVER (PARTITION BY stage ORDER BY user_id)::bigint AS "end", round(s, 6) AS in_order FROM n)"""
+
+
+@query(event_queries.CTES + STORE + " SELECT * FROM q")
+def ragged_store(spark, sf_dir):
+    """Values of valid events in a ragged store per stage, read again by their offsets; the sum depends on their order."""
+    valid = event_queries.valid_edges(spark, sf_dir)
+    fewer = valid.filter("event_type <> 'view'").withColumn("beat_index", F.row_number().over(events.by(["user_id"], "beat_index")) - 1)
+    rows = checks.union_all(*[x.select(F.lit(stage).alias("stage"), "user_id", "beat_index", "value") for stage, x in (("stage1", valid), ("stage2", fewer))])
+    path = _path(spark, "ragged")
+    tables.write_ragged(rows, path, ["stage"], "user_id", "beat_index", F.floor(F.col("user_id") / 1024))
+    stored, offsets = tables.read_ragged(spark, path)
+    places = offsets.withColumn("row", F.explode(F.sequence("first", F.col("end") - 1)))
+    back = places.join(stored.select("stage", "row", "value"), ["stage", "row"])
+    return back.groupBy("stage", "user_id").agg(F.first("first").alias("first"), F.first("end").alias("end"), r(F.sum(F.col("value") * (F.col("row") - F.col("first") + 1)), "in_order", 6))
+
+
+@query(score_queries.CTES + """q AS (SELECT 1) SELECT 'rows' AS rule, count(*)::bigint AS n FROM pr
+UNION ALL SELECT 'fold outside 1 to 8', count(*) FILTER (coalesce(fold NOT BETWEEN 1 AND 8, true)) FROM pr UNION ALL SELECT 'label not 0 or 1', count(*) FILTER (coalesce(label NOT IN (0, 1), true)) FROM pr
+UNION ALL SELECT 'score outside 0 to 1', count(*) FILTER (score < 0 OR score > 1) FROM pr UNION ALL SELECT 'another model', count(*) FILTER (model NOT IN ('A', 'B', 'C')) FROM pr
+UNION ALL SELECT 'models with other numbers of rows', (SELECT max(n) - min(n) FROM (SELECT count(*) AS n FROM pr GROUP BY model)) UNION ALL SELECT 'scores without identifier', count(*) FILTER (doc_id IS NULL) FROM pr""")
+def checked_predictions(spark, sf_dir):
+    """Predictions written with their rules checked on the way; what the checks counted is read back."""
+    path = _path(spark, "predictions")
+    model = lambda m: F.sum((F.col("model") == m).cast("long"))
+    counts = [model(m) for m in "ABC"]
+    checks.write_checked(score_queries.predictions(spark, sf_dir), path, {
+        "fold outside 1 to 8": ~F.col("fold").between(1, 8), "label not 0 or 1": ~F.col("label").isin(0, 1), "score outside 0 to 1": F.coalesce((F.col("score") < 0) | (F.col("score") > 1), F.lit(False)), "another model": ~F.col("model").isin("A", "B", "C"), "scores without identifier": F.col("doc_id").isNull(),
+    }, {"models with other numbers of rows": F.greatest(*counts) - F.least(*counts)})
+    checks.read_checked(spark, path)
+    return spark.read.parquet(f"{path}/checks")
+
+
 PLATEAU = """WITH cl AS (SELECT vec_id, i, least(greatest(round(v, 1), -0.1), 0.1) AS v FROM (SELECT vec_id, unnest(embedding::double[]) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)),
 mm AS (SELECT *, min(v) OVER (PARTITION BY vec_id) AS lo, max(v) OVER (PARTITION BY vec_id) AS hi FROM cl),
 h AS (SELECT vec_id, count(*) AS n FROM (SELECT vec_id, i - row_number() OVER (PARTITION BY vec_id ORDER BY i) AS g FROM mm WHERE v = lo) GROUP BY vec_id, g

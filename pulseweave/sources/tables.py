@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions.ranking import prefix_sums
+from ..functions.storage import written
 
 METADATA = "ecg_id bigint, patient_id double, age string, sex string, scp_codes string, strat_fold double, filename_hr string, device string, site string, baseline_drift string, static_noise string, burst_noise string, electrodes_problems string, extra_beats string, pacemaker string"
 
@@ -49,6 +50,32 @@ def beat_offsets(counts: DataFrame, groups: Sequence[str], record: str, n: str,
     return prefix_sums(counts, groups, bucket, [record], n, "first").withColumn("end", F.col("first") + F.col(n))
 
 
-def write_beats(beats: DataFrame, path: str) -> None:
-    """Beat arrays, a row per beat, in a folder per stage."""
-    beats.write.mode("errorifexists").partitionBy("stage").parquet(path)
+def write_ragged(rows: DataFrame, path: str, groups: Sequence[str], record: str, index: str, bucket: Column, row_group_bytes: int = 8 << 20) -> None:
+    """A ragged store: the rows of all records one behind the other, per group by record and index, and where each record begins and ends.
+
+    ``index`` numbers a record's rows from 0 without gaps. ``path/rows`` has the rows, sorted by their place ``row`` in the
+    group, a folder per group; ``path/offsets`` has first and end (behind the last) of each record. As places are sorted in files, the
+    statistics of a row group tell which places it has, and a reader of one record skips all others.
+    """
+    counts = rows.groupBy(*groups, record).agg(F.count(F.lit(1)).alias("n"))
+    offsets = written(beat_offsets(counts, groups, record, "n", bucket).select(*groups, record, "first", "end"), "offsets")
+    placed = rows.join(offsets.drop("end"), [*groups, record]).withColumn("row", F.col("first") + F.col(index)).drop("first")
+    sorted_ = placed.repartitionByRange(*groups, "row").sortWithinPartitions(*groups, "row")
+    sorted_.write.mode("errorifexists").option("parquet.block.size", row_group_bytes).partitionBy(*groups).parquet(f"{path}/rows")
+    offsets.write.mode("errorifexists").parquet(f"{path}/offsets")
+
+
+def read_ragged(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, offsets) of a ragged store."""
+    return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/offsets")
+
+
+def read_record(spark: SparkSession, path: str, record: str, value, **group) -> DataFrame:
+    """One record's rows by its offsets, in order; only the row groups that hold its places are read. Empty if there is no such record."""
+    rows, offsets = read_ragged(spark, path)
+    own = F.lit(True)
+    for k, v in group.items():
+        own = own & (F.col(k) == F.lit(v))
+    at = offsets.filter(own & (F.col(record) == F.lit(value))).first()  # one row
+    first, end = (at["first"], at["end"]) if at else (0, 0)
+    return rows.filter(own & (F.col("row") >= first) & (F.col("row") < end)).orderBy("row")
