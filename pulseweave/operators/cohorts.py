@@ -90,7 +90,7 @@ def with_files(metadata: DataFrame, files: DataFrame, stem: str = "filename_hr")
     out = metadata.withColumn("_stem", base).join(have, "_stem", "left")
     hea, dat = F.coalesce("_hea", F.lit(False)), F.coalesce("_dat", F.lit(False))
     status = F.when(F.col("_stem").isNull(), "missing_filename").when(hea & dat, "present").when(hea, "missing_dat").when(dat, "missing_hea").otherwise("missing_both")
-    return out.withColumns({"header_path": F.concat("_stem", F.lit(".hea")), "signal_path": F.concat("_stem", F.lit(".dat")), "file_status": status}).drop("_stem", "_hea", "_dat")
+    return out.withColumns({"header_path": F.concat("_stem", F.lit(".hea")), "signal_path": F.concat("_stem", F.lit(".dat")), "header_exists": hea, "signal_exists": dat, "file_status": status}).drop("_stem", "_hea", "_dat")
 
 
 def with_conflicts(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -112,7 +112,7 @@ def check_splits(rows: DataFrame) -> None:
 #: Order of the columns of an audit; quality_note_present is named has_quality_note here, strict_label label, hea_path and dat_path by what they hold.
 PREFERRED = (
     "ecg_id", "patient_id", "diagnostic_codes", "label", "strat_fold", "split", "filename_hr", "device", "site", "sex", "age_raw", "age_years", "age_90_plus", *NOTES,
-    "has_quality_note", "quality_note_fields", "quality_note_count", "label_status", "header_path", "signal_path", "file_status", "patient_label_conflict", "sampling_eligible",
+    "has_quality_note", "quality_note_fields", "quality_note_count", "label_status", "header_path", "signal_path", "header_exists", "signal_exists", "file_status", "patient_label_conflict", "sampling_eligible",
 )
 
 

@@ -179,8 +179,12 @@ def patient_checks(spark, sf_dir):
 )
 def file_status(spark, sf_dir):
     rows = metadata(spark, sf_dir)
-    files = rows.filter("ecg_id % 3 <> 0").select(F.concat("filename_hr", F.lit(".hea")).alias("path")).unionByName(rows.filter("ecg_id % 5 <> 0").select(F.concat("filename_hr", F.lit(".dat")).alias("path")))
-    return C.with_files(rows, files).select("ecg_id", "header_path", "file_status")
+    return C.with_files(rows, sidecars(rows)).select("ecg_id", "header_path", "file_status")
+
+
+def sidecars(rows: DataFrame) -> DataFrame:
+    """The files that are there: every third header is missing, and every fifth data file."""
+    return rows.filter("ecg_id % 3 <> 0").select(F.concat("filename_hr", F.lit(".hea")).alias("path")).unionByName(rows.filter("ecg_id % 5 <> 0").select(F.concat("filename_hr", F.lit(".dat")).alias("path")))
 
 
 @query("SELECT c_mktsegment, n_name, count(*) AS customers, round(avg(c_acctbal), 6) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import as_json
+from ..functions.scalar import as_json, joined
 from ..functions.storage import shared_dir
 from ..operators import checks, events, logistic, quality
 from ..operators import cohorts as C
@@ -84,12 +84,28 @@ def metadata_faults(spark, sf_dir):
     return C.metadata_faults(rows.withColumn("strat_fold", fold).unionByName(rows.filter(key % 997 == 0)))
 
 
-@query(cohort_queries.CTES + "q AS (SELECT 1) SELECT ecg_id, concat_ws('|', ecg_id, patient_id, label, strat_fold, split, 'r/' || ecg_id, device, site) AS head FROM ix")
+_LIST = lambda c: f"array_to_string({c}, ';')"
+_NOTE = lambda k: f"CASE WHEN ecg_id % {k} = 0 THEN 'v' WHEN ecg_id % {k} = 1 THEN '  ' END"
+_AGE = "CASE WHEN ecg_id % 101 = 0 THEN '300' WHEN ecg_id % 103 = 0 THEN 'n/a' ELSE (ecg_id % 95)::varchar END"
+#: What each audit column holds, in the order of the audit.
+AUDIT = {
+    "ecg_id": "ecg_id", "patient_id": "patient_id", "diagnostic_codes": _LIST("diagnostic_codes"), "label": "label", "strat_fold": "strat_fold", "split": "split", "filename_hr": "'r/' || ecg_id", "device": "device", "site": "site",
+    "age_raw": _AGE, "age_years": "CASE WHEN ecg_id % 101 <> 0 AND ecg_id % 103 <> 0 THEN age END", "age_90_plus": "coalesce(age >= 90, false)",
+    "baseline_drift": _NOTE(11), "static_noise": _NOTE(13), "burst_noise": "NULL", "electrodes_problems": _NOTE(17), "extra_beats": "' '", "pacemaker": _NOTE(19),
+    "has_quality_note": "len(quality_note_fields) > 0", "quality_note_fields": _LIST("quality_note_fields"), "quality_note_count": "len(quality_note_fields)", "label_status": "CASE WHEN code_status <> '' THEN code_status WHEN len(diagnostic_codes) = 0 THEN 'no_diagnostic_codes' ELSE '' END",
+    "header_path": "'r/' || ecg_id || '.hea'", "signal_path": "'r/' || ecg_id || '.dat'", "header_exists": "ecg_id % 3 <> 0", "signal_exists": "ecg_id % 5 <> 0", "file_status": "CASE WHEN ecg_id % 15 NOT IN (0, 3, 5, 6, 9, 10, 12) THEN 'present' WHEN ecg_id % 15 = 0 THEN 'missing_both' WHEN ecg_id % 3 = 0 THEN 'missing_hea' ELSE 'missing_dat' END",
+    "patient_label_conflict": "patient_label_conflict", "sampling_eligible": "sampling_eligible",
+}
+
+
+@query(cohort_queries.CTES + "q AS (SELECT 1) SELECT ecg_id, concat_ws('|', " + ", ".join(f"coalesce(({c})::varchar, '-')" for c in AUDIT.values()) + ") AS head FROM ix")
 def audit_columns(spark, sf_dir):
-    """The columns of the audit by their place."""
+    """All columns of the audit, those of the files too, by their place."""
     rows = cohort_queries.index(spark, sf_dir)
-    first = [c for c in rows.columns if c != "diagnostic_codes"][:8]
-    return rows.select("ecg_id", F.concat_ws("|", *[F.col(c).cast("string") for c in first]).alias("head"))
+    rows = C.audit_columns(C.with_files(rows, cohort_queries.sidecars(rows)))
+    first = rows.columns[: len(AUDIT)]
+    texts = [joined(c) if rows.schema[c].dataType.typeName() == "array" else F.col(c).cast("string") for c in first]
+    return rows.select("ecg_id", F.concat_ws("|", *[F.coalesce(t, F.lit("-")) for t in texts]).alias("head"))
 
 
 @query(cohort_queries.CTES + "q AS (SELECT 1) SELECT ecg_id, strat_fold FROM ix WHERE strat_fold BETWEEN 1 AND 8")
