@@ -2,12 +2,12 @@
 
 Every input partition belongs to one of ``runs`` runs. A run first reduces its
 own rows to one row per text: digest, byte length and a second hash, the
-identifier to keep and the number of rows. Then ``fan_in`` neighbouring runs
-meet in every round (run 0..7 -> 0, 8..15 -> 1, ...), where equal keys are
-merged again, until a single run is left. Spark sorts each run by its key to
-merge it (the kept identifier is a struct, which Spark aggregates by sorting).
-A group of copies that holds a third of the table therefore reaches any
-exchange as a row per task, never as its members. Two rows count as equal only
+identifier to keep and the number of rows. It is written sorted by digest, in ranges of
+the digest's first byte. Then ``fan_in`` neighbouring runs meet in every round (run 0..7 -> 0, 8..15 -> 1,
+...): equal ranges of them are exchanged, merged in order of digest and reduced where keys are equal,
+and the merged run is written sorted again, until a single run is left. A lost executor
+costs the round that it was in. A group of copies that holds a third of the table is reduced
+before the first exchange and reaches any other as a row per run, never as its members. Two rows count as equal only
 if SHA-256, byte length and XXH64 of the text all agree, at every level.
 
 Defined cases: a null text is the empty text; a null identifier loses to any
@@ -51,11 +51,22 @@ def merge_runs(rows: DataFrame, keep: str = "smallest", runs: int = 64, fan_in:
     # null is the lowest value of a struct's field
     order = F.struct(F.col("doc_id"), F.col("row")) if keep == "largest" else F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id"), F.col("row"))
     pick = F.max if keep == "largest" else F.min
+    # before any exchange, each task reduces what it has of a run
     level = rows.groupBy("run", *KEY).agg(pick(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    level = _written_runs(level.withColumn("span", F.hex(F.substring("digest", 1, 1))), "runs")
     while runs > 1:
         runs = -(-runs // fan_in)
-        level = level.withColumn("run", F.floor(F.col("run") / fan_in)).groupBy("run", *KEY).agg(pick("best").alias("best"), F.sum("group_size").alias("group_size"))
-    return level.drop("run")
+        met = level.withColumn("run", F.floor(F.col("run") / fan_in))
+        # the exchange that brings ranges together is the one that the merge needs: no other follows
+        met = met.repartition("run", "span").sortWithinPartitions("run", "span", *KEY)
+        level = _written_runs(met.groupBy("run", "span", *KEY).agg(pick("best").alias("best"), F.sum("group_size").alias("group_size")), f"merged_{runs}", exchanged=True)
+    return level.drop("run", "span")
+
+
+def _written_runs(level: DataFrame, name: str, exchanged: bool = False) -> DataFrame:
+    """Runs as files, each sorted by digest within its range."""
+    dealt = level if exchanged else level.repartition("run", "span")
+    return materialise(dealt.sortWithinPartitions("run", "span", *KEY), name)
 
 
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", runs: int = 64, fan_in: int = 8) -> DataFrame:
@@ -64,8 +75,7 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The text is read once; what follows works on the written table of keys.
     """
     rows = materialise(digests(docs, id_col, text_col, runs), "digests")
-    groups = materialise(merge_runs(rows, keep, runs, fan_in), "merged_runs")
-    groups = groups.select(*KEY, F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
+    groups = merge_runs(rows, keep, runs, fan_in).select(*KEY, F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
     return join_by_size(rows, groups, KEY, "group_size", rows.count()).select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *KEY
     )
