@@ -30,10 +30,10 @@ import regex
 PLAIN = re.compile(r"[\x21-\x7eÀ-įĲ-ž]*")
 #: ASCII marks without the apostrophe: letters with such marks behind are two pieces by any reading of the pattern.
 MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
-MOST_CACHED = 1_000_000
+MOST_CACHED = 300_000
 LONGEST_CACHED = 48
 #: Bytes of text that are laid out at a time (a longer text is a step of its own): bounds the arrays of ``batch``.
-STEP_BYTES = 16 << 20
+STEP_BYTES = 8 << 20
 
 
 def default_path() -> str:
