@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import storage
-from ..functions.ranking import percentiles
+from ..functions.ranking import dense_index, percentiles
 from ..functions.scalar import fold_of, let, md5_int
 from ..operators import checks, distances, events, intervals, logistic, quality, shuffles, templates, waveforms
 from ..operators.statistics import four_stats
@@ -112,9 +112,7 @@ def vh_threshold_counts(spark, sf_dir):
 
 #: Distances: waves stretched to 500 samples; a record of the pair table is twelve vectors in order of their number.
 def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = waves(spark, sf_dir)
-    index = F.row_number().over(events.by(["label"], "vec_id")) - 1
-    return rows.select("vec_id", "label", "fold", index.alias("index"), distances.stretched("embedding").alias("wave"))
+    return waves(spark, sf_dir).select("vec_id", "label", "fold", distances.stretched("embedding").alias("wave"))
 
 
 @query()
@@ -136,8 +134,11 @@ def template_distance(spark, sf_dir):
 @query()
 def self_reference_distance(spark, sf_dir):
     """Elastic distance of every wave to its label's mean."""
+    # a label's vectors are numbered in ranges of their identifiers, and waves meet the few means where they are
+    places = dense_index(waves(spark, sf_dir).select("vec_id", "label"), ["label"], F.floor(F.col("vec_id") / 4096), ["vec_id"])
     rows = beats(spark, sf_dir)
-    return distances.to_own_mean(rows, templates.mean_wave(rows, ["label"], "wave"), ["label"], "index", "wave").select("label", "index", r("distance", digits=6))
+    found = distances.to_own_mean(rows, templates.mean_wave(rows, ["label"], "wave"), ["label"], "vec_id", "wave")
+    return found.join(places, ["label", "vec_id"]).select("label", "index", r("distance", digits=6))
 
 
 @query()
