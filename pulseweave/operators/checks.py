@@ -111,6 +111,25 @@ def unchanged_groups(first: DataFrame, second: DataFrame, keys: Sequence[str], v
     return both.groupBy(*keys).agg(side(1).alias("rows_first"), side(2).alias("rows_second"), same.alias("unchanged"))
 
 
+def differing_metrics(stored: DataFrame, recomputed: DataFrame, keys: Sequence[str], exact: Sequence[str] = ("evaluated",), close: Sequence[str] = ("auroc", "balanced_accuracy"), relative: float = 1e-5, absolute: float = 1e-8) -> DataFrame:
+    """A row per group of either table with what is wrong with the stored metrics, empty if nothing: ``not_stored``, ``not_recomputed``, or the first column that differs.
+
+    ``exact`` columns must be equal, ``close`` ones within ``absolute`` + ``relative`` x the recomputed value; null equals null only. Tables of metrics are small: a row per group.
+    """
+    columns = [*exact, *close]
+    side = lambda t, name: t.select(*[F.col(k).alias(f"{name}{i}") for i, k in enumerate(keys)], F.struct(*columns).alias(name))
+    on = F.lit(True)
+    for i in range(len(keys)):
+        on = on & F.col(f"_s{i}").eqNullSafe(F.col(f"_r{i}"))
+    both = side(stored, "_s").join(side(recomputed, "_r"), on, "full_outer")
+    what = F.when(F.col("_s").isNull(), "not_stored").when(F.col("_r").isNull(), "not_recomputed")
+    for c in columns:
+        a, b = F.col(f"_s.{c}"), F.col(f"_r.{c}")
+        off = ~a.eqNullSafe(b) if c in exact else (a.isNull() != b.isNull()) | F.coalesce(F.abs(a - b) > absolute + relative * F.abs(b), F.lit(False))
+        what = what.when(off, c)
+    return both.select(*[F.coalesce(f"_s{i}", f"_r{i}").alias(k) for i, k in enumerate(keys)], what.otherwise("").alias("what"))
+
+
 def flipped(rows: DataFrame, label: str, fold: str, folds: Sequence[int], flip: bool = True, held: str = "held_fold") -> DataFrame:
     """``rows`` once per held-out fold; with ``flip``, the labels (0 or 1) of that fold's rows are the other way round."""
     out = rows.withColumn(held, F.explode(F.array(*[F.lit(f) for f in folds])))

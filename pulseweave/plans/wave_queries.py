@@ -447,12 +447,15 @@ def content_manifest(spark, sf_dir):
     return manifests.content_manifest(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("SELECT page_id AS path, CASE WHEN page_id % 10 = 1 THEN 'added' WHEN page_id % 10 = 2 THEN 'removed' ELSE 'changed' END AS what FROM pages WHERE page_id % 10 IN (1, 2, 3)")
+@query("SELECT page_id AS path, CASE WHEN page_id % 10 = 1 THEN 'added' WHEN page_id % 10 = 2 THEN 'removed' WHEN page_id % 10 = 3 THEN 'changed' ELSE 'touched' END AS what FROM pages WHERE page_id % 10 IN (1, 2, 3, 4)")
 def manifest_drift(spark, sf_dir):
+    """Pages added, removed, changed, and written again as they were."""
     pages = table(spark, sf_dir, "pages")
-    before = manifests.content_manifest(pages.filter("page_id % 10 <> 1"), "page_id", "html")
-    after = manifests.content_manifest(pages.filter("page_id % 10 <> 2").withColumn("html", F.when(F.col("page_id") % 10 == 3, F.concat("html", F.lit("x"))).otherwise(F.col("html"))), "page_id", "html")
-    return manifests.drift(before, after)
+    at = F.timestamp_seconds(F.col("page_id"))
+    manifest = lambda rows: manifests.content_manifest(rows, "page_id", "html").join(rows.select(F.col("page_id").alias("path"), F.col("at").alias("modified")), "path")
+    before = manifest(pages.filter("page_id % 10 <> 1").withColumn("at", at))
+    moved = pages.filter("page_id % 10 <> 2").withColumn("html", F.when(F.col("page_id") % 10 == 3, F.concat("html", F.lit("x"))).otherwise(F.col("html")))
+    return manifests.drift(before, manifest(moved.withColumn("at", F.when(F.col("page_id") % 10 == 4, F.timestamp_seconds(F.col("page_id") + 1)).otherwise(at))))
 
 
 @query("SELECT vec_id, CASE WHEN vec_id % 5 = 1 THEN 'only_second' WHEN vec_id % 5 = 2 THEN 'only_first' WHEN vec_id % 5 = 3 THEN 'differs' ELSE '' END AS what FROM embeddings")

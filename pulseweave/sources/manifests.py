@@ -19,8 +19,9 @@ def content_manifest(rows: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def drift(before: DataFrame, after: DataFrame) -> DataFrame:
-    """What was added, removed or changed between two manifests; no rows if nothing was."""
-    a = before.select("path", F.struct("size", "sha256").alias("_a"))
-    b = after.select("path", F.struct("size", "sha256").alias("_b"))
-    what = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").otherwise("changed")
-    return a.join(b, "path", "full_outer").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("path", what.alias("what"))
+    """What was added, removed, changed or, where both manifests have times, touched (the same content written again) between them; no rows if nothing was."""
+    timed = "modified" in before.columns and "modified" in after.columns
+    side = lambda m, name: m.select("path", F.struct("size", "sha256").alias(name), (F.col("modified") if timed else F.lit(None)).alias(f"{name}_at"), F.lit(True).alias(f"{name}_is"))
+    both = side(before, "_a").join(side(after, "_b"), "path", "full_outer")
+    what = F.when(F.col("_a_is").isNull(), "added").when(F.col("_b_is").isNull(), "removed").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed").when(~F.col("_a_at").eqNullSafe(F.col("_b_at")), "touched")
+    return both.withColumn("what", what).filter("what IS NOT NULL").select("path", "what")

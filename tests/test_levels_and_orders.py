@@ -1,9 +1,12 @@
 """Metrics of both levels, rows that were never scored, and orders of NumPy's generator."""
 
+import os
+
 import numpy as np
 import pytest
 
-from pulseweave.operators import events, logistic, metrics, shuffles
+from pulseweave.operators import checks, events, logistic, metrics, shuffles
+from pulseweave.sources import manifests
 
 
 def test_levels_equal_two_passes(spark):
@@ -65,3 +68,23 @@ def test_orders_equal_numpy(spark):
 def test_blocks_of_a_long_record(spark):
     found = shuffles.seeded_permutations(spark.createDataFrame([(5, 1000)], "id long, n long"), "id", "n", [9], block=64).collect()
     assert [x.vector_origin for x in sorted(found, key=lambda x: x.valid_position)] == np.random.default_rng(np.random.SeedSequence([9, 5])).permutation(1000).tolist()
+
+
+def test_stored_metrics(spark):
+    schema = "k string, evaluated long, auroc double, balanced_accuracy double"
+    new = [("same", 5, 0.5, 0.5), ("close", 5, 0.5, 0.5), ("n", 5, 0.5, 0.5), ("a", 5, 0.5, 0.5), ("b", 5, 0.5, None), ("null", 0, None, None), ("lost", 1, 0.1, 0.1), (None, 2, 0.2, 0.2)]
+    old = [("same", 5, 0.5, 0.5), ("close", 5, 0.500004, 0.5), ("n", 4, 0.9, 0.5), ("a", 5, 0.51, 0.5), ("b", 5, 0.5, 0.5), ("null", 0, None, None), ("extra", 1, 0.1, 0.1), (None, 2, 0.2, 0.2)]
+    found = {x.k: x.what for x in checks.differing_metrics(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), ["k"]).collect()}
+    assert found == {"same": "", "close": "", "n": "evaluated", "a": "auroc", "b": "balanced_accuracy", "null": "", "lost": "not_stored", "extra": "not_recomputed", None: ""}
+
+
+def test_files_that_were_touched(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / name).write_text(name)
+    before = spark.createDataFrame(manifests.file_manifest(spark, str(tmp_path)).collect(), "path string, size long, modified timestamp, sha256 string")
+    (tmp_path / "b").write_text("other")
+    os.utime(tmp_path / "c", (1, 1))
+    (tmp_path / "a").unlink()
+    (tmp_path / "d").write_text("d")
+    found = {x.path.rsplit("/", 1)[1]: x.what for x in manifests.drift(before, manifests.file_manifest(spark, str(tmp_path))).collect()}
+    assert found == {"a": "removed", "b": "changed", "c": "touched", "d": "added"}
