@@ -78,11 +78,19 @@ def prototype_eligible(vh: DataFrame, keys: Sequence[str], ok: Column, limit: fl
     return vh.groupBy(*keys).agg((F.bool_and(ok) & F.coalesce(F.max("vh") < limit, F.lit(False)) & (F.count("vh") == F.count(F.lit(1)))).alias("eligible"))
 
 
-def threshold_counts(rows: DataFrame, value: str, label: str, thresholds: Sequence[float]) -> DataFrame:
-    """How many rows of each label lie under each threshold; the thresholds are columns of one pass, not copies of the rows."""
-    counts = rows.groupBy(label).agg(*[F.sum((F.coalesce(F.col(value) < t, F.lit(False))).cast("int")).alias(f"t{i}") for i, t in enumerate(thresholds)])
-    pairs = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"t{i}").alias("eligible")) for i, t in enumerate(thresholds)]))
-    return counts.select(label, pairs.alias("p")).select("p.threshold", label, "p.eligible")
+def threshold_counts(rows: DataFrame, value: str, label: str, thresholds: Sequence[float], pool: Column | None = None) -> DataFrame:
+    """How many rows of each label lie under each threshold, and with ``pool`` (a condition) also how many of those in it; the thresholds are columns of one pass, not copies of the rows. A null or NaN value lies under none."""
+    under = lambda t: F.coalesce((F.col(value) < t) & ~F.isnan(value), F.lit(False))
+    inside = F.coalesce(pool, F.lit(False)) if pool is not None else F.lit(False)
+    counts = rows.groupBy(label).agg(*[F.sum((under(t) & c).cast("int")).alias(f"{n}{i}") for i, t in enumerate(thresholds) for n, c in (("all", F.lit(True)), ("pool", inside))])
+    cells = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"all{i}").alias("eligible"), F.col(f"pool{i}").alias("eligible_pool")) for i, t in enumerate(thresholds)]))
+    out = counts.select(label, cells.alias("p")).select("p.threshold", label, "p.eligible", "p.eligible_pool")
+    return out if pool is not None else out.drop("eligible_pool")
+
+
+def strict_templates(rows: DataFrame, keys: Sequence[str], fold: str, label: str, wave: str, folds: Sequence[int], labels: Sequence, pool: Column, spread_ok: Column, minimum: int = 20) -> DataFrame:
+    """Templates from the prototype pool only, and of it only from records whose spread is small enough; a fold needs ``minimum`` such training records of every label."""
+    return fold_templates(rows.filter(F.coalesce(pool & spread_ok, F.lit(False))), keys, fold, label, wave, folds, labels, minimum)
 
 
 def array_quantile(sorted_array: Column, q: float) -> Column:

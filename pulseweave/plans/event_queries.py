@@ -215,7 +215,7 @@ def stage_label_coverage(spark, sf_dir):
     return E.coverage(summaries(spark, sf_dir), ["c_mktsegment"])
 
 
-METRICS = ["valid_beats", "pairs", "rr_median_ms", "value_mean"]
+METRICS = ["peaks", "valid_beats", "pairs", "rr_median_ms", "value_mean", "value_max", "removed_candidates", "vh_max"]
 
 
 @query(

@@ -104,10 +104,43 @@ def array_morphology(spark, sf_dir):
     return found.select("vec_id", *[r(c, digits=6) for c in ("wave_mean", "wave_sd", "wave_min", "wave_max", "wave_q25", "wave_q75")])
 
 
-@query(CTES + MORPH + Q + "SELECT t::double AS threshold, label, sum((sd < t)::int) AS eligible FROM mo CROSS JOIN (SELECT unnest([0.11, 0.12, 0.125, 0.13]) AS t) GROUP BY ALL")
+#: v_h of records of twelve vectors; two thirds of the records, by hash, are the pool.
+RECORD_VH = """ur AS (SELECT vec_id // 12 AS record, vec_id, i, v FROM ux), rb AS (SELECT record, avg(sd) AS b FROM (SELECT record, i, stddev_samp(v) AS sd FROM ur GROUP BY record, i) GROUP BY record),
+rw AS (SELECT record, avg(sd) AS w, count(*) AS n FROM (SELECT record, vec_id, stddev_samp(v) AS sd FROM ur GROUP BY record, vec_id) GROUP BY record),
+rv AS (SELECT record, record % 2 AS class, CASE WHEN n >= 3 AND w > 1e-8 THEN b / w END AS vh, cast('0x' || substr(md5('pool|' || record), 1, 8) AS bigint) % 3 <> 0 AS pool, (1 + cast('0x' || substr(md5(record::varchar), 1, 8) AS bigint) % 8)::int AS fold FROM rb JOIN rw USING (record)),
+"""
+VH_LIMITS = (0.96, 0.98, 0.99, 1.0, 1.02)
+
+
+def record_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = waves(spark, sf_dir).withColumn("record", F.floor(F.col("vec_id") / 12))
+    found = templates.sample_spread(rows, ["record"], "embedding")
+    return found.withColumns({"class": (F.col("record") % 2).cast("int"), "pool": md5_int("pool", F.col("record")) % 3 != 0, "fold": fold_of("record")})
+
+
+@query(CTES + RECORD_VH + Q + f"SELECT t::double AS threshold, class::int AS class, count(*) FILTER (vh < t) AS eligible, count(*) FILTER (vh < t AND pool) AS eligible_pool FROM rv CROSS JOIN (SELECT unnest({list(VH_LIMITS)}) AS t) GROUP BY t, class")
 def vh_threshold_counts(spark, sf_dir):
-    found = templates.morphology(waves(spark, sf_dir), "embedding")
-    return templates.threshold_counts(found, "wave_sd", "label", (0.11, 0.12, 0.125, 0.13))
+    """Records under five limits of v_h per class, all of them and those of the pool."""
+    return templates.threshold_counts(record_spread(spark, sf_dir), "vh", "class", VH_LIMITS, F.col("pool"))
+
+
+@query(
+    CTES
+    + RECORD_VH
+    + Q
+    + """, me AS (SELECT record, i, avg(v) AS v FROM ur GROUP BY record, i), ok AS (SELECT * FROM rv WHERE pool AND vh < 1.0), gr AS (SELECT f, c FROM (SELECT unnest(range(1, 9)) AS f) CROSS JOIN (SELECT unnest([0, 1]) AS c)),
+nn AS (SELECT f, c, count(record) AS n FROM gr LEFT JOIN ok ON ok.class = c AND ok.fold <> f GROUP BY f, c), st AS (SELECT *, CASE WHEN min(n) OVER (PARTITION BY f) >= 7 THEN 'ok' ELSE 'insufficient' END AS status FROM nn),
+mm AS (SELECT f, c, i, avg(v) AS v FROM gr JOIN ok ON ok.class = c AND ok.fold <> f JOIN me USING (record) GROUP BY f, c, i)
+SELECT st.f::int AS fold, st.c::int AS class, n, status, """
+    + whole_sql("CASE WHEN status = 'ok' THEN v END")
+    + " FROM st LEFT JOIN mm ON mm.f = st.f AND mm.c = st.c GROUP BY st.f, st.c, n, status"
+)
+def strict_templates(spark, sf_dir):
+    """Mean waves of the pool's records with a small spread, per fold and class; folds with too few of either class have none."""
+    rows = templates.mean_wave(waves(spark, sf_dir).withColumn("record", F.floor(F.col("vec_id") / 12)), ["record"], "embedding")
+    rows = rows.drop("n").join(record_spread(spark, sf_dir), "record")
+    found = templates.strict_templates(rows, [], "fold", "class", "embedding", FOLDS, [0, 1], F.col("pool"), F.col("vh") < 1.0, 7)
+    return found.select("fold", "class", "n", "status", *whole_wave("embedding"))
 
 
 #: Distances: waves stretched to 500 samples; a record of the pair table is twelve vectors in order of their number.

@@ -231,3 +231,15 @@ def test_excluded(spark):
         size, peaks, radius = int(r.integers(1, 60)), r.integers(-5, 65, r.integers(0, 7)).tolist(), int(r.integers(0, 9))
         got = spark.range(1).select(quality.excluded(F.lit(size), F.lit(peaks).cast("array<int>"), radius).alias("m")).first().m
         assert got == [int(any(abs(d - p) <= radius for p in peaks)) for d in range(size)]
+
+
+def test_strict_templates_and_thresholds_of_a_pool(spark):
+    """Labels i % 2, pool i <= 4, one record whose spread is too large, and a validation label that does not matter."""
+    nan = float("nan")
+    rows = spark.createDataFrame([(i, 2 if i == 7 else 1, i % 2, "pool" if i <= 4 else "probe", 0.1 if i != 3 else nan, [float(i), 1.0]) for i in range(1, 8)], "id int, fold int, label int, role string, vh double, w array<double>")
+    made = lambda least, limit: {x.label: (x.n, x.status, x.w) for x in templates.strict_templates(rows, [], "fold", "label", "w", [2], [0, 1], F.col("role") == "pool", F.col("vh") < limit, least).collect()}
+    assert made(1, 0.3) == {0: (2, "ok", [3.0, 1.0]), 1: (1, "ok", [1.0, 1.0])}
+    assert made(2, 0.3) == {0: (2, "insufficient", None), 1: (1, "insufficient", None)}
+    assert made(1, 0.05) == {0: (0, "insufficient", None), 1: (0, "insufficient", None)}
+    counts = templates.threshold_counts(rows, "vh", "label", (0.05, 0.3), F.col("role") == "pool").collect()
+    assert {(x.threshold, x.label): (x.eligible, x.eligible_pool) for x in counts} == {(0.05, 0): (0, 0), (0.05, 1): (0, 0), (0.3, 0): (3, 2), (0.3, 1): (3, 1)}
