@@ -43,22 +43,17 @@ def plain_pipeline(docs, ids):
         whole = int(round(target[s], 6) // total)
         left = round(target[s], 6) - whole * total
         copies |= dict.fromkeys(own, whole)
-        most, taken = None, set()
-        order = sorted(own, key=lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16))
-        for _ in range(3):
-            if left <= 0:
+        taken = set()
+        number = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16)
+        for i in sorted(own, key=number) if left > 0 else ():
+            if size[i] > left:
                 break
-            room = left
-            for i in order:
-                if i in taken or (most is not None and size[i] > most):
-                    continue
-                if size[i] > room:
-                    break
-                room -= size[i]
+            left -= size[i]
+            taken.add(i)
+        for i in sorted((i for i in own if i not in taken), key=lambda i: (-size[i], number(i))):
+            if size[i] <= left:
+                left -= size[i]
                 taken.add(i)
-            left, most = room, int(room / 4)
-            if left <= target[s] * 0.001 or most == 0:
-                break
         for i in taken:
             copies[i] += 1
     lengths = {d[0]: len(ids(d[1])) + 1 for d in docs}
@@ -80,6 +75,6 @@ def test_pipeline(spark, tmp_path):
 
 def test_registered():
     names = list(registry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert {"pipeline", *names} <= set(__spark_entry__.queries()) and set(registry.oracle_sql()) <= set(names)
     assert [s for s, _ in corpus_pipeline.STAGES][0] == "quality rules" and len(corpus_pipeline.STAGES) == 5
