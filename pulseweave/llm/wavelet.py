@@ -165,8 +165,10 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_
             yield emit()
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    # by the text's beginning as well: rows that repeat an identifier need not fit one task
-    return texts.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARDS)
+    # rows that repeat an identifier, and even its text, need not fit one task: texts are told apart by their beginning and a hash, equal rows by where they come from
+    order = ["doc_id", "_start", "_hash", "_spread"]
+    keyed = texts.withColumns({"_start": F.substring("text", 1, 32), "_hash": F.xxhash64("text"), "_spread": F.pmod(F.monotonically_increasing_id(), F.lit(4096))})
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, SHARDS)
 
 
 def write(docs: DataFrame, path: str, **options) -> None:

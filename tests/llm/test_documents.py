@@ -609,6 +609,25 @@ def test_quality_classifier(spark, docs, empty):
     assert len(alone) == len(ROWS) and len({x.score for x in alone}) == 1
 
 
+def test_equal_rows_are_shared_by_tasks(spark):
+    """Rows without identifier and text, and rows of one identifier, spread over tasks and keep their order by identifier."""
+    rows = [(None, None)] * 300 + [(5, f"text number {k}") for k in range(300)] + [(k, "one two") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    set_ = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in set_}
+    for k, v in set_.items():
+        spark.conf.set(k, v)
+    try:
+        parts = {x.part: x.doc_ends for x in wavelet.shards(docs).select("part", "doc_ends").collect()}
+        found = wavelet.round_trip(docs).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(map(len, parts.values())) == 700 and max(map(len, parts.values())) < 300
+    found.sort(key=lambda x: x.start)
+    assert [x.doc_id for x in found] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i)) and all(a.start + a.n_tokens == b.start for a, b in zip(found, found[1:]))
+
+
 def test_rare_languages_are_learnt(spark):
     """A language with one document, of words that occur once, beside one with many."""
     r = random.Random(9)
