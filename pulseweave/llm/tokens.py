@@ -60,7 +60,9 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"].lower().encode() for t in spec["added_tokens"]]
+        #: what is remembered, in two generations: when the younger is full it becomes the older, and what is used again comes back from there
         self.chunks: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         split = [s for s in spec["pre_tokenizer"].get("pretokenizers", []) if s["type"] == "Split"] if spec.get("pre_tokenizer") else []
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         #: the cache is right only for the kind of vocabulary described above
@@ -79,23 +81,28 @@ class Encoder:
         return b"".join([self.as_bytes[t.id] for t in self.model.tokenize(mapped)])
 
     def chunk(self, chunk: bytes) -> bytes:
-        """Ids of a chunk that is not remembered."""
-        text = chunk.decode()
-        if not PLAIN.fullmatch(text):
-            found = self.whole(text)
-        elif (text := text.lower()).isalpha():
-            found = self.piece(text)
-        elif (word := text.rstrip(MARKS)).isalpha():
-            own, marks = word.encode(), text[len(word) :].encode()
-            found = (self.chunks.get(own) or self.chunk(own)) + (self.chunks.get(marks) or self.chunk(marks))
-        else:
-            found = b"".join(map(self.piece, self.find(text)))
+        """Ids of a chunk that is not in the younger generation, or was not when its caller looked."""
+        found = self.chunks.get(chunk)
+        if found is None and (found := self.older.get(chunk)) is None:
+            found = self.made(chunk)
         if len(chunk) <= LONGEST_CACHED:
-            if len(self.chunks) >= MOST_CACHED:
-                self.chunks.clear()
+            if len(self.chunks) >= MOST_CACHED // 2:
+                self.older, self.chunks = self.chunks, {}
             self.chunks[chunk] = found
         return found
 
+    def made(self, chunk: bytes) -> bytes:
+        """Ids of a chunk, encoded."""
+        text = chunk.decode()
+        if not PLAIN.fullmatch(text):
+            return self.whole(text)
+        if (text := text.lower()).isalpha():
+            return self.piece(text)
+        if (word := text.rstrip(MARKS)).isalpha():
+            own, marks = word.encode(), text[len(word) :].encode()
+            return (self.chunks.get(own) or self.chunk(own)) + (self.chunks.get(marks) or self.chunk(marks))
+        return b"".join(map(self.piece, self.find(text)))
+
     def ids(self, text: str) -> bytes:
         # the vocabulary lower-cases, so A-Z may be lower-cased before: fewer chunks differ
         raw = text.encode().lower()
