@@ -47,3 +47,9 @@ def test_peaks_of_encoded_signals(given):
     found = waveforms.detect(encoded.coalesce(1), ["rec"], decode=wave_queries.pulses)
     assert rows(found) == rows(waveforms.detect(decoded, ["rec"])) and found.count() > 20
     assert found.select(F.spark_partition_id()).distinct().count() == 2  # all shuffle partitions of the tests, in spite of their few bytes
+
+
+def test_grid_of_encoded_signals(given):
+    encoded, decoded = given
+    found = rows(waveforms.detector_grid(encoded, ["rec"], decode=wave_queries.pulses))
+    assert found == rows(waveforms.detector_grid(decoded, ["rec"])) and len(found) == 9 * 6
