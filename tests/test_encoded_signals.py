@@ -53,3 +53,9 @@ def test_grid_of_encoded_signals(given):
     encoded, decoded = given
     found = rows(waveforms.detector_grid(encoded, ["rec"], decode=wave_queries.pulses))
     assert found == rows(waveforms.detector_grid(decoded, ["rec"])) and len(found) == 9 * 6
+
+
+def test_spectra_of_encoded_signals(given):
+    encoded, decoded = given
+    found = rows(waveforms.spectra(encoded, ["rec"], decode=wave_queries.pulses))
+    assert found == rows(waveforms.spectra(decoded, ["rec"])) and len(found) == 12 * 6
