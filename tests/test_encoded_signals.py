@@ -59,3 +59,19 @@ def test_spectra_of_encoded_signals(given):
     encoded, decoded = given
     found = rows(waveforms.spectra(encoded, ["rec"], decode=wave_queries.pulses))
     assert found == rows(waveforms.spectra(decoded, ["rec"])) and len(found) == 12 * 6
+
+
+def test_mean_beats_are_those_of_beats(spark, given):
+    encoded, decoded = given
+    events = spark.createDataFrame([(rec, k, 150.5 + 400 * k, 350 + 400 * k, 549.5 + 400 * k) for rec in range(5) for k in range(4)] + [(5, 0, 5.0, 10, 6000.0), (5, 1, None, 10, 20.0)], "rec int, source_index int, left_at double, r_peak_sample long, right_at double")
+    beats = waveforms.beat_waves(events, decoded, ["rec"]).collect()
+    heights = waveforms.beat_waves(events, encoded, ["rec"], decode=wave_queries.pulses, waves=False)
+    assert "beat" not in heights.columns
+    assert rows(heights) == sorted(((x.rec, x.source_index, x.max_abs and round(x.max_abs, 9), x.failure_code) for x in beats), key=str)
+    means = waveforms.mean_beats(events, encoded, ["rec"], decode=wave_queries.pulses).collect()
+    assert [(x.rec, x.lead, x.failure_code) for x in means if x.rec == 5] == [(5, None, "event_outside_signal")]
+    for x in means:
+        if x.rec < 5:
+            own = [b.beat[waveforms.LEADS.index(x.lead)] for b in beats if b.rec == x.rec]
+            assert x.n == len(own) == 4 and np.allclose(x.wave, np.mean(own, 0))
+    assert len(means) == 5 * 12 + 1
