@@ -155,17 +155,19 @@ def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pairwise_distance(spark, sf_dir):
     """Elastic distance of all pairs of a record's waves; held to a plain version in the tests."""
-    rows = waves(spark, sf_dir).select(F.floor(F.col("vec_id") / 12).alias("record"), "vec_id", distances.stretched("embedding").alias("wave"))
-    found = distances.pair_tiles(rows, ["record"], "vec_id", ["wave"], names=["distance"])
+    rows = waves(spark, sf_dir).select(F.floor(F.col("vec_id") / 12).alias("record"), "vec_id", F.col("embedding").alias("wave"))
+    found = distances.pair_tiles(rows, ["record"], "vec_id", ["wave"], kernel=distances.stretched_distance, names=["distance"])
     return found.select("record", "i", "j", r("distance", digits=6))
 
 
 @query()
 def template_distance(spark, sf_dir):
     """Elastic distance of every wave to its fold's templates of all classes."""
-    rows = beats(spark, sf_dir)
-    made = templates.fold_templates(rows, [], "fold", "label", "wave", FOLDS, LABELS, 1).select("fold", F.col("label").alias("template_label"), "wave")
-    return distances.to_templates(rows.select("vec_id", "fold", "wave"), made, ["fold"], "wave").select("vec_id", "template_label", r("distance", digits=6))
+    # waves are stretched in the tasks that measure them, which commutes with the templates' means; templates are written, so that Spark knows how few they are
+    rows = waves(spark, sf_dir).withColumnRenamed("embedding", "wave")
+    made = storage.written(templates.fold_templates(rows, [], "fold", "label", "wave", FOLDS, LABELS, 1).select("fold", F.col("label").alias("template_label"), "wave"), "templates")
+    rows = distances.dealt(rows.select("vec_id", "fold", F.col("wave").cast("array<double>").alias("wave")), "vec_id")
+    return distances.to_templates(rows, made, ["fold"], "wave", distances.stretched_distance).select("vec_id", "template_label", r("distance", digits=6))
 
 
 @query()

@@ -67,3 +67,24 @@ def test_neighbours_with_gaps(spark):
             assert x.pairs == n
             got = [x[f"{w}_{s}"] for s in ("mean", "sd", "mad", "iqr")]
             assert got == own if own[0] is None else got == pytest.approx(own)
+
+
+def test_an_index_may_begin_anywhere(spark):
+    """Records of twelve beats in a table's numbering: as many rows are dealt as there are beats and blocks, whatever the numbers are."""
+    beats = spark.range(10**9, 10**9 + 24).select(F.floor(F.col("id") / 12).alias("k"), F.col("id").alias("i"), F.array(F.col("id").cast("double")).alias("w"))
+    beats = beats.unionByName(spark.createDataFrame([(-1, 5, [5.0]), (-1, 10**12, [7.0])], "k long, i long, w array<double>"))
+    found = {(x.k, x.i, x.j): x.d for x in distances.pair_tiles(beats, ["k"], "i", ["w"], kernel=gap, names=["d"]).collect()}
+    ids = [*range(10**9, 10**9 + 24)]
+    expected = {(i // 12, i, j): float(j - i) for i in ids for j in ids if i < j and i // 12 == j // 12}
+    assert found == expected | {(-1, 5, 10**12): 2.0}
+
+
+def test_waves_are_stretched_in_the_tasks(spark):
+    r = np.random.default_rng(9)
+    rows = [(k, r.normal(size=64).cumsum().tolist(), r.normal(size=64).cumsum().tolist()) for k in range(5)] + [(5, None, [1.0] * 64), (6, [1.0, 2.0], [1.0] * 64), (7, [1.0], [2.0])]
+    df = spark.createDataFrame(rows, "k int, a array<double>, b array<double>")
+    whole = distances.with_distance(df.select("k", distances.stretched("a").alias("a"), distances.stretched("b").alias("b")).filter("k < 5"))
+    found = {x.k: x.distance for x in distances.with_distance(df, kernel=distances.stretched_distance).collect()}
+    assert {x.k: found[x.k] for x in whole.collect()} == {x.k: pytest.approx(x.distance, abs=1e-9) for x in whole.collect()}
+    assert [found[k] for k in (5, 6, 7)] == [None] * 3
+    assert distances.dealt(df.coalesce(1), "k").select(F.spark_partition_id()).distinct().count() == 2
