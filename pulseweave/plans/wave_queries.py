@@ -183,10 +183,11 @@ def self_reference_distance(spark, sf_dir):
 @query()
 def probe_grid(spark, sf_dir):
     """A cell per probe, lead and class; a vector is a lead of the probe vec_id // 3, and prototypes are of the other folds' probes."""
-    rows = waves(spark, sf_dir).select(F.floor(F.col("vec_id") / 3).alias("probe"), (F.col("vec_id") % 3).alias("lead"), "label", distances.stretched("embedding").alias("wave"))
+    rows = waves(spark, sf_dir).select(F.floor(F.col("vec_id") / 3).alias("probe"), (F.col("vec_id") % 3).alias("lead"), "label", F.col("embedding").cast("array<double>").alias("wave"))
     rows = rows.withColumn("fold", fold_of("probe"))
     made = templates.fold_templates(rows, ["lead"], "fold", "label", "wave", FOLDS, LABELS, 1).withColumn("status", F.when((F.col("n") >= 14) & F.col("wave").isNotNull(), "ok").otherwise("insufficient_prototypes"))
-    return distances.probe_grid(rows, made, "probe", "lead", "label", "wave", [0, 1, 2], LABELS, "fold").select("probe", "lead", "label", r("distance", digits=6), "status")
+    made = storage.written(made, "prototypes")
+    return distances.probe_grid(rows, made, "probe", "lead", "label", "wave", [0, 1, 2], LABELS, "fold", distances.stretched_distance, 64).select("probe", "lead", "label", r("distance", digits=6), "status")
 
 
 @query(

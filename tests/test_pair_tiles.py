@@ -88,3 +88,16 @@ def test_waves_are_stretched_in_the_tasks(spark):
     assert {x.k: found[x.k] for x in whole.collect()} == {x.k: pytest.approx(x.distance, abs=1e-9) for x in whole.collect()}
     assert [found[k] for k in (5, 6, 7)] == [None] * 3
     assert distances.dealt(df.coalesce(1), "k").select(F.spark_partition_id()).distinct().count() == 2
+
+
+def test_probe_grid_of_short_waves(spark):
+    r = np.random.default_rng(10)
+    wave = lambda: r.normal(size=64).cumsum().tolist()
+    probes = spark.createDataFrame([(p, k, wave()) for p in range(4) for k in range(2) if (p, k) != (3, 1)], "p int, lead int, w array<double>")
+    made = spark.createDataFrame([(k, c, wave() if c else None, "ok" if c else "insufficient_prototypes") for k in range(2) for c in range(2)], "lead int, label int, w array<double>, status string")
+    long = lambda df: df.withColumn("w", F.when(F.col("w").isNotNull(), distances.stretched("w")))
+    expected = {(x.p, x.lead, x.label): (x.status, x.distance) for x in distances.probe_grid(long(probes), long(made), "p", "lead", "label", "w", [0, 1], [0, 1]).collect()}
+    grid = distances.probe_grid(probes.coalesce(1), made, "p", "lead", "label", "w", [0, 1], [0, 1], None, distances.stretched_distance, 64)
+    found = {(x.p, x.lead, x.label): (x.status, x.distance) for x in grid.collect()}
+    assert found == {key: (status, d if d is None else pytest.approx(d, abs=1e-9)) for key, (status, d) in expected.items()} and len(found) == 16
+    assert found[3, 1, 1] == ("probe_beat_unavailable", None) and found[0, 0, 1][0] == "ok"
