@@ -259,11 +259,14 @@ A_FEATURES = ["wave_mean", "wave_sd", "wave_min", "wave_max", "wave_q25", "wave_
 
 def study(rows: DataFrame, leak: bool = False) -> dict[str, DataFrame]:
     """One run of model A for every held-out fold: templates, the features of all rows against them, and the scores of the held-out rows."""
-    rows = storage.written(rows.withColumn("wave", distances.stretched("wave")), "study")
+    rows = storage.written(distances.dealt(rows, "vec_id"), "study")
     made = storage.written(held_templates(rows, leak), "templates")
+    # a wave is the same in all folds: it is stretched and described once, and distances stretch it in their tasks
+    each = distances.dealt(rows.select("vec_id", "wave").distinct(), "vec_id").withColumn("stretched", distances.stretched("wave"))
+    shapes = templates.morphology(each, "stretched").drop("stretched")
     pairs = rows.select("held_fold", "vec_id", F.col("wave").alias("a")).join(made.select("held_fold", "y", F.col("wave").alias("b")), "held_fold")
-    far = distances.with_distance(pairs).groupBy("held_fold", "vec_id").agg(*[F.max(F.when(F.col("y") == k, F.col("distance"))).alias(f"to_{k}") for k in (1, 0)])
-    features = storage.written(templates.morphology(rows, "wave").drop("wave").join(far, ["held_fold", "vec_id"]), "features")
+    far = distances.with_distance(pairs, kernel=distances.stretched_distance).groupBy("held_fold", "vec_id").agg(*[F.max(F.when(F.col("y") == k, F.col("distance"))).alias(f"to_{k}") for k in (1, 0)])
+    features = storage.written(rows.join(shapes, ["vec_id", "wave"]).drop("wave").join(far, ["held_fold", "vec_id"]), "features")
     held = features.withColumn("held", (F.col("fold") == F.col("held_fold")).cast("int"))
     scores = logistic.fold_scores(held, ["held_fold"], "held", "y", A_FEATURES, [1]).filter("held = 1").select("held_fold", "vec_id", "score")
     return {"templates": made, "features": features.select("held_fold", "vec_id", *A_FEATURES), "predictions": scores}

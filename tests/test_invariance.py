@@ -61,3 +61,12 @@ def test_sums_on_the_grid_are_exact(spark):
     got = spark.createDataFrame([(x.tolist(),)], "w array<double>").select(checks.on_grid("w").alias("w")).first().w
     assert sum(got) == sum(reversed(got)) == sum(sorted(got)) and np.abs(np.array(got) - x).max() <= 2.0**-21
     assert spark.range(1).select(checks.on_grid(F.lit(None).cast("array<double>")).alias("w")).first().w is None
+
+
+def test_a_wave_is_described_once(spark, sf_dir, monkeypatch):
+    """Not once per held-out fold: the study has each wave eight times."""
+    described, plain = [], wave_queries.templates.morphology
+    monkeypatch.setattr(wave_queries.templates, "morphology", lambda rows, wave: described.append(rows) or plain(rows, wave))
+    rows = checks.flipped(wave_queries.classes(spark, sf_dir), "y", "fold", [1, 2, 3], False)
+    features = wave_queries.study(rows)["features"]
+    assert [df.count() for df in described] == [64] and features.count() == 3 * 64
