@@ -75,3 +75,18 @@ def test_mean_beats_are_those_of_beats(spark, given):
             own = [b.beat[waveforms.LEADS.index(x.lead)] for b in beats if b.rec == x.rec]
             assert x.n == len(own) == 4 and np.allclose(x.wave, np.mean(own, 0))
     assert len(means) == 5 * 12 + 1
+
+
+def test_grid_outcomes_are_counted(spark, tmp_path, monkeypatch):
+    """Outcomes of all records are counted where they are found: nothing with a row per record is stored."""
+    made = spark.range(90).selectExpr("id AS event_id", "id % 3 AS user_id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, id) AS ts", "'view' AS event_type", "(id * 37 % 90) + 0.5D AS value")
+    made.write.parquet(str(tmp_path / "events.parquet"))
+    stored = []
+    monkeypatch.setattr(wave_queries.storage, "written", lambda df, name: stored.append(name) or df)
+    found = {(x.min_peak_distance_ms, x.mad_multiplier): x for x in wave_queries.detector_grid(spark, str(tmp_path)).collect()}
+    assert stored == [] and len(found) == 9
+    each = waveforms.detector_grid(wave_queries.signals(spark, str(tmp_path)), wave_queries.RECORD, decode=wave_queries.pulses).collect()
+    for key, x in found.items():
+        own = [e for e in each if (e.min_peak_distance_ms, e.mad_multiplier) == key]
+        assert len(own) == 9 and x.failed == 0 and x.pass_rate == np.mean([e.beat_gate_pass for e in own])
+        assert x.peak_median == np.median([e.peak_count for e in own]) and abs(x.rr_median - np.median([e.rr_in_range_fraction for e in own])) < 1e-6
