@@ -452,7 +452,7 @@ def pulses(values: pa.ListScalar) -> np.ndarray:
             at = k * 400 + 150 + int(math.fmod(math.floor(v), 100))
             first, behind = max(at - 59, k * 400 + 90), min(at + 60, k * 400 + 490)
             base[first:behind] += (1 + math.fmod(v, 1)) * PULSE[first - at + 59 : behind - at + 59]
-    return base[:, None] * GAINS
+    return np.multiply.outer(GAINS, base).T  # a lead's samples lie together
 
 
 @query()

@@ -90,3 +90,8 @@ def test_grid_outcomes_are_counted(spark, tmp_path, monkeypatch):
         own = [e for e in each if (e.min_peak_distance_ms, e.mad_multiplier) == key]
         assert len(own) == 9 and x.failed == 0 and x.pass_rate == np.mean([e.beat_gate_pass for e in own])
         assert x.peak_median == np.median([e.peak_count for e in own]) and abs(x.rr_median - np.median([e.rr_in_range_fraction for e in own])) < 1e-6
+
+
+def test_leads_of_a_made_signal_lie_together():
+    """Spectra read a lead at a time, so a signal is not turned over before."""
+    assert wave_queries.pulses(type("Values", (), {"as_py": lambda self: [3.5, 77.25]})()).T.flags.c_contiguous
