@@ -95,3 +95,25 @@ def test_grid_outcomes_are_counted(spark, tmp_path, monkeypatch):
 def test_leads_of_a_made_signal_lie_together():
     """Spectra read a lead at a time, so a signal is not turned over before."""
     assert wave_queries.pulses(type("Values", (), {"as_py": lambda self: [3.5, 77.25]})()).T.flags.c_contiguous
+
+
+def test_heights_are_asked_where_beats_are_cut(spark, given):
+    """Beats that are too high are left out as validity leaves them out, without cutting them before."""
+    encoded, decoded = given
+    cuts = spark.createDataFrame([(rec, k, 150.5 + 400 * k, 350 + 400 * k, 549.5 + 400 * k) for rec in range(5) for k in range(10)], "rec int, source_index int, left_at double, r_peak_sample long, right_at double")
+    beats = [x for x in waveforms.beat_waves(cuts, decoded, ["rec"]).collect()]
+    largest = float(np.median([x.max_abs for x in beats]))
+    means = {(x.rec, x.lead): x for x in waveforms.mean_beats(cuts, encoded, ["rec"], decode=wave_queries.pulses, largest=largest, least=3).collect()}
+    kept = {rec: [x.beat for x in beats if x.rec == rec and x.max_abs <= largest + 1e-12] for rec in range(5)}
+    assert {rec for rec, _ in means} == {rec for rec, own in kept.items() if len(own) >= 3} and any(0 < len(own) < 10 for own in kept.values())
+    for (rec, lead), x in means.items():
+        assert x.n == len(kept[rec]) and np.allclose(x.wave, np.mean([b[waveforms.LEADS.index(lead)] for b in kept[rec]], 0))
+
+
+def test_signals_are_filtered_once_for_beats(spark, tmp_path, monkeypatch):
+    made = spark.range(24).selectExpr("id AS event_id", "0L AS user_id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, id) AS ts", "'view' AS event_type", "id + 0.5D AS value")
+    made.write.parquet(str(tmp_path / "events.parquet"))
+    twice = []
+    monkeypatch.setattr(waveforms, "beat_waves", lambda *a, **k: twice.append(a))
+    found = wave_queries.waveform_beats(spark, str(tmp_path)).collect()
+    assert not twice and {(x.user_id, x.record) for x in found} == {(0, 0), (0, 1)} and len(found) == 24
