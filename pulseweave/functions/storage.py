@@ -26,3 +26,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/pulseweave/{spark.conf.get('spark.app.id', 'app')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tasks_for(spark: SparkSession, rows: int, most: int = 1 << 17) -> int:
+    """A number of tasks of about ``most`` rows each, at least as many as run at once: given to an exchange, it is kept, so the memory of one task does not grow with the table."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // most))

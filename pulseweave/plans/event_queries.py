@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import storage
 from ..functions.ranking import percentiles
 from ..functions.scalar import finite, fold_of, seconds
 from ..operators import events as E
@@ -38,7 +39,8 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.intervals(peaks(spark, sf_dir), KEYS, ["pos", "event_id"], "pos", 1.0)
+    rows = peaks(spark, sf_dir)
+    return E.intervals(rows.repartition(storage.tasks_for(spark, rows.count()), *KEYS), KEYS, ["pos", "event_id"], "pos", 1.0)
 
 
 def validated(spark: SparkSession, sf_dir: str) -> DataFrame:

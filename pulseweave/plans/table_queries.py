@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import storage
 from ..functions.scalar import as_json, joined
 from ..functions.storage import shared_dir
 from ..operators import checks, events, logistic, quality
@@ -234,8 +235,9 @@ def ragged_store(spark, sf_dir):
     path = _path(spark, "ragged")
     tables.write_ragged(rows, path, ["stage"], "user_id", "beat_index", F.floor(F.col("user_id") / 1024))
     stored, offsets = tables.read_ragged(spark, path)
-    places = offsets.withColumn("row", F.explode(F.sequence("first", F.col("end") - 1)))
-    back = places.join(stored.select("stage", "row", "value"), ["stage", "row"])
+    tasks = storage.tasks_for(spark, stored.count())
+    places = offsets.withColumn("row", F.explode(F.sequence("first", F.col("end") - 1))).repartition(tasks, "stage", "row")
+    back = places.join(stored.select("stage", "row", "value").repartition(tasks, "stage", "row"), ["stage", "row"])
     return back.groupBy("stage", "user_id").agg(F.first("first").alias("first"), F.first("end").alias("end"), r(F.sum(F.col("value") * (F.col("row") - F.col("first") + 1)), "in_order", 6))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions.ranking import prefix_sums
-from ..functions.storage import written
+from ..functions.storage import tasks_for, written
 
 METADATA = "ecg_id bigint, patient_id double, age string, sex string, scp_codes string, strat_fold double, filename_hr string, device string, site string, baseline_drift string, static_noise string, burst_noise string, electrodes_problems string, extra_beats string, pacemaker string"
 
@@ -57,10 +57,12 @@ def write_ragged(rows: DataFrame, path: str, groups: Sequence[str], record: str,
     group, a folder per group; ``path/offsets`` has first and end (behind the last) of each record. As places are sorted in files, the
     statistics of a row group tell which places it has, and a reader of one record skips all others.
     """
+    rows = written(rows, "ragged_rows")  # read twice
+    tasks = tasks_for(rows.sparkSession, rows.count())
     counts = rows.groupBy(*groups, record).agg(F.count(F.lit(1)).alias("n"))
     offsets = written(beat_offsets(counts, groups, record, "n", bucket).select(*groups, record, "first", "end"), "offsets")
-    placed = rows.join(offsets.drop("end"), [*groups, record]).withColumn("row", F.col("first") + F.col(index)).drop("first")
-    sorted_ = placed.repartitionByRange(*groups, "row").sortWithinPartitions(*groups, "row")
+    placed = rows.repartition(tasks, *groups, record).join(offsets.drop("end"), [*groups, record]).withColumn("row", F.col("first") + F.col(index)).drop("first")
+    sorted_ = placed.repartitionByRange(tasks, *groups, "row").sortWithinPartitions(*groups, "row")
     sorted_.write.mode("errorifexists").option("parquet.block.size", row_group_bytes).partitionBy(*groups).parquet(f"{path}/rows")
     offsets.write.mode("errorifexists").parquet(f"{path}/offsets")
 

@@ -6,7 +6,9 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from pulseweave.functions import storage
 from pulseweave.operators import checks
+from pulseweave.plans import event_queries
 from pulseweave.sources import tables
 
 
@@ -42,6 +44,17 @@ def test_one_record_by_offset(spark, tmp_path):
         tables.write_ragged(rows, path, ["stage"], "k", "i", F.lit(0))
 
 
+def test_a_task_has_a_bounded_number_of_rows(spark, tmp_path):
+    """The number of tasks grows with the table; it was that of shuffle partitions before, coalesced."""
+    assert storage.tasks_for(spark, 10) == 4 and storage.tasks_for(spark, 10**8) * (1 << 17) >= 10**8
+    made = spark.range(400).selectExpr("id AS event_id", "id % 40 AS user_id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, id) AS ts", "'view' AS event_type", "id + 0.5D AS value")
+    made.write.parquet(str(tmp_path / "events.parquet"))
+    assert event_queries.timed(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 2
+    rows = made.selectExpr("user_id AS k", "cast(event_id div 40 AS int) AS i", "value")
+    tables.write_ragged(rows, str(tmp_path / "store"), [], "k", "i", F.lit(0))
+    assert len(glob.glob(f"{tmp_path}/store/rows/*.parquet")) == 4
+
+
 @pytest.fixture
 def rules(spark):
     return {"x below 0": F.col("x") < 0, "y missing": F.col("y").isNull()}
