@@ -10,16 +10,30 @@
    Two sets of similarity s miss each other in all bands with odds of
    (1 - s**ROWS)**BANDS: 3e-6 at 0.8, less above.
 3. In a meeting of at most CROWD sets all pairs are compared, in a larger one
-   each set with three of its members: the one whose own meetings are largest,
-   which is the text that most others are copies of where it is there, and two
-   drawn by a hash, others in each band. Those of fingerprints are compared too.
-   Sets are compared whole, so candidates decide only what is missed.
-4. Components over the links; each document takes the smallest identifier.
+   each set with three of its members: the one whose own meetings are largest
+   (its centre), which is the text that most others are copies of where it is
+   there, and two drawn by a hash, others in each band. Pairs of fingerprints
+   are compared too. Sets are compared whole; components over the links follow.
+4. Crowds whose sets are not all in one component are settled exactly. Crowds
+   whose centres are of one component are taken together, and c is one of these
+   centres. D = s - c and c - s together is what a set s differs by, of which A
+   are added and R missing. If x is not similar to c, but to y, then x and y
+   share more than (5 |R| + 4 |A|) / 9 of what y differs by: similar(x, y) says
+   9 |x ^ y| <= |x| + |y|, and |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|, while
+   9 |Dx| > |x| + |c|. So y's differences but for that many, the most frequent
+   ones, have one that x has too. Sets of different components that meet there
+   are compared whole, and so are sets similar to c.
+5. Components over all links; each document takes the smallest identifier.
 
 Every set thus has at most CROWD comparisons a band, whatever the size of its
-group; no step makes the pairs of a group. What can be missed is a link in a
-crowd between two copies of which neither is linked to a member it met, nor
-both to a third; tests and the README have the recall against all pairs.
+group, and beyond those only with sets of other components that share one of
+its rarer differences from the centre. No link between sets that meet is lost:
+it is compared, or both ends are in one component anyway. Step 4 makes many
+pairs only where a crowd has many components whose sets share differences but
+are not similar; pairs of one difference are dealt in tiles of SPLIT sets.
+
+In ``within_radius`` one set stands for each fingerprint; that adds candidates to
+the meetings, in which sets of one fingerprint meet as well.
 
 Defined cases: null and empty texts have the empty set and are copies of each
 other; null identifiers are ignored when the smallest is taken; repeated rows
@@ -42,7 +56,7 @@ from .components import components
 from .exact_dedup import digest_of, keep_firsts
 from .words import majority_bits, shingle_hashes
 
-WIDTH, BANDS, ROWS, DISTANCE, CROWD = 5, 32, 5, 2, 16
+WIDTH, BANDS, ROWS, DISTANCE, CROWD, SPLIT = 5, 32, 5, 2, 16, 1024
 _DRAWN = np.random.default_rng(42).integers(0, 2**63, (2, BANDS * ROWS, 1), np.uint64)
 MASKS, FACTORS = _DRAWN[0], _DRAWN[1] * np.uint64(2) + np.uint64(1)
 
@@ -97,12 +111,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
 
 
 def within_radius(uniq: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets whose fingerprints are equal or within DISTANCE bits: one set stands for each fingerprint, and is linked to the others of it."""
-    bearers = materialise(uniq.groupBy("bits").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("size")), "fingerprints")
-    equal = join_by_size(uniq.select("fp", "bits"), bearers.filter("size > 1"), ["bits"], "size", uniq.count()).filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    """Pairs (a, b) of sets whose fingerprints differ in at most DISTANCE bits: one set stands for each fingerprint."""
+    bearers = materialise(uniq.groupBy("bits").agg(F.min("fp").alias("first")), "fingerprints")
     pairs = simhash.links(bearers.select(F.col("bits").alias("fp")), DISTANCE)
     near = pairs.join(bearers.select(F.col("bits").alias("a"), F.col("first").alias("x")), "a").join(bearers.select(F.col("bits").alias("b"), F.col("first").alias("y")), "b")
-    return materialise(equal.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))), "within_radius")
+    return materialise(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "within_radius")
 
 
 def similar(shared: Column, n: Column, m: Column) -> Column:
@@ -117,29 +130,93 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
 
 
-def candidates(uniq: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of sets to compare; their sizes allow the similarity."""
-    keyed = uniq.select("fp", "n", F.posexplode("bands").alias("band", "key"))
+def meetings(uniq: DataFrame) -> DataFrame:
+    """fp, n, band, key and size: where sets meet others, by minima (bands from 0) and by equal fingerprints (band BANDS)."""
+    keyed = uniq.select("fp", "n", F.posexplode(F.concat("bands", F.array("bits"))).alias("band", "key"))
     places = materialise(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "meeting_places")
-    total = uniq.count() * BANDS
-    met = materialise(join_by_size(keyed, places, ["band", "key"], "size", total), "meetings")
-    few = met.filter(F.col("size") <= CROWD).select("band", "key", F.col("fp").alias("a"), F.col("n").alias("x"))
-    pairs = few.join(few.withColumnsRenamed({"a": "b", "x": "y"}), ["band", "key"]).filter("a < b")
+    return materialise(join_by_size(keyed, places, ["band", "key"], "size", uniq.count() * (BANDS + 1)), "meetings")
+
+
+def crowds(met: DataFrame) -> DataFrame:
+    """fp, n and centres (b, y: their fp and size) of each set in each meeting of more than CROWD; the first is its centre."""
     known = met.groupBy("fp").agg(F.sum("size").alias("known"))
     crowd = met.filter(F.col("size") > CROWD).join(known, "fp").withColumn("draw", F.xxhash64("band", "fp"))
     own = F.struct(F.col("fp").alias("b"), F.col("n").alias("y"))
     centres = crowd.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.array(F.max_by(own, F.struct("known", "fp")), F.max_by(own, F.struct("draw", "fp")), F.min_by(own, F.struct("draw", "fp"))).alias("centres"))
-    stars = join_by_size(crowd.drop("size"), materialise(centres, "centres"), ["band", "key"], "size", total).select(F.col("fp").alias("a"), F.col("n").alias("x"), F.explode("centres").alias("c")).select("a", "x", "c.*")
+    return materialise(join_by_size(crowd.drop("size"), materialise(centres, "centres"), ["band", "key"], "size", met.count()).select("fp", "n", "centres"), "crowds")
+
+
+def candidates(uniq: DataFrame, met: DataFrame, crowd: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of sets to compare; their sizes allow the similarity."""
+    few = met.filter(F.col("size") <= CROWD).select("band", "key", F.col("fp").alias("a"), F.col("n").alias("x"))
+    pairs = few.join(few.withColumnsRenamed({"a": "b", "x": "y"}), ["band", "key"]).filter("a < b")
+    stars = crowd.select(F.col("fp").alias("a"), F.col("n").alias("x"), F.explode("centres").alias("c")).select("a", "x", "c.*")
     both = pairs.select("a", "x", "b", "y").unionByName(stars).filter((F.col("a") != F.col("b")) & similar(F.least("x", "y"), F.col("x"), F.col("y")))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(within_radius(uniq)).distinct()
 
 
-def links(docs: DataFrame, uniq: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) of similar sets."""
-    pairs = materialise(candidates(uniq), "candidates")
-    some = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+def open_families(crowd: DataFrame, labels: DataFrame) -> DataFrame:
+    """c, fp, n, label and home of the sets in crowds whose centres are of one component, home, where not all are of it; c is the one of these centres with the largest crowds."""
+    own = crowd.select(F.col("centres")[0]["b"].alias("centre"), "fp", "n").distinct().join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    own = materialise(own, "crowd_members")
+    sums = own.groupBy("centre").agg(F.count(F.lit(1)).alias("size"), F.max(F.when(F.col("fp") == F.col("centre"), F.col("label"))).alias("home"))
+    sums = materialise(sums, "crowd_centres")
+    homed = materialise(join_by_size(own, sums, ["centre"], "size", own.count()).select("home", "fp", "n", "label").distinct(), "families")
+    mixed = homed.groupBy("home").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("home", "size")
+    homes = materialise(mixed.join(sums.groupBy("home").agg(F.max_by("centre", F.struct("size", "centre")).alias("c")), "home"), "open_homes")
+    return materialise(join_by_size(homed, homes, ["home"], "size", homed.count()).select("c", "fp", "n", "label", "home"), "open_families")
+
+
+def differences(family: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables: ``family`` with out (neither of the centre's component nor similar to it), spare (how many differences from the centre a similar set need not share with one that is out) and all of them; (c, fp, h, df), the differences that df sets have, two or more."""
+    left = family.join(sets.select("fp", F.col("hashes").alias("x")).hint("merge"), "fp")
+    both = left.join(sets.select(F.col("fp").alias("c"), F.col("hashes").alias("y")).hint("merge"), "c")
+    parts = both.select("c", "fp", "n", "label", "home", F.size("y").alias("m"), F.array_except("x", "y").alias("more"), F.array_except("y", "x").alias("less"))
+    out = (F.col("label") != F.col("home")) & ~similar(F.col("n") - F.size("more"), F.col("n"), F.col("m"))
+    spare = F.floor((5 * F.size("less") + 4 * F.size("more")) / 9).cast("int")
+    rows = materialise(parts.select("c", "fp", "n", "label", "home", out.alias("out"), spare.alias("spare"), F.concat("more", "less").alias("all")), "differences")
+    each = rows.select("c", "fp", F.explode("all").alias("h"))
+    often = materialise(each.groupBy("c", "h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared_differences")
+    return rows.drop("all"), join_by_size(each, often, ["c", "h"], "df", each.count())
+
+
+def met_differences(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """c, fp, n, label, out, df, h and led: whether h is not among the ``spare`` most frequent differences of its set."""
+    ordered = shared.groupBy("c", "fp").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("d"))
+    each = rows.join(ordered, ["c", "fp"]).select("c", "fp", "n", "label", "out", (F.size("d") - F.col("spare")).alias("lead"), F.posexplode("d").alias("at", "e"))
+    return materialise(each.select("c", "fp", "n", "label", "out", "e.*", (F.col("at") < F.col("lead")).alias("led")).filter("out or led"), "met_differences")
+
+
+def rest_of_crowds(family: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of sets of different components to compare: those that share a difference from the centre, where one is out and the difference leads in the other one, in both if both are out; and sets with the centre."""
+    rows, shared = differences(family, sets)
+    met = met_differences(rows, shared)
+    own = rows.filter("label <> home and not out").select(F.col("fp").alias("a"), F.col("c").alias("b"))
+    parts = (F.col("df") / SPLIT).cast("int")
+    left = met.filter("out").select("c", "h", F.pmod(F.xxhash64("fp"), parts + 1).cast("int").alias("tile"), F.col("fp").alias("a"), F.col("n").alias("x"), F.col("label").alias("of_a"), F.col("led").alias("led_a"))
+    right = met.filter("led").select("c", "h", F.explode(F.sequence(F.lit(0), parts)).alias("tile"), F.col("fp").alias("b"), F.col("n").alias("y"), F.col("label").alias("of_b"), "out")
+    both = left.join(right.hint("merge"), ["c", "h", "tile"]).filter((F.col("of_a") != F.col("of_b")) & similar(F.least("x", "y"), F.col("x"), F.col("y")) & (~F.col("out") | F.col("led_a") & (F.col("a") < F.col("b"))))
+    return both.select("a", "b").unionByName(own).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def set_labels(docs: DataFrame, uniq: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """fp and label, the component, of the sets that are linked."""
+    met = meetings(uniq)
+    crowd = crowds(met)
+    pairs = materialise(candidates(uniq, met, crowd), "candidates")
+    some = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(crowd.select("fp")).distinct()
     wanted = materialise(uniq.join(some, "fp", "left_semi").select("fp", "least"), "compared_documents")
-    return materialise(compared(pairs, sets_of(docs, wanted, id_col, text_col)), "near_links")
+    sets = sets_of(docs, wanted, id_col, text_col)
+    labels = materialise(components(materialise(compared(pairs, sets), "near_links")), "components").withColumnRenamed("node", "fp")
+    family = open_families(crowd, labels)
+    if family.isEmpty():
+        return labels
+    rest = materialise(rest_of_crowds(family, sets), "rest_of_crowds")
+    more = materialise(compared(rest, sets), "more_links")
+    if more.isEmpty():
+        return labels
+    known = labels.select(F.col("fp").alias("a"), F.col("label").alias("b"))
+    return materialise(components(known.unionByName(more)), "all_components").withColumnRenamed("node", "fp")
 
 
 def _members(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -149,8 +226,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest"))
     uniq = rows.groupBy("fp").agg(first.alias("least"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     uniq = materialise(uniq, "distinct_sets")
-    labels = materialise(components(links(docs, uniq, id_col, text_col)), "components").withColumnRenamed("node", "fp")
-    members = uniq.select("fp", "least", "rows").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    members = uniq.select("fp", "least", "rows").join(set_labels(docs, uniq, id_col, text_col), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     members = materialise(members, "members")
     return rows, members, materialise(members.groupBy("label").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("members")), "groups")
 
