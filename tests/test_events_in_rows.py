@@ -75,3 +75,11 @@ def test_failed_records_of_rows(spark):
     assert {k: (x.peaks, x.failure_code) for k, x in found.items()} == {1: (None, "signal_too_short"), 2: ([], None)} and found[2].signal == [[0.0] * 600] * 12
     cuts = waveforms.detect_whole(rows, ["rec"]).filter("failure_code IS NULL").withColumn("cuts", let(F.col("peaks"), lambda p: events.valid_events(p, "r_peak_sample", 0.5, 300, 2000)))
     assert waveforms.mean_beats_whole(cuts, ["rec"], "cuts").collect() == []
+
+
+def test_events_without_a_user_are_a_record_too(spark, tmp_path):
+    """As in ``waveform_peaks``; a join by the keys lost them."""
+    rows = spark.range(24).selectExpr("id AS event_id", "cast(null AS long) AS user_id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, id) AS ts", "'view' AS event_type", "id + 0.5D AS value")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    found = wave_queries.waveform_beats(spark, str(tmp_path)).collect()
+    assert {(x.user_id, x.record) for x in found} == {(None, 0), (None, 1)} and len(found) == 24
